@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from . import chat, mixing, quality, sharding
+from . import chat, mixing, neardup, quality, sharding
 
 QUERIES = {
     "op1_sainte_lague_mix": mixing.op1_mix,
     "op2_hilbert_shards": sharding.op2_shards,
     "op3_adaptive_quality": quality.op3_quality,
+    "op5_partenum_join": neardup.op5_components,
     "op6_snapshot_collapse": chat.op6_collapse,
 }
 
 ORACLE_SQL = {
     "op3_adaptive_quality": quality.ORACLE_SQL,
+    "op5_partenum_join": neardup.ORACLE_SQL,
     "op6_snapshot_collapse": chat.ORACLE_SQL,
 }
