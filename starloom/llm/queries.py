@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, mixing, neardup, quality, sharding
+from . import chat, decontam, mixing, neardup, quality, sharding
 
 QUERIES = {
     "op1_sainte_lague_mix": mixing.op1_mix,
@@ -10,10 +10,12 @@ QUERIES = {
     "op3_adaptive_quality": quality.op3_quality,
     "op5_partenum_join": neardup.op5_components,
     "op6_snapshot_collapse": chat.op6_collapse,
+    "op7_prefix_decontam": decontam.op7_decontam,
 }
 
 ORACLE_SQL = {
     "op3_adaptive_quality": quality.ORACLE_SQL,
     "op5_partenum_join": neardup.ORACLE_SQL,
     "op6_snapshot_collapse": chat.ORACLE_SQL,
+    "op7_prefix_decontam": decontam.ORACLE_SQL,
 }
