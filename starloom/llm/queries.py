@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
-from . import chat, decontam, mixing, neardup, quality, sharding
+from . import chat, decontam, lmscore, mixing, neardup, quality, repeats, sharding, tokencount, toxicity
 
 QUERIES = {
     "op1_sainte_lague_mix": mixing.op1_mix,
     "op2_hilbert_shards": sharding.op2_shards,
     "op3_adaptive_quality": quality.op3_quality,
+    "op4_toxic_segments": toxicity.op4_toxicity,
     "op5_partenum_join": neardup.op5_components,
     "op6_snapshot_collapse": chat.op6_collapse,
     "op7_prefix_decontam": decontam.op7_decontam,
+    "op8_cross_entropy_difference": lmscore.op8_lm_score,
+    "op9_suffix_repeats": repeats.op9_repeats,
+    "op10_viterbi_counts": tokencount.op10_tokens,
 }
 
 ORACLE_SQL = {
