@@ -1,7 +1,8 @@
 """Toxicity: every significant toxic passage of a text by maximum-scoring segments of token log-odds.
 
 1. Words of labelled documents are counted by class, once a document. A word's score is its log-odds between the classes
-   under a Dirichlet prior of an even part and one proportional to its frequency overall; words whose log-odds are significant are listed (at most
+   under a Dirichlet prior of an even part and one proportional to its frequency overall; so are word beginnings, which stand
+   in for words that are not listed; words whose log-odds are significant are listed (at most
    MODEL_WORDS, those of highest significance: the bound of what is sent to the workers), all others share the log-odds
    of the rest.
 2. One linear scan finds all maximal scoring segments of a text.
@@ -41,6 +42,9 @@ EULER = 0.5772156649015329
 #: Evidence is counted in bins of this width between these ends to fit the curve.
 BIN, LEAST, MOST = 0.25, -20.0, 60.0
 PARTIAL_WORDS = 300_000
+#: Lengths of word beginnings that stand in for words that are not listed themselves, the longest first.
+PREFIXES = (8, 7, 6, 5, 4)
+CACHE = 200_000
 
 
 def held_out(doc_id: Column) -> Column:
@@ -51,6 +55,14 @@ def words_of(text: str | None) -> list[str]:
     return _WORD.findall(text.lower()) if text else []
 
 
+def features(words: list[str]) -> set[str]:
+    """The distinct words of a text and their beginnings (marked by a final *) of the lengths in PREFIXES."""
+    found = set(words)
+    for w in tuple(found):
+        found.update(w[:k] + "*" for k in PREFIXES if len(w) > k)
+    return found
+
+
 def class_counts(labelled: DataFrame) -> DataFrame:
     """word, toxic, clean over rows (text, toxic)."""
 
@@ -66,7 +78,7 @@ def class_counts(labelled: DataFrame) -> DataFrame:
 
         for batch in batches:
             for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                held[toxic].update(set(words_of(text)))
+                held[toxic].update(features(words_of(text)))
                 if len(held[0]) > PARTIAL_WORDS:
                     yield from flush()
         yield from flush()
@@ -80,6 +92,18 @@ class Lexicon:
 
     def __init__(self, listed: dict[str, float], rest: float, decay: float, clean: dict[str, float]):
         self.listed, self.rest, self.decay, self.clean = listed, rest, decay, clean
+        self.known: dict[str, float | None] = {}
+
+    def score(self, word: str) -> float | None:
+        """Score of a word or of its longest listed beginning; None if neither is listed. Answers are kept in a bounded table."""
+        known = self.known
+        if word in known:
+            return known[word]
+        if len(known) >= CACHE:
+            known.clear()
+        keys = [word, *[word[:k] + "*" for k in PREFIXES if len(word) > k]]
+        known[word] = next((self.listed[k] for k in keys if k in self.listed), None)
+        return known[word]
 
 
 def fit_lexicon(counts: DataFrame) -> Lexicon | None:
@@ -143,7 +167,7 @@ def maximal_segments(scores: list[float]) -> list[tuple[int, int, float]]:
 
 def segments(words: list[str], lexicon: Lexicon) -> list[tuple[int, int, float]]:
     """Maximal segments of a text; runs of unlisted words count as one step between listed ones."""
-    hits = [(i, lexicon.listed[w]) for i, w in enumerate(words) if w in lexicon.listed]
+    hits = [(i, s) for i, s in enumerate(map(lexicon.score, words)) if s is not None]
     scores, spans, at = [], [], 0
     for i, s in hits:
         if i > at:
