@@ -329,11 +329,22 @@ def similar_components(docs: DataFrame) -> DataFrame:
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
-    """``docs`` with one document, that of the least id, of each component; of rows with that id one stays."""
+    """``docs`` with one document, that of the least id, of each component.
+
+    Of rows with one id and one text, one stays. Rows without an id can't be named by a component: of those with
+    one text one stays. Only such rows are shuffled with their texts; all others are dropped by id where they are read.
+    """
     scratch = Scratch(docs.sparkSession)
     found = scratch.keep(similar_components(docs), "components")
     gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(sized_broadcast(gone), F.col("doc_id") == F.col("_id"), "left_anti")
+    kept = docs.join(sized_broadcast(gone), F.col("doc_id") == F.col("_id"), "left_anti")
+    again = found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("k")).where("k > 1 or doc_id is null").select(F.col("doc_id").alias("_id"))
+    again = scratch.keep(again, "again")
+    if not again.limit(1).count():
+        return kept
+    b = sized_broadcast(again)
+    same_id = kept.doc_id.eqNullSafe(b["_id"])
+    return kept.join(b, same_id, "left_anti").unionByName(kept.join(b, same_id, "left_semi").dropDuplicates(["doc_id", "text"]))
 
 
 def op5_components(spark, sf_dir) -> DataFrame:

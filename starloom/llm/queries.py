@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
+
 from . import chat, decontam, lmscore, mixing, neardup, quality, repeats, sharding, tokencount, toxicity
 
 QUERIES = {
@@ -15,6 +17,7 @@ QUERIES = {
     "op8_cross_entropy_difference": lmscore.op8_lm_score,
     "op9_suffix_repeats": repeats.op9_repeats,
     "op10_viterbi_counts": tokencount.op10_tokens,
+    "pipeline": corpus_pipeline.run,
 }
 
 ORACLE_SQL = {
