@@ -10,6 +10,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import reachable
+
 #: A word of the corpus contracts: a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -18,7 +20,7 @@ BROADCAST_ROWS = 200_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return reachable(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def scratch_root(spark: SparkSession) -> str:
@@ -39,7 +41,7 @@ class Scratch:
     """
 
     def __init__(self, spark: SparkSession):
-        self.spark = spark
+        self.spark = reachable(spark)
         self.base = f"{scratch_root(spark)}/starloom-{uuid.uuid4().hex}"
         atexit.register(self._remove, self.base)
 
