@@ -78,15 +78,20 @@ def rayleigh_likelihood(df: DataFrame, sep: str, radius: float, sigmas: list[flo
 
 
 def clipped_line(df: DataFrame, x: str, y: str, rounds: int = 3, sigma: float = 3.0) -> DataFrame:
-    """One row (a, b, scatter, n) of y = a * x + b after rounds of clipping at ``sigma`` MAD scatters of the residuals."""
+    """One row (a, b, n, scatter) of y = a * x + b after rounds of clipping at ``sigma`` MAD scatters of the residuals.
+
+    Each round brings four numbers to the driver; the data are only filtered by what they imply.
+    """
     cur = df.select(F.col(x).alias("x"), F.col(y).alias("y")).where("x is not null and y is not null")
     for _ in range(rounds):
-        fit = cur.agg(F.regr_slope("y", "x").alias("a"), F.regr_intercept("y", "x").alias("b"))
-        res = cur.join(F.broadcast(fit)).withColumn("r", F.col("y") - F.col("a") * F.col("x") - F.col("b"))
-        med = res.agg(F.median("r").alias("m"))
-        res = res.join(F.broadcast(med))
-        s = res.agg((MAD * F.median(F.abs(F.col("r") - F.col("m")))).alias("s"))
-        cur = res.join(F.broadcast(s)).where(F.abs(F.col("r") - F.col("m")) <= sigma * F.col("s")).select("x", "y")
-    fit = cur.agg(F.regr_slope("y", "x").alias("a"), F.regr_intercept("y", "x").alias("b"), F.count(F.lit(1)).alias("n"))
-    res = cur.join(F.broadcast(fit)).withColumn("r", F.abs(F.col("y") - F.col("a") * F.col("x") - F.col("b")))
-    return res.groupBy("a", "b", "n").agg((MAD * F.median("r")).alias("scatter"))
+        a, b = cur.agg(F.regr_slope("y", "x"), F.regr_intercept("y", "x")).first()
+        if a is None:
+            break
+        r = F.col("y") - a * F.col("x") - b
+        m = cur.agg(F.median(r)).first()[0]
+        s = MAD * cur.agg(F.median(F.abs(r - m))).first()[0]
+        cur = cur.where(F.abs(r - m) <= sigma * s)
+    a, b, n = cur.agg(F.regr_slope("y", "x"), F.regr_intercept("y", "x"), F.count(F.lit(1))).first()
+    fit = lambda v: F.lit(v).cast("double")
+    scatter = MAD * F.median(F.abs(F.col("y") - fit(a) * F.col("x") - fit(b)))
+    return cur.agg(fit(a).alias("a"), fit(b).alias("b"), F.lit(n).alias("n"), scatter.alias("scatter"))
