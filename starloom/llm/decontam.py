@@ -84,12 +84,15 @@ def contamination(docs: DataFrame, items: DataFrame, scratch: Scratch, size: int
     met = asked.join(sized_broadcast(ready, BROADCAST_ROWS), F.col("_t") == F.col("token"), "left")
     inside = (F.col("len") <= F.col("n_words")) & F.concat(F.lit(" "), "plain", F.lit(" ")).contains(F.concat(F.lit(" "), "win", F.lit(" ")))
     met = met.where(F.col("_t").isNull() | F.coalesce(inside, F.lit(False)))
-    w = F.split("plain", " ")
-    # the prefix token's place bounds the window's: at least ``ahead`` words before it, the rest behind it
-    places = F.filter(
-        F.sequence(F.lit(1), F.col("n_words") - F.col("len") + 1),
-        lambda i: (F.get(w, i + F.col("ahead") - 1) == F.col("token")) & (F.slice(w, i, F.col("len")) == F.col("tokens")),
-    )
+    # the prefix token's place bounds the window's: at least ``ahead`` words before it, the rest behind it;
+    # the outer transform binds the document's words once
+    places = F.transform(
+        F.array(F.split("plain", " ")),
+        lambda w: F.filter(
+            F.sequence(F.lit(1), F.col("n_words") - F.col("len") + 1),
+            lambda i: (F.get(w, i + F.col("ahead") - 1) == F.col("token")) & (F.slice(w, i, F.col("len")) == F.col("tokens")),
+        ),
+    )[0]
     hit = F.when(
         F.col("_t").isNotNull(), F.array_distinct(F.flatten(F.transform(places, lambda p: F.sequence(p, p + F.col("len") - 1))))
     )
