@@ -171,7 +171,7 @@ def candidate_json(spark, d):
     )
     j = s.select("candidate_id", F.to_json(F.struct("earlier", "later")).alias("j"))
     back = F.from_json("j", "earlier struct<id:bigint,even:boolean>, later struct<id:bigint>")
-    return j.select("candidate_id", back["earlier"]["id"].alias("earlier_id"), back["earlier"]["even"].alias("even"), back["later"]["id"].alias("later_id"))
+    return j.select("candidate_id", back["earlier"]["id"].alias("earlier_id"), back["earlier"]["even"].alias("even"), F.coalesce(back["later"]["id"], F.lit(-1)).alias("later_id"))
 
 
 def markers(spark, d):
@@ -219,7 +219,7 @@ SQL = {
     "nearest_body": f"{_A}, r as (select id, n_nationkey as body, row_number() over (partition by id order by (n_nationkey * 40.0::double - x) * (n_nationkey * 40.0::double - x) + (n_nationkey * 35.0::double - y) * (n_nationkey * 35.0::double - y), n_nationkey) as r from src_a, nation) select id, body from r where r = 1",
     "interval_lookup": f"{_A} select case when flux < 50000 then 0 when flux < 100000 then 1 when flux < 200000 then 2 when flux < 400000 then 3 else 4 end as bin, count(*) as n, median(flux) as mid from src_a group by 1",
     "recovery_by_bin": f"{_A} select cast(ceil(snr / 50) as int) as bin, count(*) as n, avg(case when id % 4 <> 0 then 1.0::double else 0 end) as rate from src_a group by 1",
-    "candidate_json": f"{_A} select 'SX-' || lpad(id::varchar, greatest(3, length(id::varchar))::int, '0') as candidate_id, id as earlier_id, id % 2 = 0 as even, case when id % 3 = 0 then id end as later_id from src_a where snr >= 245",
+    "candidate_json": f"{_A} select 'SX-' || lpad(id::varchar, greatest(3, length(id::varchar))::int, '0') as candidate_id, id as earlier_id, id % 2 = 0 as even, case when id % 3 = 0 then id else -1 end as later_id from src_a where snr >= 245",
     "markers": f"{_A}, m as (select id, case when id % 4 <> 0 then x else x + 1 end as x, case when id % 4 <> 0 then y else y + 1 end as y, id % 4 <> 0 as own from src_a) select *, x >= -0.5 and x < 999.5 and y >= -0.5 and y < 999.5 as inside from m",
     "candidate_order": f"{_A}, s as (select id, cast(id % 4 as int) as kind, greatest(case when id % 5 <> 0 then snr end, case when id % 7 <> 0 then flux / 1000 end) as top from src_a), n as (select *, row_number() over (order by kind, top desc, id) as n from s where top is not null) select 'C-' || lpad(n::varchar, 3, '0') as candidate_id, id, kind from n where n <= 200",
     "mle_rayleigh": f"""with {sql('src_a', 'src_b')}, p as (select a.id as a_id, b.id as b_id, sqrt((b.x - a.x) * (b.x - a.x) + (b.y - a.y) * (b.y - a.y)) as sep from src_a a join src_b b on b.x between a.x - 1.5 and a.x + 1.5 and b.y between a.y - 1.5 and a.y + 1.5),
