@@ -2,9 +2,10 @@
 
 Per document a few integer features are counted over its whole text. A sketch of a feature is its histogram over
 buckets of 8 leading bits (relative error below 1 %), so sketches of parts add up to the sketch of the whole, in any
-order, and nothing depends on how rows were dealt. Quartiles of a (language, source) group are drawn towards those of
-its language, and these towards those of all documents, in proportion to PRIOR documents; a document outside
-[q25 - reach, q75 + reach], with reach = FENCE * max(q75 - q25, the feature's floor), is rejected.
+order, and nothing depends on how rows were dealt. The lower quartile and the median of a (language, source) group are
+drawn towards those of its language, and these towards those of all documents, in proportion to PRIOR documents; a
+document outside q50 - reach .. q50 + reach, with reach = FENCE * max(q50 - q25, the feature's floor), is rejected. Junk
+lies high, so a group's fences hold while less than half of it is junk.
 
 Sketches hold only documents that pass the base rule, so that stubs don't bend the thresholds.
 
@@ -108,31 +109,31 @@ def sketch(featured: DataFrame, names: list[str]) -> DataFrame:
 
 
 def quartiles(cells: DataFrame, by: list[str]) -> DataFrame:
-    """by, feature, n, q25, q75 of merged sketches: the least bucket that holds the rank."""
+    """by, feature, n, q25, q50 of merged sketches: the least bucket that holds the rank."""
     merged = cells.groupBy(*by, "feature", "bucket").agg(F.sum("n").alias("n"))
     group = W.partitionBy(*by, "feature")
     upto = F.sum("n").over(group.orderBy("bucket").rowsBetween(W.unboundedPreceding, 0))
     ranked = merged.withColumn("upto", upto).withColumn("total", F.sum("n").over(group))
     least = lambda k: F.min(F.when(4 * F.col("upto") >= k * F.col("total"), F.col("bucket"))).cast("double")
-    return ranked.groupBy(*by, "feature").agg(F.max("total").cast("double").alias("n"), least(1).alias("q25"), least(3).alias("q75"))
+    return ranked.groupBy(*by, "feature").agg(F.max("total").cast("double").alias("n"), least(1).alias("q25"), least(2).alias("q50"))
 
 
 def thresholds(cells: DataFrame) -> DataFrame:
     """lang, source, feature, low, high: fences from the group's quartiles drawn towards its language's and all documents'."""
-    alls = quartiles(cells, []).select("feature", F.col("q25").alias("a25"), F.col("q75").alias("a75"))
+    alls = quartiles(cells, []).select("feature", F.col("q25").alias("a25"), F.col("q50").alias("a50"))
     langs = quartiles(cells, ["lang"])
     own = quartiles(cells, ["lang", "source"])
     drawn = lambda q, n, prior: (F.col(n) * F.col(q) + PRIOR * F.col(prior)) / (F.col(n) + PRIOR)
     langs = langs.join(F.broadcast(alls), "feature").select(
-        F.col("lang").alias("_l"), F.col("feature").alias("_f"), drawn("q25", "n", "a25").alias("l25"), drawn("q75", "n", "a75").alias("l75")
+        F.col("lang").alias("_l"), F.col("feature").alias("_f"), drawn("q25", "n", "a25").alias("l25"), drawn("q50", "n", "a50").alias("l50")
     )
     both = own.join(langs, own.lang.eqNullSafe(langs["_l"]) & (own.feature == langs["_f"])).select(
-        "lang", "source", "feature", drawn("q25", "n", "l25").alias("q25"), drawn("q75", "n", "l75").alias("q75")
+        "lang", "source", "feature", drawn("q25", "n", "l25").alias("q25"), drawn("q50", "n", "l50").alias("q50")
     )
     floor = F.coalesce(*[F.when(F.col("feature") == k, F.lit(float(v["floor"]))) for k, v in FEATURES.items()])
     low = F.coalesce(*[F.when(F.col("feature") == k, F.lit(v["low"])) for k, v in FEATURES.items()])
-    reach = FENCE * F.greatest(F.col("q75") - F.col("q25"), floor)
-    return both.select("lang", "source", "feature", F.when(low, F.col("q25") - reach).alias("low"), (F.col("q75") + reach).alias("high"))
+    reach = FENCE * F.greatest(F.col("q50") - F.col("q25"), floor)
+    return both.select("lang", "source", "feature", F.when(low, F.col("q50") - reach).alias("low"), (F.col("q50") + reach).alias("high"))
 
 
 def _fences(cells: DataFrame) -> DataFrame:
@@ -207,7 +208,7 @@ def _oracle() -> str:
     def quart(name: str, by: list[str]) -> str:
         keys = ", ".join([*by, "feature"])
         return f"""{name} as (select {keys}, max(total)::double as n,
-            min(case when 4 * upto >= total then bucket end)::double as q25, min(case when 4 * upto >= 3 * total then bucket end)::double as q75
+            min(case when 4 * upto >= total then bucket end)::double as q25, min(case when 4 * upto >= 2 * total then bucket end)::double as q50
             from (select {keys}, bucket, sum(n) over (partition by {keys} order by bucket) as upto, sum(n) over (partition by {keys}) as total
                   from (select {keys}, bucket, sum(n) as n from cells group by {keys}, bucket)) group by {keys})"""
 
@@ -237,10 +238,10 @@ v as ({feats}),
 cells as (select lang, source, feature, v - v % (2 ** greatest(0, length(ltrim(bin(v), '0')) - 8))::bigint as bucket, count(*) as n from v group by all),
 {quart("own", ["lang", "source"])}, {quart("langs", ["lang"])}, {quart("alls", [])},
 l as (select langs.lang, langs.feature, (langs.n * langs.q25 + {PRIOR} * a.q25) / (langs.n + {PRIOR}) as q25,
-    (langs.n * langs.q75 + {PRIOR} * a.q75) / (langs.n + {PRIOR}) as q75 from langs join alls a using (feature)),
+    (langs.n * langs.q50 + {PRIOR} * a.q50) / (langs.n + {PRIOR}) as q50 from langs join alls a using (feature)),
 d as (select own.lang, own.source, own.feature, (own.n * own.q25 + {PRIOR} * l.q25) / (own.n + {PRIOR}) as q25,
-    (own.n * own.q75 + {PRIOR} * l.q75) / (own.n + {PRIOR}) as q75 from own join l on own.lang is not distinct from l.lang and own.feature = l.feature),
-t as (select lang, source, feature, q25 - {FENCE} * greatest(q75 - q25, {floor}) as low, q75 + {FENCE} * greatest(q75 - q25, {floor}) as high from d)
+    (own.n * own.q50 + {PRIOR} * l.q50) / (own.n + {PRIOR}) as q50 from own join l on own.lang is not distinct from l.lang and own.feature = l.feature),
+t as (select lang, source, feature, q50 - {FENCE} * greatest(q50 - q25, {floor}) as low, q50 + {FENCE} * greatest(q50 - q25, {floor}) as high from d)
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
   not base_failed and not ({high} or {low}) as kept
 from f"""
