@@ -9,9 +9,8 @@ A set near the lower end of its band also signs for the band below, where a smal
 Equal sets are one class from the start, so copies never meet as pairs. In a group of one signature up to ALL_PAIRS
 classes are compared with each other; larger groups compare everyone with a pivot. Every link is verified: first an
 odd sketch (parity bits; its distance bounds the true difference from below, so it never drops a link), then the sets.
-After the components are known, a large group with several of them could hide links only of documents whose
-signatures lie in such groups more often than their guaranteed number of common signatures; those documents are
-compared with each other in full. So no cap drops a link.
+After the components are known, large groups with several of them go through further rounds (``_rest``), which end with an
+exact comparison of all documents that could still have a link. So no cap drops a link.
 
 Defined results: a null or empty text has an empty set, links with nothing and is its own component; shorter texts
 than a shingle are one shingle; repeated rows are copies; null doc_ids take part but name no component unless alone;
@@ -25,6 +24,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import Scratch, sized_broadcast, table
@@ -39,10 +39,12 @@ ALL_PAIRS = 6
 #: Signatures that one bucket holds on average.
 BUCKET = 1_000_000
 CHUNK = 1_000_000
+#: Members of a group that are compared with as many others at a time.
+BLOCK = 1_000
 
 _SETS = "doc_id bigint, n int, h1 bigint, h2 bigint, cls bigint, sketch binary"
-_BLOBS = "bucket int, cls binary, n binary, m binary, counts binary, sigs binary"
-_FOUND = "gid bigint, a bigint, b bigint, n int, m int"
+_BLOBS = "bucket int, cls binary, n binary, band binary, m binary, counts binary, sigs binary"
+_FOUND = "gid bigint, a bigint, b bigint, n int, band int, m int"
 
 
 def _class_of(u: np.ndarray) -> tuple[int, int, int]:
@@ -69,25 +71,31 @@ def sketch_distance(x: bytes, y: bytes) -> int:
     return int(np.bitwise_count(a ^ b).sum())
 
 
-def signatures(u: np.ndarray) -> tuple[np.ndarray, int]:
-    """All signatures of a set, and how many of them it shares at least with any set that reaches the threshold."""
+def signatures(u: np.ndarray) -> list[tuple[np.ndarray, int, int]]:
+    """(signatures, band, least) of a set for each band it signs in.
+
+    least: how many of them it shares with any set of that band that reaches the threshold. Such sets differ in at
+    most (|a| + |b|) / 7 elements, each of which spoils at most one partition.
+    """
     s = len(u)
-    parts, least = [], s
+    out = []
     spread = mixed(u * np.uint64(0x2545F4914F6CDD1D) + np.uint64(7))
     if s < SMALL * 4 / 3:
-        parts.append(mixed(spread + np.uint64(3)))
-        least = s - s // 3
+        most = (s + min(s * 4 // 3, SMALL * 4 // 3)) // 7 if s < SMALL else (s + SMALL - 1) // 7
+        out.append((mixed(spread + np.uint64(3)), 0, max(1, s - most)))
     low = SMALL
-    while low * 3 <= s * 4:
-        if low <= s < low * RATIO * 4 / 3:  # its band, or the one below if a partner of 3/4 its size lies there
-            count = int(np.ceil(DENSITY * RATIO * low))
+    while low <= s:
+        top = low * RATIO
+        if s < top * 4 / 3:  # its band, or the one below if a partner of 3/4 its size lies there
+            count = int(np.ceil(DENSITY * top))
             place = ((u >> np.uint64(32)) * np.uint64(count)) >> np.uint64(32)
             starts = np.flatnonzero(np.concatenate(([True], place[1:] != place[:-1])))
             sums = np.add.reduceat(spread, starts)
-            parts.append(mixed(sums + place[starts] * np.uint64(0xA0761D6478BD642F) + np.uint64(count * 1_000_003)))
-            least = min(least, len(starts) - s // 3)
-        low *= RATIO
-    return np.concatenate(parts), max(1, least)
+            most = (s + s * 4 // 3) // 7 if s < top else (s + top - 1) // 7
+            sigs = mixed(sums + place[starts] * np.uint64(0xA0761D6478BD642F) + np.uint64(count * 1_000_003))
+            out.append((sigs, low, max(1, len(starts) - most)))
+        low = top
+    return out
 
 
 def document_sets(docs: DataFrame) -> DataFrame:
@@ -113,7 +121,7 @@ def _signature_blobs(docs: DataFrame, buckets: int) -> DataFrame:
     def blobs(held: list) -> Iterator[pa.RecordBatch]:
         sigs = np.concatenate([s for s, *_ in held])
         doc = np.repeat(np.arange(len(held), dtype=np.int32), [len(s) for s, *_ in held])
-        cls, n, m = (np.array([h[i] for h in held], t) for i, t in ((1, np.int64), (2, np.int32), (3, np.int32)))
+        cls, n, band, m = (np.array([h[i] for h in held], t) for i, t in ((1, np.int64), (2, np.int32), (3, np.int32), (4, np.int32)))
         bucket = ((sigs >> np.uint64(40)) % np.uint64(buckets)).astype(np.int32)
         order = np.argsort(bucket, kind="stable")
         bucket, doc = bucket[order], doc[order]
@@ -122,11 +130,11 @@ def _signature_blobs(docs: DataFrame, buckets: int) -> DataFrame:
         out = []
         for a, b in zip(starts, [*starts[1:], len(bucket)], strict=True):
             ids, counts = np.unique(doc[a:b], return_counts=True)
-            out.append((int(bucket[a]), cls[ids].tobytes(), n[ids].tobytes(), m[ids].tobytes(), counts.astype(np.uint32).tobytes(), five[a:b].tobytes()))
+            out.append((int(bucket[a]), cls[ids].tobytes(), n[ids].tobytes(), band[ids].tobytes(), m[ids].tobytes(), counts.astype(np.uint32).tobytes(), five[a:b].tobytes()))
         for k in range(0, len(out), 64):
             cols = list(zip(*out[k : k + 64], strict=True))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(cols[0], pa.int32()), *[pa.array(c, pa.binary()) for c in cols[1:]]], names=["bucket", "cls", "n", "m", "counts", "sigs"]
+                [pa.array(cols[0], pa.int32()), *[pa.array(c, pa.binary()) for c in cols[1:]]], names=["bucket", "cls", "n", "band", "m", "counts", "sigs"]
             )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -139,9 +147,9 @@ def _signature_blobs(docs: DataFrame, buckets: int) -> DataFrame:
                     if not len(u) or (cls := _class_of(u)[2]) in seen:
                         continue
                     seen.add(cls)
-                    sigs, least = signatures(u)
-                    held.append((sigs, cls, len(u), least))
-                    total += len(sigs)
+                    for sigs, band, least in signatures(u):
+                        held.append((sigs, cls, len(u), band, least))
+                        total += len(sigs)
                     if total >= CHUNK:
                         yield from blobs(held)
                         held, total, seen = [], 0, set()
@@ -164,7 +172,7 @@ def _candidates(group: pa.Table) -> pa.Table:
     sig[:, :5] = raw
     sig = sig.view(np.uint64).ravel()
     doc = np.repeat(np.arange(len(counts), dtype=np.int32), counts)
-    cls, n, m = join("cls", np.int64), join("n", np.int32), join("m", np.int32)
+    cls, n, band, m = join("cls", np.int64), join("n", np.int32), join("band", np.int32), join("m", np.int32)
     order = np.argsort(sig, kind="stable")
     sig, doc = sig[order], doc[order]
     again = np.concatenate(([False], sig[1:] == sig[:-1]))
@@ -202,6 +210,7 @@ def _candidates(group: pa.Table) -> pa.Table:
             "a": pa.array(np.concatenate((pairs[:, 0], c[rest])), pa.int64()),
             "b": pa.concat_arrays([pa.array(pairs[:, 1], pa.int64()), none(r, pa.int64())]),
             "n": pa.concat_arrays([none(p, pa.int32()), pa.array(n[doc[rest]], pa.int32())]),
+            "band": pa.concat_arrays([none(p, pa.int32()), pa.array(band[doc[rest]], pa.int32())]),
             "m": pa.concat_arrays([none(p, pa.int32()), pa.array(m[doc[rest]], pa.int32())]),
         }
     )
@@ -282,6 +291,107 @@ def components(links: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     return nodes.unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("comp")).distinct())
 
 
+def _open(rest: DataFrame, comps: DataFrame) -> DataFrame:
+    """Members of the groups that hold several components, with their components."""
+    named = rest.join(comps.withColumnRenamed("node", "cls"), "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
+    several = named.groupBy("gid").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("gid")
+    return named.join(several, "gid", "left_semi")
+
+
+def _blockwise(rows: DataFrame) -> DataFrame:
+    """Pairs (a, b) of different components in the blocks of sorted rows (gid, i, j, own, cls, n, comp, sketch) that sketches allow."""
+
+    def fold(sketches: list[bytes], size: int) -> np.ndarray:
+        x = np.frombuffer(b"".join(sketches), np.uint8).reshape(len(sketches), -1)
+        while x.shape[1] > size:
+            x = x[:, : x.shape[1] // 2] ^ x[:, x.shape[1] // 2 :]
+        return np.ascontiguousarray(x).view(np.uint64)
+
+    def compare(rows: list) -> Iterator[tuple[int, int]]:
+        by: dict[int, list] = {}
+        for r in rows:
+            by.setdefault(len(r[7]), []).append(r)
+        crossed = rows[0][1] != rows[0][2]
+        for la, ra in by.items():
+            for lb, rb in by.items():
+                if la > lb:
+                    continue
+                x, y = fold([r[7] for r in ra], la), fold([r[7] for r in rb], la)
+                (cx, nx, px, ox), (cy, ny, py, oy) = (tuple(np.array([r[k] for r in z], np.int64) for k in (4, 5, 6, 3)) for z in (ra, rb))
+                for k in range(0, len(x), 32):
+                    s = slice(k, k + 32)
+                    d = np.bitwise_count(x[s, None, :] ^ y[None, :, :]).sum(axis=2, dtype=np.int64)
+                    ok = (px[s, None] != py[None, :]) & (7 * d <= nx[s, None] + ny[None, :])
+                    ok &= 4 * np.minimum(nx[s, None], ny[None, :]) >= 3 * np.maximum(nx[s, None], ny[None, :])
+                    if crossed:
+                        ok &= ox[s, None] != oy[None, :]
+                    for i, j in zip(*np.nonzero(ok), strict=True):
+                        yield min(cx[k + i], cy[j]), max(cx[k + i], cy[j])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list = []
+
+        def flush() -> pa.RecordBatch:
+            found = np.array(sorted(set(compare(held))), np.int64).reshape(-1, 2) if held else np.zeros((0, 2), np.int64)
+            return pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], names=["a", "b"])
+
+        for batch in batches:
+            for row in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                if held and row[:3] != held[-1][:3]:
+                    yield flush()
+                    held = []
+                held.append(row)
+        yield flush()
+
+    return rows.mapInArrow(run, "a bigint, b bigint")
+
+
+def _rest(docs, classes, found, tested, links, comps, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """Links that pivots alone did not show, in large groups of several components.
+
+    First everyone is compared with the group's most central member, as long as that joins components. Then only
+    documents can have a link left whose signatures of a band lie in such groups ``m`` times at least. Two of them would share m
+    groups, so each enters its k - m + 1 smallest ones only, where they are compared in blocks by their sketches.
+    """
+    rest = scratch.keep(found.where("gid is not null").select("gid", F.col("a").alias("cls"), "n", "band", "m"), "rest")
+    for i in range(1, 9):
+        open_ = scratch.keep(_open(rest, comps), f"open{i}")
+        k = open_.groupBy("cls").agg(F.count(F.lit(1)).alias("k"))
+        weighed = open_.join(k, "cls")
+        pivot = weighed.groupBy("gid").agg(F.max(F.struct("k", "cls", "n", "comp")).alias("p"))
+        new = weighed.join(pivot, "gid").where("comp <> p.comp and 4 * least(n, p.n) >= 3 * greatest(n, p.n)")
+        new = new.select(F.least("cls", "p.cls").alias("a"), F.greatest("cls", "p.cls").alias("b")).distinct()
+        new = scratch.keep(new.join(tested, ["a", "b"], "left_anti"), f"star{i}")
+        if not new.limit(1).count():
+            break
+        tested = tested.unionByName(new)
+        more = _links(docs, classes, new, scratch, f"star{i}")
+        if not more.limit(1).count():
+            break
+        links = links.unionByName(more)
+        comps = scratch.keep(components(links, scratch, f"star{i}"), f"comps{i}")
+    unsafe = open_.groupBy("cls", "band").agg(F.count(F.lit(1)).alias("k"), F.min("m").alias("least")).where("k >= least")
+    left = open_.join(unsafe, ["cls", "band"])
+    sizes = left.groupBy("gid").agg(F.count(F.lit(1)).alias("c"))
+    first = F.row_number().over(W.partitionBy("cls", "band").orderBy("c", "gid"))
+    left = left.join(sizes, "gid").withColumn("r", first).where("r <= k - least + 1").drop("c", "r")
+    several = left.groupBy("gid").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("c")).where("lo <> hi")
+    left = scratch.keep(left.join(several.select("gid", "c"), "gid").select("gid", "c", "cls", "n", "comp"), "left")
+    if not left.limit(1).count():
+        return links, comps
+    blocks = F.ceil(F.col("c") / BLOCK).cast("int")
+    own = F.pmod(F.xxhash64("cls"), blocks).cast("int")
+    placed = left.withColumn("own", own).withColumn("o", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    placed = placed.select("gid", F.least("own", "o").alias("i"), F.greatest("own", "o").alias("j"), "own", "cls", "n", "comp")
+    placed = placed.join(classes.select("cls", "sketch"), "cls").select("gid", "i", "j", "own", "cls", "n", "comp", "sketch")
+    more = _blockwise(placed.repartition("gid", "i", "j").sortWithinPartitions("gid", "i", "j")).distinct()
+    more = scratch.keep(more.join(tested, ["a", "b"], "left_anti"), "more")
+    if more.limit(1).count():
+        links = links.unionByName(_links(docs, classes, more, scratch, "last"))
+        comps = scratch.keep(components(links, scratch, "last"), "comps-last")
+    return links, comps
+
+
 def similar_components(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id for every document."""
     scratch = Scratch(docs.sparkSession)
@@ -299,26 +409,7 @@ def similar_components(docs: DataFrame) -> DataFrame:
     links = _links(docs, classes, pairs, scratch, "first")
     comps = scratch.keep(components(links, scratch, "first"), "comps")
 
-    # large groups of several components: only documents with enough signatures in them can have a link left
-    rest = found.where("gid is not null").select("gid", F.col("a").alias("cls"), "n", "m")
-    rest = rest.join(comps.withColumnRenamed("node", "cls"), "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
-    rest = scratch.keep(rest, "rest")
-    several = rest.groupBy("gid").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("gid")
-    open_rows = scratch.keep(rest.join(several, "gid", "left_semi"), "open")
-    unsafe = open_rows.groupBy("cls").agg(F.count(F.lit(1)).alias("k"), F.min("m").alias("m")).where("k >= m").select("cls")
-    left = scratch.keep(open_rows.join(unsafe, "cls", "left_semi").select("gid", "cls", "n", "comp"), "left")
-    other = left.select("gid", F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"))
-    more = (
-        left.join(other, "gid")
-        .where("cls < b and comp <> cb and 4 * least(n, nb) >= 3 * greatest(n, nb)")
-        .select(F.col("cls").alias("a"), "b")
-        .distinct()
-        .join(pairs, ["a", "b"], "left_anti")
-    )
-    more = scratch.keep(more, "more")
-    if more.limit(1).count():
-        extra = _links(docs, classes, more, scratch, "second")
-        comps = scratch.keep(components(links.unionByName(extra), scratch, "second"), "comps2")
+    links, comps = _rest(docs, classes, found, pairs, links, comps, scratch)
 
     named = classes.join(comps.withColumnRenamed("node", "cls"), "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
     names = named.groupBy("comp").agg(F.min("doc_id").alias("component_id"), F.sum("copies").alias("members")).where("members > 1")
