@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import gridding, matching, spectral, textual, tracks
+from .plans import gridding, matching, spectral, textual, tracks, two_epoch
 
-_MODULES = (matching, gridding, spectral, tracks, textual)
+_MODULES = (matching, gridding, spectral, tracks, textual, two_epoch)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
 ORACLE_SQL: dict[str, str] = {k: v for m in _MODULES for k, v in m.SQL.items()}
