@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import sky
 from ..operators import robust, spatial
 from ..session import reachable
+from .matching import _HAV
 from .views import sql, view
 
 #: The order in which vetoes count: the first that holds names the rejection.
@@ -227,4 +228,11 @@ SQL = {
       g as (select 0.1::double + 0.05::double * i as sigma, f::double as share, i * 3 + j as k from (select unnest(range(30)) as i), (values (0, 0.5), (1, 0.7), (2, 0.9)) v(j, f)),
       s as (select k, sigma, share, sum(ln(share * (sep / (sigma * sigma) * exp(-sep * sep / (2 * sigma * sigma))) + (1 - share) * 2 * sep / 2.25::double + 1e-300::double)) as l from m, g group by all)
       select floor(sigma * 1e6 + 0.5) / 1e6 as sigma, share from s order by l desc, k limit 1""",
+    "linker_tracks": f"""with {sql('sky_a')}, s as (select id, ra, dec, flux, (id % 7 - 3) / 3600.0::double as step from sky_a where flux > 0),
+      a as (select id, ra, dec + step * 0.0::double * 4 as dec, flux * 1.0::double as flux from s), c as (select id, ra, dec + step * 0.5::double * 4 as dec from s), b as (select id, ra, dec + step * 1.0::double * 4 as dec, flux * 1.5::double as flux from s),
+      p as (select * from (select a.id as a_id, b.id as b_id, a.ra as ara, a.dec as adec, b.ra as bra, b.dec as bdec, a.flux as af, b.flux as bf, {_HAV} as sep from a join b on b.dec between a.dec - 0.006 and a.dec + 0.006 and b.ra between a.ra - 0.01 and a.ra + 0.01) where sep between 5 and 20 and bf / af between 0.4 and 2.5),
+      m as (select a_id, b_id, sep as arc, ara + 0.5::double * (bra - ara) as ra, adec + 0.5::double * (bdec - adec) as dec from p),
+      n as (select a.a_id, a.b_id, a.arc, b.id as c_id, {_HAV} as sep from m a join c b on b.dec between a.dec - 0.0015 and a.dec + 0.0015 and b.ra between a.ra - 0.003 and a.ra + 0.003),
+      r as (select *, row_number() over (partition by a_id, b_id order by sep, c_id) as r from n where sep <= 5)
+      select a_id, c_id, b_id from r where r = 1 and sep <= sqrt(11.829::double * 0.3::double * 0.3::double + pow(0.03::double * arc, 2))""",
 }
