@@ -12,8 +12,9 @@ A byte goes if a string of LENGTH bytes that covers it starts at another place t
    extensions give every pair's; extensions to the left are found likewise. A pair whose two extensions reach LENGTH
    covers both from the left end to the right one.
 
-An anchor with more than CHUNK different contexts is split; windows that one part can't settle are then counted
-by hash over all parts. Copies of whole texts are one text from the start.
+An anchor with more than CHUNK different contexts is divided. Windows that occur twice in a part are settled there; of all
+others, and of one of each of these, the hashes are counted over all parts, in packed rows. Copies of whole texts are
+one text from the start.
 
 Defined results: a null or empty text has no bytes; texts below LENGTH bytes lose nothing; repeated rows are copies of
 each other; null or repeated doc_ids don't matter (texts are known by their hash); an empty table gives an empty result.
@@ -30,14 +31,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import Scratch, table
+from .common import Scratch, sized_broadcast, table
 from .hashing import chunks, inverses, mixed, prefix_sums
 
 LENGTH = 400
 GRAM = 64
-CHUNK = 20_000
+CHUNK = 3_000
 #: Contexts that are sorted at a time; groups are never divided by it.
-SORTED = 4_000
+SORTED = 2_000
+#: Window hashes of divided groups that one bucket holds on average.
+BUCKET = 1_000_000
 #: Groups up to this size compare all pairs of neighbours' minima; larger ones go level by level.
 PAIRED = 64
 #: Bytes and rows up to which marks are broadcast to the scan of the texts; beyond, texts and marks meet by a shuffle.
@@ -116,12 +119,14 @@ class Suffixes:
 
     def verified(self, i: np.ndarray, j: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         """``lengths`` where the bytes agree so far; shorter where a hash lied."""
-        ends = np.cumsum(lengths)
-        within = np.arange(int(ends[-1]) if len(ends) else 0) - np.repeat(ends - lengths, lengths)
-        differ = self.data[np.repeat(self.start[i], lengths) + within] != self.data[np.repeat(self.start[j], lengths) + within]
         out = lengths.copy()
-        if differ.any():
-            np.minimum.at(out, np.repeat(np.arange(len(i)), lengths)[differ], within[differ])
+        for k in range(0, len(i), 1024):
+            n = lengths[k : k + 1024]
+            ends = np.cumsum(n)
+            within = np.arange(int(ends[-1])) - np.repeat(ends - n, n)
+            differ = self.data[np.repeat(self.start[i[k : k + 1024]], n) + within] != self.data[np.repeat(self.start[j[k : k + 1024]], n) + within]
+            if differ.any():
+                np.minimum.at(out, k + np.repeat(np.arange(len(n)), n)[differ], within[differ])
         return out
 
     def before(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -253,46 +258,75 @@ def reaches(group: np.ndarray, contexts: list[bytes], lead: np.ndarray) -> tuple
     return left_of, right_of
 
 
-def _window_rows(names: list, fps: np.ndarray, contexts: list[bytes], lead: np.ndarray, pos: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Hash, text and place of every window in contexts of a divided group."""
-    for t, fp, c, a, p in zip(names, fps, contexts, lead, pos, strict=True):
-        data = np.frombuffer(c, np.uint8)
-        sums = prefix_sums(data)
-        n = len(data) - LENGTH + 1
-        first = np.arange(n)
-        h = mixed((sums[LENGTH:] - sums[:n]) * inverses(len(data) + 1)[:n] + mixed(np.array([fp], np.int64).view(np.uint64)) + (a - first).astype(np.uint64))
-        start = p - a + first
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(np.full(n, t), pa.int64()), pa.array(start.astype(np.int32)), pa.array((start + LENGTH).astype(np.int32)), pa.array(h.view(np.int64))],
-            names=["tk", "lo", "hi", "window"],
-        )
+_COVERED = "tk bigint, lo int, hi int, bucket int, windows binary, tks binary, starts binary"
+_NAMES = [x.split()[0] for x in _COVERED.split(", ")]
 
 
-_COVERED = "tk bigint, lo int, hi int, window bigint"
+def _ranges(tk: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> pa.RecordBatch:
+    k = len(tk)
+    cols = [pa.array(tk.astype(np.int64)), pa.array(lo.astype(np.int32)), pa.array(hi.astype(np.int32)), pa.nulls(k, pa.int32())]
+    return pa.RecordBatch.from_arrays([*cols, *[pa.nulls(k, pa.binary())] * 3], names=_NAMES)
+
+
+def _windows(tk: np.ndarray, fp: int, contexts: list[bytes], lead: np.ndarray, pos: np.ndarray, buckets: int) -> Iterator[pa.RecordBatch]:
+    """A part of a divided group: ranges of windows that it has twice, and its distinct window hashes, packed by bucket."""
+    data = np.frombuffer(b"".join(contexts), np.uint8)
+    size = np.array([len(c) for c in contexts], np.int64)
+    count = size - LENGTH + 1
+    who = np.repeat(np.arange(len(contexts)), count)
+    within = np.arange(len(who)) - np.repeat(np.cumsum(count) - count, count)
+    at = np.repeat(np.cumsum(size) - size, count) + within
+    sums = prefix_sums(data)
+    salt = mixed(np.array([fp], np.int64).view(np.uint64))
+    h = mixed((sums[at + LENGTH] - sums[at]) * inverses(len(data) + 1)[at] + salt + (lead[who] - within).astype(np.uint64))
+    start = pos[who] - lead[who] + within
+    _, first, number, times = np.unique(h, return_index=True, return_inverse=True, return_counts=True)
+    twice = np.flatnonzero(times[number] > 1)
+    if len(twice):
+        w, s = who[twice], start[twice]
+        new = np.concatenate(([True], (w[1:] != w[:-1]) | (s[1:] != s[:-1] + 1)))
+        begin = np.flatnonzero(new)
+        end = np.concatenate((begin[1:], [len(w)])) - 1
+        yield _ranges(tk[w[begin]], s[begin], s[end] + LENGTH)
+    # a window that is settled here goes on without a place (-1), for those that have it once elsewhere
+    h, t, place = h[first], tk[who[first]], np.where(times > 1, -1, start[first])
+    bucket = (h % np.uint64(buckets)).astype(np.int32)
+    order = np.argsort(bucket, kind="stable")
+    edges = np.flatnonzero(np.concatenate(([True], np.diff(bucket[order]) != 0)))
+    for a, b in zip(edges, [*edges[1:], len(order)], strict=True):
+        k = order[a:b]
+        cols = [pa.nulls(1, pa.int64()), pa.nulls(1, pa.int32()), pa.nulls(1, pa.int32()), pa.array([int(bucket[k[0]])], pa.int32())]
+        blobs = [h[k].tobytes(), t[k].astype(np.int64).tobytes(), place[k].astype(np.int32).tobytes()]
+        yield pa.RecordBatch.from_arrays([*cols, *[pa.array([x], pa.binary()) for x in blobs]], names=_NAMES)
+
+
+def _counted(group: pa.Table) -> pa.Table:
+    """Windows with a place whose hashes occur twice in the bucket."""
+    join = lambda name, kind: np.frombuffer(b"".join(group.column(name).to_pylist()), kind)
+    h, tk, start = join("windows", np.uint64), join("tks", np.int64), join("starts", np.int32)
+    _, number, times = np.unique(h, return_inverse=True, return_counts=True)
+    k = np.flatnonzero((times[number] > 1) & (start >= 0))
+    return pa.table({"tk": pa.array(tk[k]), "lo": pa.array(start[k]), "hi": pa.array(start[k] + np.int32(LENGTH))})
 
 
 def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Covered ranges of sorted context rows (fp, part, parts, tk, pos, lead, ctx), many groups at a time."""
+    """Covered ranges of sorted context rows (fp, part, buckets, tk, pos, lead, ctx), many groups at a time; buckets: 0 if undivided."""
 
     def flush(rows: list) -> Iterator[pa.RecordBatch]:
-        fp, part, parts, tk, pos, lead, ctx = zip(*rows, strict=True)
+        fp, part, buckets, tk, pos, lead, ctx = zip(*rows, strict=True)
         key = np.array([fp, part], np.int64).T
         group = np.concatenate(([0], np.cumsum((key[1:] != key[:-1]).any(axis=1))))
-        lead, pos = np.array(lead, np.int64), np.array(pos, np.int64)
-        left, right = reaches(group, list(ctx), lead)
-        k = np.flatnonzero(left >= 0)
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array(np.array(tk, np.int64)[k]),
-                pa.array((pos - left)[k].astype(np.int32)),
-                pa.array((pos + right)[k].astype(np.int32)),
-                pa.nulls(len(k), pa.int64()),
-            ],
-            names=["tk", "lo", "hi", "window"],
-        )
-        d = [i for i, p in enumerate(parts) if p > 1]
-        if d:
-            yield from _window_rows([tk[i] for i in d], [fp[i] for i in d], [ctx[i] for i in d], lead[d], pos[d])
+        tk, lead, pos = (np.array(x, np.int64) for x in (tk, lead, pos))
+        divided = np.array(buckets) > 0
+        k = np.flatnonzero(~divided)
+        if len(k):
+            left, right = reaches(group[k], [ctx[i] for i in k], lead[k])
+            found = left >= 0
+            k = k[found]
+            yield _ranges(tk[k], pos[k] - left[found], pos[k] + right[found])
+        for g in np.unique(group[divided]):
+            k = np.flatnonzero(group == g)
+            yield from _windows(tk[k], fp[k[0]], [ctx[i] for i in k], lead[k], pos[k], buckets[k[0]])
 
     held: list = []
     for batch in batches:
@@ -362,20 +396,22 @@ def covered(docs: DataFrame, scratch: Scratch) -> DataFrame:
         reps.groupBy("tk").agg(_packed("pos", "fp").alias("marks")).join(texts.select("tk", "one"), "tk"), "wanted"
     )
     rows = _emitted(docs, wanted)
-    big = info.where(F.col("several") & (F.col("k") > CHUNK)).select("fp", "k").distinct()
-    big = scratch.keep(big, "big")
-    if big.limit(1).count():
-        rows = rows.join(F.broadcast(big), "fp", "left")  # as few as there are anchors with more than CHUNK contexts
+    big = scratch.keep(info.where(F.col("several") & (F.col("k") > CHUNK)).select("fp", "k").distinct(), "big")
+    members = big.agg(F.sum("k")).first()[0]
+    if members:
+        # as few rows as there are anchors with more than CHUNK contexts
+        rows = rows.join(sized_broadcast(big), "fp", "left")
         parts = F.coalesce(F.ceil(F.col("k") / CHUNK), F.lit(1)).cast("int")
+        buckets = F.when(F.col("k").isNull(), 0).otherwise(max(1, members * LENGTH // BUCKET)).cast("int")
+        rows = rows.withColumn("part", F.pmod(F.xxhash64("tk", "pos"), parts).cast("int")).withColumn("buckets", buckets)
     else:
-        parts = F.lit(1)
-    rows = rows.withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("tk", "pos"), F.col("parts")).cast("int"))
-    rows = rows.select("fp", "part", "parts", "tk", "pos", "lead", "ctx").repartition("fp", "part").sortWithinPartitions("fp", "part")
+        rows = rows.withColumns({"part": F.lit(0), "buckets": F.lit(0)})
+    rows = rows.select("fp", "part", "buckets", "tk", "pos", "lead", "ctx").repartition("fp", "part").sortWithinPartitions("fp", "part")
     settled = scratch.keep(rows.mapInArrow(_settle, _COVERED), "settled")
-    windows = settled.where("window is not null")
-    twice = windows.groupBy("window").agg(F.min(F.struct("tk", "lo")).alias("a"), F.max(F.struct("tk", "lo")).alias("b")).where("a <> b")
-    ranges = settled.where("window is null").select("tk", "lo", "hi")
-    ranges = ranges.unionByName(windows.join(twice, "window", "left_semi").select("tk", "lo", "hi"))
+    ranges = settled.where("bucket is null").select("tk", "lo", "hi")
+    if members:
+        packed = settled.where("bucket is not null").select("bucket", "windows", "tks", "starts")
+        ranges = ranges.unionByName(packed.groupBy("bucket").applyInArrow(_counted, "tk bigint, lo int, hi int"))
     # what a representative's context covers holds for all places with that context
     ranges = ranges.unionByName(whole).unionByName(texts.where("copies > 1").select("tk", F.lit(0).alias("lo"), F.col("size").alias("hi")))
     high = F.max("hi").over(W.partitionBy("tk").orderBy("lo", "hi").rowsBetween(W.unboundedPreceding, -1))
