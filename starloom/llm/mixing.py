@@ -197,14 +197,20 @@ def mix(docs: DataFrame, weights: DataFrame | None = None, *, seed: str = "mix",
 
 
 def mixed_documents(docs: DataFrame, weights: DataFrame | None = None, *, seed: str = "mix") -> DataFrame:
-    """``docs`` as the mix repeats them: each round(taken / size) times, none at 0. Columns stay those of ``docs``."""
+    """``docs`` as the mix repeats them; columns stay those of ``docs``.
+
+    A document of which the mix takes a share comes floor(taken / size + u) times, u being a seeded number in [0, 1) of its
+    own: on average as often as it is taken, whatever a document's length is to a block's.
+    """
     m = mix(docs, weights, seed=seed)
+    chance = _hex("_key", 1, 8) / F.lit(float(1 << 32))
     copies = (
         m.where("size > 0")
         .groupBy("doc_id", "size")
-        .agg(F.floor(F.sum("taken") / F.sum("size") + F.lit(0.5)).cast("int").alias("_copies"))
+        .agg((F.sum("taken") / F.sum("size")).alias("_share"))
+        .withColumn("_key", F.md5(F.concat_ws(":", F.lit(seed), F.lit("copies"), F.col("doc_id").cast("string"), F.col("size").cast("string"))))
+        .select(F.col("doc_id").alias("_id"), F.col("size").alias("_size"), F.floor(F.col("_share") + chance).cast("int").alias("_copies"))
         .where("_copies > 0")
-        .select(F.col("doc_id").alias("_id"), F.col("size").alias("_size"), "_copies")
     )
     sized = docs.withColumn("_words", count_words(F.col("text")))
     return (
