@@ -87,7 +87,7 @@ def shingle_sets(texts: list[bytes | None], size: int = 5) -> list[np.ndarray]:
     return out
 
 
-def chunks(values: list[bytes | None], most: int = 2 << 20):
+def chunks(values: list[bytes | None], most: int = 1 << 20):
     """Index ranges of consecutive texts of about ``most`` bytes; a longer text is a range of its own."""
     start = total = 0
     for i, v in enumerate(values):

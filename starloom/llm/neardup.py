@@ -38,7 +38,7 @@ DENSITY = 0.42
 ALL_PAIRS = 6
 #: Signatures that one bucket holds on average.
 BUCKET = 1_000_000
-CHUNK = 1_000_000
+CHUNK = 500_000
 #: Members of a group that are compared with as many others at a time.
 BLOCK = 1_000
 
