@@ -1,9 +1,12 @@
 """Language-model scoring: cross-entropy difference of a target and a background bigram model.
 
-Both models count the same hashed vocabulary over all documents: unigrams and bigrams of lower-cased words fall on
-2 ** bits places each, bits by the corpus's size up to MAX_BITS (which bounds what is sent to the workers). They are matched: the
-background's counts are scaled to the target's number of words, and both use the same Dirichlet smoothing. A document's score
-is the mean over its words of target loss minus background loss, in nats; low means close to the target.
+Both models count the same hashed vocabulary over all documents: unigrams of lower-cased words fall on a place for 8 to 16
+words of the corpus, bigrams on a place a word at least, without a ceiling. They are matched: the background's counts are
+scaled to the target's number of words, and both use the same Dirichlet smoothing. A document's score is the mean over its
+words of target loss minus background loss, in nats; low means close to the target.
+
+Counts never leave the executors. Documents are packed into chunks; a chunk sends what it counts to buckets of places, and
+each bucket adds up and answers every chunk with the sums at the places that the chunk has.
 
 Target documents are those labelled quality = 1; the background is all documents.
 
@@ -15,6 +18,7 @@ table gives an empty result. Several labels of a document: it is a target if any
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,84 +27,134 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch, count_words, sized_broadcast, table
-from .hashing import chunks, mixed, word_hashes
+from .hashing import mixed, word_hashes
 
-MIN_BITS, MAX_BITS = 14, 19
-#: Places whose counts travel to the driver as one packed row.
-BLOCK = 1 << 15
+MIN_BITS = 14
+#: Bytes of text of a chunk, and words of the corpus for each bucket of places.
+CHUNK = 1 << 22
+BUCKET = 2_000_000
 ALPHA = 0.1
 MU = 20.0
 
+_PARTS = "chunk bigint, bucket int, n int, places binary, target binary, background binary, ids array<bigint>, lengths array<bigint>, texts binary"
+
+
+def sizes(words: int) -> tuple[int, int]:
+    """Bits of the places of unigrams and of bigrams for a corpus of so many words."""
+    bits = math.ceil(math.log2(words + 1))
+    return max(MIN_BITS, bits - 4), max(MIN_BITS, bits)
 
-def places(texts: list[bytes | None], bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+
+def places(texts: list[bytes | None], bits: int, bi_bits: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Places of each word's unigram and of the bigram that it ends, whether it is a first word, and words per text."""
     h, counts = word_hashes(texts)
-    shift = np.uint64(64 - bits)
-    uni = (mixed(h) >> shift).astype(np.int64)
+    uni = (mixed(h) >> np.uint64(64 - bits)).astype(np.int64)
     prev = np.concatenate((np.zeros(1, np.uint64), h[:-1])) if len(h) else h
-    bi = (mixed(prev * np.uint64(0x9FB21C651E98DF25) + h) >> shift).astype(np.int64)
+    bi = (mixed(prev * np.uint64(0x9FB21C651E98DF25) + h) >> np.uint64(64 - (bi_bits or bits))).astype(np.int64)
     first = np.zeros(len(h), bool)
     starts = np.cumsum(counts) - counts
     first[starts[counts > 0]] = True
     return uni, bi, first, counts
 
 
-class Model:
-    """Smoothed log-probabilities of one model, from counts of unigrams and bigrams at their places."""
-
-    def __init__(self, uni: np.ndarray, bi: np.ndarray):
-        total = uni.sum()
-        self.uni = (uni + ALPHA) / (total + ALPHA * len(uni))
-        self.count = uni
-        self.bi = bi
-
-    def loss(self, uni: np.ndarray, bi: np.ndarray, first: np.ndarray) -> np.ndarray:
-        p = self.uni[uni].astype(np.float64)
-        before = np.concatenate((np.zeros(1, np.int64), uni[:-1])) if len(uni) else uni
-        joint = (self.bi[bi] + MU * p) / (self.count[before] + MU)
-        return -np.log(np.where(first, p, np.minimum(joint, 1.0)))
-
-
-def counts(docs: DataFrame, bits: int) -> DataFrame:
-    """place, target, background: bigrams stand behind the 2 ** bits unigrams."""
+def _pack(x: np.ndarray) -> bytes:
+    """Integers in as few bytes each as the largest needs, compressed behind that number."""
+    x = x.astype(np.min_scalar_type(int(x.max())))
+    return bytes([x.itemsize]) + pa.compress(x.tobytes(), codec="zstd", asbytes=True)
+
+
+def _unpack(blob: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(pa.decompress(blob[1:], n * blob[0], codec="zstd"), f"u{blob[0]}").astype(np.int64)
+
+
+class Chunk:
+    """The places of a chunk's words: bigrams stand behind the 2 ** bits unigrams; ``at`` holds the distinct ones by bucket."""
+
+    def __init__(self, texts: list[bytes | None], bits: int, bi_bits: int, buckets: int):
+        uni, bi, self.first, self.words = places(texts, bits, bi_bits)
+        self.follows = ~self.first
+        at, self.place = np.unique(np.concatenate((uni, (1 << bits) + bi[self.follows])), return_inverse=True)
+        bucket = at % buckets
+        order = np.argsort(bucket, kind="stable")
+        back = np.empty(len(order), np.int64)
+        back[order] = np.arange(len(order))
+        self.place = back[self.place]
+        self.at, self.bucket = at[order], bucket[order]
+
+    def loss(self, count: np.ndarray, total: float, vocabulary: int) -> np.ndarray:
+        """Every word's loss by a model's counts at the places ``at``."""
+        n = len(self.first)
+        uni = count[self.place[:n]]
+        p = (uni + ALPHA) / (total + ALPHA * vocabulary)
+        out = p.copy()
+        before = uni[np.flatnonzero(self.follows) - 1]
+        out[self.follows] = np.minimum((count[self.place[n:]] + MU * p[self.follows]) / (before + MU), 1.0)
+        return -np.log(out)
+
+
+def _parts(marked: DataFrame, bits: int, bi_bits: int, buckets: int) -> DataFrame:
+    """For each chunk one row with its documents (bucket null), and one for each bucket with its places and their counts."""
+    most = CHUNK
+    schema = pa.schema(
+        [("chunk", pa.int64()), ("bucket", pa.int32()), ("n", pa.int32()), *[(k, pa.binary()) for k in ("places", "target", "background")],
+         ("ids", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int64())), ("texts", pa.binary())]
+    )
+
+    def packed(held: list) -> pa.RecordBatch:
+        ids, targets, texts = zip(*held, strict=True)
+        name = uuid.uuid4().int >> 65
+        joined = b"".join(t or b"" for t in texts)
+        rows = [(name, None, len(joined), None, None, None, list(ids), [len(t or b"") for t in texts], pa.compress(joined, codec="zstd", asbytes=True))]
+        c = Chunk(list(texts), bits, bi_bits, buckets)
+        chosen = np.repeat(np.array(targets, bool), c.words)
+        chosen = np.concatenate((chosen, chosen[c.follows]))
+        background = np.bincount(c.place, minlength=len(c.at))
+        target = np.bincount(c.place[chosen], minlength=len(c.at))
+        starts = np.flatnonzero(np.concatenate(([True], c.bucket[1:] != c.bucket[:-1]))) if len(c.at) else []
+        for a, b in zip(starts, [*starts[1:], len(c.at)], strict=True) if len(c.at) else ():
+            steps = np.diff(c.at[a:b] // buckets, prepend=0)
+            rows.append((name, int(c.bucket[a]), int(b - a), _pack(steps), _pack(target[a:b]), _pack(background[a:b]), None, None, None))
+        return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        size = 1 << bits
-        both = np.zeros((2, 2 * size), np.int64)
-
+        held: list = []
+        total = 0
         for batch in batches:
-            targets = np.array(batch.column(0).to_pylist(), bool)
-            texts = batch.column(1).cast(pa.binary()).to_pylist()
-            for a, b in chunks(texts):
-                uni, bi, first, n = places(texts[a:b], bits)
-                chosen = np.repeat(targets[a:b], n)
-                for row, pick in ((0, slice(None)), (1, chosen)):
-                    both[row, :size] += np.bincount(uni[pick], minlength=size)
-                    both[row, size:] += np.bincount(bi[pick][~first[pick]], minlength=size)
-        at = np.flatnonzero(both[0])
-        for k in range(0, len(at), 1 << 16):
-            s = at[k : k + (1 << 16)]
-            yield pa.RecordBatch.from_arrays([pa.array(s.astype(np.int32)), pa.array(both[1][s]), pa.array(both[0][s])], names=["place", "target", "background"])
-
-    parts = docs.select("is_target", "text").mapInArrow(run, "place int, target bigint, background bigint")
-    return parts.groupBy("place").agg(F.sum("target").alias("target"), F.sum("background").alias("background"))
-
-
-def dense_counts(found: DataFrame, bits: int) -> np.ndarray:
-    """Target and background counts at all places: at most 2 ** (MAX_BITS + 1) places come to the driver, packed by block."""
-
-    def pack(group: pa.Table) -> pa.Table:
-        place = group.column("place").to_numpy()
-        out = np.zeros((2, BLOCK), np.float32)
-        for row, name in enumerate(("target", "background")):
-            out[row, place % BLOCK] = group.column(name).to_numpy()
-        return pa.table({"block": pa.array([int(place[0]) // BLOCK], pa.int32()), "counts": pa.array([out.tobytes()], pa.binary())})
-
-    dense = np.zeros((2, max(BLOCK, 2 << bits)), np.float32)
-    blocks = found.withColumn("block", F.floor(F.col("place") / BLOCK).cast("int")).groupBy("block").applyInArrow(pack, "block int, counts binary")
-    for r in blocks.toLocalIterator():
-        dense[:, r.block * BLOCK : (r.block + 1) * BLOCK] = np.frombuffer(r.counts, np.float32).reshape(2, BLOCK)
-    return dense[:, : 2 << bits]
+            cols = (batch.column(0), batch.column(1), batch.column(2).cast(pa.binary()))
+            for row in zip(*[c.to_pylist() for c in cols], strict=True):
+                size = len(row[2] or b"") + 1
+                if held and total + size > most:
+                    yield packed(held)
+                    held, total = [], 0
+                held.append(row)
+                total += size
+        if held:
+            yield packed(held)
+
+    return marked.select("doc_id", "is_target", "text").mapInArrow(run, _PARTS)
+
+
+def _answers(parts: DataFrame) -> DataFrame:
+    """The rows of the buckets with the counts of all chunks at their places in place of their own."""
+
+    def add(group: pa.Table) -> pa.Table:
+        n = group.column("n").to_pylist()
+        cols = [[_unpack(x, k) for x, k in zip(group.column(c).to_pylist(), n, strict=True)] for c in ("places", "target", "background")]
+        at = np.concatenate([np.cumsum(x) for x in cols[0]])
+        order = np.argsort(at, kind="stable")
+        at = at[order]
+        new = np.concatenate(([True], at[1:] != at[:-1]))
+        starts, of = np.flatnonzero(new), np.cumsum(new) - 1
+        ends = np.cumsum(n)
+        out = []
+        for x in cols[1:]:
+            sums = np.empty(len(order), np.int64)
+            sums[order] = np.add.reduceat(np.concatenate(x)[order], starts)[of]
+            out.append(pa.array([_pack(sums[b - k : b]) for k, b in zip(n, ends, strict=True)], pa.binary()))
+        return pa.table({"chunk": group.column("chunk"), "bucket": group.column("bucket"), "n": group.column("n"), "target": out[0], "background": out[1]})
+
+    asked = parts.where("bucket is not null").select("chunk", "bucket", "n", "places", "target", "background")
+    return asked.groupBy("bucket").applyInArrow(add, "chunk bigint, bucket int, n int, target binary, background binary")
 
 
 def score(docs: DataFrame, targets: DataFrame) -> DataFrame:
@@ -108,34 +162,41 @@ def score(docs: DataFrame, targets: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     scratch = Scratch(spark)
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    words = slim.agg(F.coalesce(F.sum(count_words(F.col("text"))), F.lit(0))).first()[0]
-    bits = min(MAX_BITS, max(MIN_BITS, math.ceil(math.log2(words + 1)) - 4))
     t = sized_broadcast(targets.select(F.col("doc_id").cast("long").alias("_id")).where("_id is not null").distinct())
-    marked = slim.join(t, slim.doc_id == t["_id"], "left").select(F.col("_id").isNotNull().alias("is_target"), "text")
-    dense = dense_counts(scratch.keep(counts(marked, bits), "counts"), bits)
-    size = 1 << bits
-    if not dense[0].any():
-        dense[0] = dense[1]
-    dense[1] *= dense[0, :size].sum(dtype=np.float64) / max(1.0, dense[1, :size].sum(dtype=np.float64))
-    sent = spark.sparkContext.broadcast(dense)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        models = [Model(d[:size], d[size:]) for d in sent.value]
-        for batch in batches:
-            texts = batch.column(1).cast(pa.binary()).to_pylist()
-            out: list[list] = [[], [], []]
-            for a, b in chunks(texts):
-                uni, bi, first, n = places(texts[a:b], bits)
-                ends = np.concatenate(([0], np.cumsum(n)))
-                out[0] += n.tolist()
-                for o, m in zip(out[1:], models, strict=True):
-                    loss = np.concatenate(([0.0], np.cumsum(m.loss(uni, bi, first))))
-                    sums = loss[ends[1:]] - loss[ends[:-1]]
-                    o += [x / k if k else None for x, k in zip(sums.tolist(), n.tolist(), strict=True)]
-            cols = [batch.column(0), pa.array(out[0], pa.int64()), pa.array(out[1], pa.float64()), pa.array(out[2], pa.float64())]
-            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n_tokens", "target_loss", "background_loss"])
-
-    scored = slim.mapInArrow(run, "doc_id bigint, n_tokens bigint, target_loss double, background_loss double")
+    sized = slim.select("doc_id", count_words(F.col("text")).alias("words"))
+    sized = sized.join(t, sized.doc_id == t["_id"], "left")
+    words, chosen = sized.agg(F.coalesce(F.sum("words"), F.lit(0)), F.coalesce(F.sum(F.when(F.col("_id").isNotNull(), F.col("words"))), F.lit(0))).first()
+    bits, bi_bits = sizes(words)
+    buckets = max(8, words // BUCKET)
+    marked = slim.join(t, slim.doc_id == t["_id"], "left").withColumn("is_target", F.col("_id").isNotNull())
+    parts = scratch.keep(_parts(marked, bits, bi_bits, buckets), "parts")
+    total = float(chosen or words)
+    scale = total / max(1, words)
+
+    def finish(group: pa.Table) -> pa.Table:
+        group = group.sort_by([("bucket", "ascending")])  # nulls, that is the documents, come last
+        ids, lengths, texts = (group.column(c)[-1].as_py() for c in ("ids", "lengths", "texts"))
+        *n, size = group.column("n").to_pylist()
+        joined = pa.decompress(texts, size, codec="zstd", asbytes=True)
+        stops = np.cumsum(lengths).tolist()
+        texts = [joined[b - k : b] for k, b in zip(lengths, stops, strict=True)]
+        c = Chunk(texts, bits, bi_bits, buckets)
+        got = [
+            np.concatenate([np.zeros(0), *[_unpack(x, k) for x, k in zip(group.column(name).to_pylist(), n, strict=False)]])
+            for name in ("target", "background")
+        ]
+        models = (got[0] if chosen else got[1], got[1] * scale)
+        ends = np.concatenate(([0], np.cumsum(c.words)))
+        out = []
+        for m in models:
+            loss = np.concatenate(([0.0], np.cumsum(c.loss(m, total, 1 << bits))))
+            sums = loss[ends[1:]] - loss[ends[:-1]]
+            out.append(pa.array([x / k if k else None for x, k in zip(sums.tolist(), c.words.tolist(), strict=True)], pa.float64()))
+        return pa.table({"doc_id": pa.array(ids, pa.int64()), "n_tokens": pa.array(c.words, pa.int64()), "target_loss": out[0], "background_loss": out[1]})
+
+    own = parts.where("bucket is null").select("chunk", "bucket", "n", "target", "background", "ids", "lengths", "texts")
+    met = own.unionByName(_answers(parts), allowMissingColumns=True)
+    scored = met.groupBy("chunk").applyInArrow(finish, "doc_id bigint, n_tokens bigint, target_loss double, background_loss double")
     return scored.withColumn("score", F.col("target_loss") - F.col("background_loss"))
 
 

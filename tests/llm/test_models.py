@@ -1,5 +1,6 @@
 import math
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -101,6 +102,42 @@ def test_language_model_losses_by_hand(spark):
     assert out[4].n_tokens == 0 and out[4].score is None and out[5].score is None
 
 
+def test_language_model_grows_with_the_corpus(spark, monkeypatch):
+    """Many chunks and buckets add up to the counts of one table, which no ceiling keeps from following the corpus."""
+    for name, value in (("MAX_BITS", lmscore.MIN_BITS), ("CHUNK", 50_000), ("BUCKET", 20_000)):
+        monkeypatch.setattr(lmscore, name, value, raising=False)
+    r = random.Random(3)
+    texts = [" ".join(f"w{r.randrange(3000)}" for _ in range(300)) for _ in range(1000)]
+    chosen = spark.createDataFrame([(i,) for i in range(200)], "doc_id bigint")
+    out = {x.doc_id: x for x in lmscore.score(docs(spark, list(enumerate(texts))), chosen).collect()}
+    assert len(out) == len(texts)
+
+    # the true bigrams of all documents, without any hashing
+    uni, bi = Counter(), Counter()
+    for t in texts:
+        w = t.split()
+        uni.update(w)
+        bi.update(zip(w, w[1:], strict=False))
+    size = 1 << 15
+    for i in range(0, 1000, 100):
+        w = texts[i].split()
+        p = [(uni[x] / 5 + lmscore.ALPHA) / (60_000 + lmscore.ALPHA * size) for x in w]
+        q = [p[0]] + [(bi[a, b] / 5 + lmscore.MU * y) / (uni[a] / 5 + lmscore.MU) for a, b, y in zip(w, w[1:], p[1:], strict=False)]
+        assert abs(out[i].background_loss + sum(map(math.log, q)) / len(w)) < 0.4
+
+    # the same hashes counted in one dense table for each model
+    hashed = [lmscore.places([t.encode()], 15, 19)[:2] for t in texts]
+    for column, own, scale in (("target_loss", hashed[:200], 1.0), ("background_loss", hashed, 0.2)):
+        u, b = np.zeros(size), np.zeros(1 << 19)
+        for x, y in own:
+            np.add.at(u, x, scale)
+            np.add.at(b, y[1:], scale)
+        p = (u + lmscore.ALPHA) / (60_000 + lmscore.ALPHA * size)
+        for i, (x, y) in enumerate(hashed):
+            q = np.minimum(1.0, (b[y[1:]] + lmscore.MU * p[x[1:]]) / (u[x[:-1]] + lmscore.MU))
+            assert abs(out[i][column] + (np.log(p[x[0]]) + np.log(q).sum()) / len(x)) < 1e-9
+
+
 def test_language_model_of_nothing(spark):
     none = spark.createDataFrame([], "doc_id bigint")
     assert lmscore.score(docs(spark, []), none).count() == 0
