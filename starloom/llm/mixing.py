@@ -1,9 +1,10 @@
-"""Mixing sources to target weights by Sainte-Lague apportionment of equal-token blocks.
+"""Mixing sources to target weights by Sainte-Lague apportionment, taken in equal-token blocks.
 
-Every source's documents form, in a seeded order, a stream of words that is cut into blocks of one size. Seats
-(blocks) go to sources by the highest quotients target / (2k - 1); each source's seats go to its shards in the same
-way; within a shard a seeded permutation selects that many blocks. A quota beyond a shard's own blocks repeats whole
-passes over it. Only built-in DataFrame functions are used.
+Seats (words) go to sources by the highest quotients target / (2k - 1); each source's seats go to its shards in the same
+way by their sizes, so that no shard is dealt more than the cap while the source isn't. Every source's documents form, in
+a seeded order, a stream of words that is cut into blocks of one size; within a shard a seeded permutation orders the
+blocks, and whole blocks, the last one in part, fill the quota. A quota beyond a shard's own words repeats whole passes
+over it. Only built-in DataFrame functions are used.
 
 Defined results: a null or empty text has size 0 and takes 0; a null source is a source of its own; repeated rows
 are documents of their own; an empty table gives an empty result; ties in the order fall to doc_id, then size.
@@ -128,19 +129,19 @@ def mix(docs: DataFrame, weights: DataFrame | None = None, *, seed: str = "mix",
     all_words = F.sum("source_size").over(W.partitionBy(F.lit(0)))
     block = F.least(F.lit(MAX_BLOCK), F.greatest(F.lit(1), (all_words / MIN_BLOCKS).cast("long"))).cast("long")
     shared = targets(sources, cap).withColumn("block", block)
-    shared = shared.withColumn("seats", F.floor(F.sum("target").over(W.partitionBy(F.lit(0))) / F.col("block")).cast("long"))
+    shared = shared.withColumn("seats", F.floor(F.sum("target").over(W.partitionBy(F.lit(0)))).cast("long"))
     dealt = scratch.keep(
         sainte_lague(shared, [], "source", "target", "seats").select(
-            "source", "source_size", "target", "block", F.col("quota").alias("source_blocks"),
+            "source", "source_size", "target", "block", F.least("quota", F.col("source_size") * cap).cast("long").alias("source_words"),
             F.greatest(F.lit(1), F.ceil(F.col("n_docs") / (SHARDS * CELL_DOCS))).cast("long").alias("cells"),
         ),
         "sources",
     )
     d = dealt.withColumnRenamed("source", "_s")
     joined = per_shard.join(sized_broadcast(d), per_shard.source.eqNullSafe(d["_s"])).drop("_s")
-    quotas = sainte_lague(joined, ["source"], "shard", "shard_size", "source_blocks").select(
-        "source", "shard", "shard_size", "source_size", "target", "block", "cells",
-        F.least(F.col("quota") * F.col("block"), F.col("shard_size") * cap).alias("quota_words"),
+    joined = joined.withColumn("votes", F.col("shard_size").cast("double"))
+    quotas = sainte_lague(joined, ["source"], "shard", "votes", "source_words").select(
+        "source", "shard", "shard_size", "source_size", "target", "block", "cells", F.col("quota").alias("quota_words")
     )
     quotas = scratch.keep(quotas, "quotas")
 
@@ -168,19 +169,18 @@ def mix(docs: DataFrame, weights: DataFrame | None = None, *, seed: str = "mix",
         .withColumn("passes", F.when(z > 0, F.floor(F.col("quota_words") / z)).otherwise(0).cast("long"))
         .withColumn("rest", F.col("quota_words") - F.col("passes") * z)
         .withColumn("blocks", F.greatest(F.lit(1), F.ceil(z / b)).cast("long"))
-        .withColumn("whole", F.floor(F.col("rest") / b).cast("long"))
         .withColumn("offset", F.pmod(F.xxhash64(F.lit(seed), F.col("source"), F.col("shard")), F.col("blocks")))
     )
 
     def position(i: Column) -> Column:
         return F.pmod(i * F.lit(PRIME) + F.col("offset"), F.col("blocks"))
 
-    # the last block is short; what it lacks, if it is selected, is made up from the partly taken block
-    lacking = F.when(position(F.col("blocks") - 1) < F.col("whole"), F.col("blocks") * b - z).otherwise(0)
-    partial = F.col("rest") - F.col("whole") * b + lacking
+    # words before a block in the permuted order: whole blocks, of which the stream's last one is short
+    short = F.col("blocks") * b - z
 
     def words_of(i: Column) -> Column:
-        span = F.when(position(i) < F.col("whole"), b).when(position(i) == F.col("whole"), F.least(b, F.col("partial"))).otherwise(0)
+        before = position(i) * b - F.when(position(F.col("blocks") - 1) < position(i), short).otherwise(0)
+        span = F.greatest(F.lit(0), F.least(b, F.col("rest") - before))
         return F.greatest(F.lit(0), F.least(F.col("last"), i * b + span) - F.greatest(F.col("first"), i * b))
 
     covered = F.when(
@@ -191,7 +191,7 @@ def mix(docs: DataFrame, weights: DataFrame | None = None, *, seed: str = "mix",
             lambda acc, i: acc + words_of(i),
         ),
     ).otherwise(0)
-    return taken.withColumn("partial", partial).select(
+    return taken.select(
         "doc_id", "source", "size", "source_size", "target", (F.col("passes") * F.col("size") + covered).cast("long").alias("taken")
     )
 

@@ -57,6 +57,20 @@ def test_taken_is_near_target_and_bounded(spark):
     assert sorted(map(str, got)) == sorted(map(str, again))
 
 
+def test_small_sources_get_their_targets_beside_large_blocks(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "MIN_BLOCKS", 1)
+    words = lambda n: " ".join(["w"] * n)
+    rows = [(i, words(400), "large") for i in range(300)] + [(1000 + i, words(100), "small") for i in range(20)]
+    rows += [(2000 + i, words(150), "some") for i in range(200)] + [(3000, words(90), "tiny")]
+    by = {}
+    for x in mixing.mix(docs(spark, rows)).collect():
+        assert 0 <= x.taken <= 3 * x["size"]
+        by[x.source] = (x.target, by.get(x.source, (0, 0))[1] + x.taken)
+    assert set(by) == {"large", "small", "some", "tiny"}
+    for target, taken in by.values():
+        assert abs(taken - target) <= 1
+
+
 def test_empty_table_and_copies(spark):
     assert mixing.mix(docs(spark, [])).count() == 0
     one = docs(spark, [(1, "a b c d", "s"), (2, "e f g h", "s")])
