@@ -65,13 +65,13 @@ def with_prefix(windows: DataFrame, counts: DataFrame) -> DataFrame:
 
 
 def contamination(docs: DataFrame, items: DataFrame, scratch: Scratch, size: int = WINDOW) -> DataFrame:
-    """doc_id, n_words, n_hit, items (distinct item ids as strings, sorted) for every document."""
+    """doc_id, n_words, n_hit, items (distinct item ids as strings, sorted) and the text's digest for every document."""
     windows = scratch.keep(item_windows(items, size), "windows")
     counts = scratch.keep(rarity(docs, windows), "counts")
     ready = scratch.keep(with_prefix(windows, counts), "ready")
     tokens = ready.select("token").distinct()
     few = [r[0] for r in tokens.limit(LITERAL_TOKENS + 1).collect()]
-    base = docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id", plain_words(F.col("text")).alias("plain"))
+    base = docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id", _digest(F.col("text")).alias("digest"), plain_words(F.col("text")).alias("plain"))
     base = base.select("*", _split(F.col("plain")).alias("w"))
     if len(few) <= LITERAL_TOKENS:
         own = F.array_intersect("w", F.array(*[F.lit(t) for t in few]).cast("array<string>"))
@@ -79,7 +79,7 @@ def contamination(docs: DataFrame, items: DataFrame, scratch: Scratch, size: int
         own = F.array_distinct("w")
     # a row for each prefix token that the document has, and one without a token that carries the document itself
     asked = base.select(
-        "rid", "doc_id", "plain", F.size("w").alias("n_words"), F.explode(F.concat(own, F.array(F.lit(None).cast("string")))).alias("_t")
+        "rid", "doc_id", "digest", "plain", F.size("w").alias("n_words"), F.explode(F.concat(own, F.array(F.lit(None).cast("string")))).alias("_t")
     )
     met = asked.join(sized_broadcast(ready, BROADCAST_ROWS), F.col("_t") == F.col("token"), "left")
     inside = (F.col("len") <= F.col("n_words")) & F.concat(F.lit(" "), "plain", F.lit(" ")).contains(F.concat(F.lit(" "), "win", F.lit(" ")))
@@ -96,7 +96,7 @@ def contamination(docs: DataFrame, items: DataFrame, scratch: Scratch, size: int
     hit = F.when(
         F.col("_t").isNotNull(), F.array_distinct(F.flatten(F.transform(places, lambda p: F.sequence(p, p + F.col("len") - 1))))
     )
-    found = met.select("rid", "doc_id", "n_words", hit.alias("hit"), "items")
+    found = met.select("rid", "doc_id", "digest", "n_words", hit.alias("hit"), "items")
     return (
         found.groupBy("rid")
         .agg(
@@ -104,16 +104,25 @@ def contamination(docs: DataFrame, items: DataFrame, scratch: Scratch, size: int
             F.max("n_words").cast("long").alias("n_words"),
             F.size(F.array_distinct(F.flatten(F.collect_list("hit")))).cast("long").alias("n_hit"),
             F.sort_array(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
+            F.first("digest").alias("digest"),
         )
         .drop("rid")
     )
 
 
+def _digest(text: Column) -> Column:
+    return F.md5(text.cast("binary"))
+
+
 def decontaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """``docs`` without those that hold a window of an item. The ids to drop are joined, not the texts."""
+    """``docs`` without those that hold a window of an item. The ids to drop are joined, not the texts.
+
+    Ids go with the digest of their text: clean documents stay that share a null or repeated id with one to drop.
+    """
     scratch = Scratch(docs.sparkSession)
-    bad = scratch.keep(contamination(docs, items, scratch).where("n_hit > 0").select(F.col("doc_id").alias("_id")).distinct(), "bad")
-    return docs.join(sized_broadcast(bad), docs.doc_id.eqNullSafe(bad["_id"]), "left_anti")
+    bad = contamination(docs, items, scratch).where("n_hit > 0").select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest"))
+    bad = scratch.keep(bad.distinct(), "bad")
+    return docs.join(sized_broadcast(bad), docs.doc_id.eqNullSafe(bad["_id"]) & (_digest(docs.text) == bad["_digest"]), "left_anti")
 
 
 def op7_decontam(spark, sf_dir) -> DataFrame:

@@ -46,6 +46,14 @@ def test_hits_equal_brute_force(spark):
     assert sorted(str(x.doc_id) for x in kept.collect()) == ["4", "5", "6", "7", "9"]
 
 
+def test_clean_documents_stay_beside_a_contaminated_one_of_their_id(spark):
+    rows = [(None, "one two three"), (None, "clean"), (None, None), (1, "so one two three"), (1, "clean too"), (1, None), (2, "one, Two three!")]
+    d = spark.createDataFrame([(i, t, "en", "s", 0, "x", "y") for i, t in rows], SCHEMA)
+    b = spark.createDataFrame([(1, "one two three")], "item_id bigint, text string")
+    got = sorted((str(x.doc_id), str(x.text)) for x in decontam.decontaminated(d, b).collect())
+    assert got == [("1", "None"), ("1", "clean too"), ("None", "None"), ("None", "clean")]
+
+
 def test_more_tokens_than_a_literal_list_holds(spark, monkeypatch):
     monkeypatch.setattr(decontam, "LITERAL_TOKENS", 1)
     d = spark.createDataFrame([(1, "a b c d"), (2, "c d e f")], "doc_id bigint, text string")
