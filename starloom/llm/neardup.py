@@ -10,7 +10,8 @@ Equal sets are one class from the start, so copies never meet as pairs. In a gro
 classes are compared with each other; larger groups compare everyone with a pivot. Every link is verified: first an
 odd sketch (parity bits; its distance bounds the true difference from below, so it never drops a link), then the sets.
 After the components are known, large groups with several of them go through further rounds (``_rest``), which end with an
-exact comparison of all documents that could still have a link. So no cap drops a link.
+exact comparison of all documents of different components that could still have a link. So components are exact; the
+links inside a component aren't all found, and no number of links is returned.
 
 Defined results: a null or empty text has an empty set, links with nothing and is its own component; shorter texts
 than a shingle are one shingle; repeated rows are copies; null doc_ids take part but name no component unless alone;
