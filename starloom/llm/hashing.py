@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -98,3 +100,17 @@ def chunks(values: list[bytes | None], most: int = 1 << 20):
         total += size
     if start < len(values):
         yield start, len(values)
+
+
+def pieces(column: pa.Array, most: int = 1 << 19) -> Iterator[tuple[int, list[bytes | None]]]:
+    """Consecutive rows of a string column, about ``most`` bytes at a time: (first row, texts); a longer text is alone."""
+    column = column.cast(pa.large_binary())
+    sizes = np.diff(np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]) + 1 if len(column) else []
+    start = total = 0
+    for i, size in enumerate(sizes):
+        if total and total + size > most:
+            yield start, column.slice(start, i - start).to_pylist()
+            start, total = i, 0
+        total += size
+    if start < len(column):
+        yield start, column.slice(start).to_pylist()

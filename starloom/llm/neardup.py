@@ -1,25 +1,35 @@
 """N-gram Jaccard join by PartEnum signatures, and the components of its links.
 
-A document's set is that of its distinct word shingles. Sets of one band of sizes split the domain of shingles into
-the same partitions; a signature is the hash of what a set has in one partition. Sets a <= b that reach the threshold
-differ in at most a / 3 elements (threshold 3/4), so that with more partitions than that, less the empty ones, they agree
-in a partition that is not empty: they share a signature. Sets of fewer than SMALL shingles use partitions of one element.
-A set near the lower end of its band also signs for the band below, where a smaller partner would be.
+A document's set is that of its distinct word shingles. Sets of one band of sizes split the domain of shingles into the
+same n1 first-level partitions, and each of these into three second-level ones; for every choice of two of the three, a
+signature is the hash of the first-level partition, the choice and what the set has there. Sets a <= b that reach the threshold
+(3/4) differ in at most k = (a + b) / 7 elements. As k < 2 * n1, some first-level partition holds one of these at most, and
+then one of its three choices agrees. A difference spoils two choices at first and one more later, so that k of
+them spoil ``_spoiled(k, n1)`` at most: a set with more signatures that aren't of nothing has a proper one in common with each
+similar set; a set with fewer (small ones that leave many partitions empty) also signs for what it hasn't got.
+A set near the lower end of its band also signs for the band below, where a smaller partner would be. Sets of fewer than
+SMALL shingles use partitions of one element.
+
+More signatures agree than one, in most cases. By one order of all signatures (their hashes) the largest ones are left out, as many
+as leave a share of agreeing ones; ``m`` says how many any similar set still shares.
 
 Equal sets are one class from the start, so copies never meet as pairs. In a group of one signature up to ALL_PAIRS
-classes are compared with each other; larger groups compare everyone with a pivot. Every link is verified: first an
+classes are compared with each other; larger groups compare everyone with a pivot. What a chunk of texts has of a hot
+signature is settled where the texts are read; only its pivot goes on. Every link is verified: first an
 odd sketch (parity bits; its distance bounds the true difference from below, so it never drops a link), then the sets.
 After the components are known, large groups with several of them go through further rounds (``_rest``), which end with an
 exact comparison of all documents of different components that could still have a link. So components are exact; the
 links inside a component aren't all found, and no number of links is returned.
 
 Defined results: a null or empty text has an empty set, links with nothing and is its own component; shorter texts
-than a shingle are one shingle; repeated rows are copies; null doc_ids take part but name no component unless alone;
-an empty table gives an empty result. Columns beyond doc_id and text are ignored.
+than a shingle are one shingle; very long texts are shingled whole, one at a time; repeated rows are copies; null doc_ids take
+part but name no component unless alone; a similarity of exactly 3/4 links; an empty table gives an empty result. Columns
+beyond doc_id and text are ignored.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,31 +39,38 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import Scratch, sized_broadcast, table
-from .hashing import chunks, mixed, shingle_sets
+from .hashing import mixed, pieces, shingle_sets
 
 SHINGLE = 5
 SMALL = 64
 RATIO = 3
-#: Partitions per element of the band's largest set: above 1/3 differing ones and exp(-1 / 0.42) * 0.42 empty ones.
-DENSITY = 0.42
+#: First-level partitions per element of the band's largest set: above 1/6 (half the differing elements) by the room for empty choices.
+DENSITY = 0.2
+#: A set of s shingles keeps s / SPARE more signatures than those that similar sets may spoil.
+SPARE = 16
 ALL_PAIRS = 6
-#: Signatures that one bucket holds on average.
+#: Classes that share a signature in one chunk of texts from which on the chunk settles them itself.
+LOCAL = 24
+#: Signatures that one bucket holds on average, and their number per byte of text.
 BUCKET = 1_000_000
-CHUNK = 500_000
+PER_BYTE = 0.13
+CHUNK = 400_000
 #: Members of a group that are compared with as many others at a time.
 BLOCK = 1_000
 
-_SETS = "doc_id bigint, n int, h1 bigint, h2 bigint, cls bigint, sketch binary"
-_BLOBS = "bucket int, cls binary, n binary, band binary, m binary, counts binary, sigs binary"
-_FOUND = "gid bigint, a bigint, b bigint, n int, band int, m int"
+_BLOBS = "bucket int, cls binary, meta binary, counts binary, sigs binary"
+_FOUND = "doc_id bigint, n int, cls bigint, sketch binary, gid bigint, a bigint, b bigint, size int, band int, m int"
+_KIND = pa.schema(
+    [("doc_id", pa.int64()), ("n", pa.int32()), ("cls", pa.int64()), ("sketch", pa.binary()), ("gid", pa.int64()),
+     ("a", pa.int64()), ("b", pa.int64()), ("size", pa.int32()), ("band", pa.int32()), ("m", pa.int32())]
+)
 
 
-def _class_of(u: np.ndarray) -> tuple[int, int, int]:
+def _class_of(u: np.ndarray) -> int:
     h1 = int(mixed(u + np.uint64(1)).sum(dtype=np.uint64))
     h2 = int(mixed(u ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64))
     cls = mixed(np.array([h1 ^ (h2 * 3 & (1 << 64) - 1)], np.uint64) + np.uint64(len(u)))
-    signed = np.array([h1, h2, int(cls[0])], np.uint64).view(np.int64)
-    return int(signed[0]), int(signed[1]), int(signed[2])
+    return int(cls.view(np.int64)[0])
 
 
 def odd_sketch(u: np.ndarray) -> bytes:
@@ -72,149 +89,209 @@ def sketch_distance(x: bytes, y: bytes) -> int:
     return int(np.bitwise_count(a ^ b).sum())
 
 
-def signatures(u: np.ndarray) -> list[tuple[np.ndarray, int, int]]:
-    """(signatures, band, least) of a set for each band it signs in.
+def _spoiled(k: int, n1: int) -> int:
+    """The most signatures that k differing elements change: two each, and the third of a partition that has one already."""
+    return 2 * min(k, n1) + min(max(0, k - n1), n1)
 
-    least: how many of them it shares with any set of that band that reaches the threshold. Such sets differ in at
-    most (|a| + |b|) / 7 elements, each of which spoils at most one partition.
-    """
+
+def _keys(sigs: np.ndarray, buckets: int) -> np.ndarray:
+    """Distinct signatures in their order: 32 bits, by which they are ordered, before the bucket that other bits choose."""
+    return np.unique(sigs << np.uint64(32) | (sigs >> np.uint64(32)) % np.uint64(buckets))
+
+
+def signatures(u: np.ndarray, buckets: int = 1 << 20) -> list[tuple[np.ndarray, int, int]]:
+    """(ordered signatures, band, m) of a set for each band it signs in; a similar set of that band has m of them at least."""
     s = len(u)
     out = []
     spread = mixed(u * np.uint64(0x2545F4914F6CDD1D) + np.uint64(7))
-    if s < SMALL * 4 / 3:
-        most = (s + min(s * 4 // 3, SMALL * 4 // 3)) // 7 if s < SMALL else (s + SMALL - 1) // 7
-        out.append((mixed(spread + np.uint64(3)), 0, max(1, s - most)))
+
+    def kept(sigs: np.ndarray, spoiled: int, band: int) -> tuple[np.ndarray, int, int]:
+        keys = _keys(sigs, buckets)
+        least = len(keys) - spoiled
+        spare = min(least, -(-s // SPARE))
+        # a similar set of 3/4 the size may keep fewer to spare
+        return keys[: len(keys) - least + spare], band, min(spare, math.ceil(0.75 * s / SPARE))
+
+    if 3 * s < 4 * SMALL:
+        out.append(kept(mixed(spread + np.uint64(3)), s // 4, 0))
     low = SMALL
     while low <= s:
         top = low * RATIO
-        if s < top * 4 / 3:  # its band, or the one below if a partner of 3/4 its size lies there
-            count = int(np.ceil(DENSITY * top))
-            place = ((u >> np.uint64(32)) * np.uint64(count)) >> np.uint64(32)
+        if 3 * s < 4 * top:  # its band, or the one below if a partner of 3/4 its size lies there
+            k = (s + (s * 4 // 3 if s < top else top - 1)) // 7
+            n1 = math.ceil(DENSITY * top)
+            place = ((u >> np.uint64(32)) * np.uint64(n1)) >> np.uint64(32)
+            second = ((u & np.uint64(0xFFFFFFFF)) * np.uint64(3)) >> np.uint64(32)
             starts = np.flatnonzero(np.concatenate(([True], place[1:] != place[:-1])))
-            sums = np.add.reduceat(spread, starts)
-            most = (s + s * 4 // 3) // 7 if s < top else (s + top - 1) // 7
-            sigs = mixed(sums + place[starts] * np.uint64(0xA0761D6478BD642F) + np.uint64(count * 1_000_003))
-            out.append((sigs, low, max(1, len(starts) - most)))
+            inside = place[starts].astype(np.int64)
+            content, number = np.zeros((n1, 3), np.uint64), np.zeros((n1, 3), np.int64)
+            for j in range(3):
+                content[inside, j] = np.add.reduceat(np.where(second == j, spread, np.uint64(0)), starts)
+                number[inside, j] = np.add.reduceat((second == j).astype(np.int64), starts)
+            label = np.arange(3 * n1, dtype=np.uint64).reshape(n1, 3) * np.uint64(0xA0761D6478BD642F) + np.uint64(low * 1_000_003)
+            sigs = mixed(content.sum(axis=1, keepdims=True, dtype=np.uint64) - content + mixed(label))  # choice j leaves out part j
+            some = number.sum(axis=1, keepdims=True) > number
+            spoiled = _spoiled(k, n1)
+            if some.sum() > spoiled:
+                out.append(kept(sigs[some], spoiled, low))
+            else:
+                out.append((_keys(sigs.ravel(), buckets), low, 1))
         low = top
     return out
 
 
-def document_sets(docs: DataFrame) -> DataFrame:
-    """doc_id, n, h1, h2 (a fingerprint of the set), cls (64 bits of it) and its odd sketch."""
+def _size_code(n: int) -> int:
+    """256 times the binary logarithm: what size comparisons of candidates need, in 13 bits."""
+    return int(math.log2(n) * 256)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = batch.column(1).cast(pa.binary()).to_pylist()
-            rows = []
-            for a, b in chunks(texts):
-                for u in shingle_sets(texts[a:b], SHINGLE):
-                    rows.append((len(u), *(_class_of(u) if len(u) else (0, 0, 0)), odd_sketch(u) if len(u) else None))
-            cols = list(zip(*rows, strict=True)) if rows else [[]] * 5
-            types = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), *[pa.array(c, t) for c, t in zip(cols, types, strict=True)]], names=["doc_id", "n", "h1", "h2", "cls", "sketch"]
-            )
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, _SETS)
+#: Size codes of similar sets differ by no more.
+REACH = math.ceil(math.log2(4 / 3) * 256) + 1
+
+
+def _meta(n: int, band: int, m: int) -> int:
+    own = 0 if band and n < band * RATIO or not band and n < SMALL else 1  # 1: the band below its own
+    return _size_code(n) << 3 | own << 1 | (m >= math.ceil(0.75 * n / SPARE))
+
 
+def _known(meta: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Size code, whether the band below, and m (from below) of packed ``_meta``."""
+    code = (meta >> 3).astype(np.int32)
+    m = np.where(meta & 1, np.exp2(code / 256) * (0.75 / SPARE), 1.0)
+    return code, (meta >> 1 & 1).astype(np.int32), np.maximum(1, m.astype(np.int32))
+
+
+def _finished(**columns) -> bytes:
+    """Rows of the result, packed, with nulls in the columns that aren't given."""
+    k = len(next(iter(columns.values())))
+    cols = [pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(k, f.type) for f in _KIND]
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, _KIND, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
+        w.write_batch(pa.RecordBatch.from_arrays(cols, schema=_KIND))
+    return sink.getvalue().to_pybytes()
+
+
+def _pairs_of(cls: np.ndarray, code: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Distinct pairs of classes (the lesser first) at the given places whose sizes may be similar."""
+    a, b = cls[left], cls[right]
+    ok = (np.abs(code[left] - code[right]) <= REACH) & (a != b)
+    pairs = np.stack((np.minimum(a[ok], b[ok]), np.maximum(a[ok], b[ok])), axis=1)
+    return np.unique(pairs, axis=0) if len(pairs) else pairs
+
+
+def _signed(docs: DataFrame, buckets: int) -> DataFrame:
+    """Rows for buckets of signatures, and finished rows (bucket < 0): documents, and what chunks settled of hot signatures."""
+    schema = pa.schema([("bucket", pa.int32()), *[(k, pa.binary()) for k in ("cls", "meta", "counts", "sigs")]])
+
+    def done(**columns) -> pa.RecordBatch:
+        blob = _finished(**columns)
+        where = -1 - int(np.frombuffer(blob, np.uint8)[-64:].sum(dtype=np.int64) * 2_654_435_761 + len(blob)) % buckets
+        return pa.RecordBatch.from_arrays([pa.array([where], pa.int32()), pa.array([blob], pa.binary()), *[pa.nulls(1, pa.binary())] * 3], schema=schema)
 
-def _signature_blobs(docs: DataFrame, buckets: int) -> DataFrame:
     def blobs(held: list) -> Iterator[pa.RecordBatch]:
-        sigs = np.concatenate([s for s, *_ in held])
-        doc = np.repeat(np.arange(len(held), dtype=np.int32), [len(s) for s, *_ in held])
-        cls, n, band, m = (np.array([h[i] for h in held], t) for i, t in ((1, np.int64), (2, np.int32), (3, np.int32), (4, np.int32)))
-        bucket = ((sigs >> np.uint64(40)) % np.uint64(buckets)).astype(np.int32)
-        order = np.argsort(bucket, kind="stable")
-        bucket, doc = bucket[order], doc[order]
-        five = sigs[order].view(np.uint8).reshape(-1, 8)[:, :5]
+        keys = np.concatenate([k for k, *_ in held])
+        doc = np.repeat(np.arange(len(held)), [len(k) for k, *_ in held])
+        cls, meta = np.array([h[1] for h in held], np.int64), np.array([h[2] for h in held], np.uint16)
+        order = np.argsort(keys, kind="stable")
+        keys, doc = keys[order], doc[order]
+        first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+        sizes = np.diff(np.concatenate((first, [len(keys)])))
+        hot = np.repeat(sizes >= LOCAL, sizes)
+        if hot.any():
+            at = np.flatnonzero(hot)
+            pivot = np.repeat(first, sizes)[at]
+            code, below, m = _known(meta[doc[at]])
+            gid = mixed(keys[at]).view(np.int64)
+            yield done(gid=gid, a=cls[doc[at]], size=code, band=below, m=m)
+            pairs = _pairs_of(cls[doc], (meta >> 3).astype(np.int32)[doc], pivot, at)
+            if len(pairs):
+                yield done(a=pairs[:, 0], b=pairs[:, 1])
+            stays = np.ones(len(keys), bool)
+            stays[at] = at == pivot
+            # the pivots' entries are marked: whoever meets one of them is a member of a large group
+            marked = np.unique(doc[at[at == pivot]])
+            doc[at] = len(held) + np.searchsorted(marked, doc[at])
+            cls, meta = np.concatenate((cls, cls[marked])), np.concatenate((meta, meta[marked] | np.uint16(4)))
+            keys, doc = keys[stays], doc[stays]
+        bucket = (keys & np.uint64(0xFFFFFFFF)).astype(np.int64)
+        order = np.lexsort((doc, bucket))
+        bucket, doc, low = bucket[order], doc[order], (keys[order] >> np.uint64(32)).astype(np.uint32)
         starts = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1])))
         out = []
         for a, b in zip(starts, [*starts[1:], len(bucket)], strict=True):
             ids, counts = np.unique(doc[a:b], return_counts=True)
-            out.append((int(bucket[a]), cls[ids].tobytes(), n[ids].tobytes(), band[ids].tobytes(), m[ids].tobytes(), counts.astype(np.uint32).tobytes(), five[a:b].tobytes()))
-        for k in range(0, len(out), 64):
-            cols = list(zip(*out[k : k + 64], strict=True))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(cols[0], pa.int32()), *[pa.array(c, pa.binary()) for c in cols[1:]]], names=["bucket", "cls", "n", "band", "m", "counts", "sigs"]
-            )
+            out.append((int(bucket[a]), cls[ids].tobytes(), meta[ids].tobytes(), counts.astype(np.uint32).tobytes(), low[a:b].tobytes()))
+        for k in range(0, len(out), 256):
+            cols = zip(*out[k : k + 256], strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema, strict=True)], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, total = [], 0
         seen: set[int] = set()
         for batch in batches:
-            texts = batch.column(0).cast(pa.binary()).to_pylist()
-            for a, b in chunks(texts):
-                for u in shingle_sets(texts[a:b], SHINGLE):
-                    if not len(u) or (cls := _class_of(u)[2]) in seen:
-                        continue
-                    seen.add(cls)
-                    for sigs, band, least in signatures(u):
-                        held.append((sigs, cls, len(u), band, least))
-                        total += len(sigs)
-                    if total >= CHUNK:
-                        yield from blobs(held)
-                        held, total, seen = [], 0, set()
+            ids = batch.column(0)
+            for start, texts in pieces(batch.column(1)):
+                rows = []
+                for u in shingle_sets(texts, SHINGLE):
+                    cls = _class_of(u) if len(u) else 0
+                    rows.append((len(u), cls, odd_sketch(u) if len(u) else None))
+                    if len(u) and cls not in seen:
+                        seen.add(cls)
+                        for keys, band, m in signatures(u, buckets):
+                            held.append((keys, cls, _meta(len(u), band, m)))
+                            total += len(keys)
+                n, cls, sketch = zip(*rows, strict=True)
+                yield done(doc_id=ids.slice(start, len(texts)).to_pylist(), n=n, cls=cls, sketch=sketch)
+                if total >= CHUNK:
+                    yield from blobs(held)
+                    held, total, seen = [], 0, set()
         if held:
             yield from blobs(held)
 
-    return docs.select(F.col("text").cast("string")).mapInArrow(run, _BLOBS)
-
-
-def _compatible(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return 4 * np.minimum(a, b).astype(np.int64) >= 3 * np.maximum(a, b).astype(np.int64)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, _BLOBS)
 
 
 def _candidates(group: pa.Table) -> pa.Table:
     """Pairs (gid null) to compare, and the members (b null) of groups that were only compared with a pivot."""
+    bucket = int(group.column("bucket")[0].as_py())
+    if bucket < 0:
+        return pa.concat_tables([pa.ipc.open_stream(x).read_all() for x in group.column("cls").to_pylist()])
     join = lambda name, kind: np.frombuffer(b"".join(group.column(name).to_pylist()), kind)
-    counts = join("counts", np.uint32)
-    raw = join("sigs", np.uint8).reshape(-1, 5)
-    sig = np.zeros((len(raw), 8), np.uint8)
-    sig[:, :5] = raw
-    sig = sig.view(np.uint64).ravel()
-    doc = np.repeat(np.arange(len(counts), dtype=np.int32), counts)
-    cls, n, band, m = join("cls", np.int64), join("n", np.int32), join("band", np.int32), join("m", np.int32)
+    sig, cls, meta = join("sigs", np.uint32), join("cls", np.int64), join("meta", np.uint16)
+    doc = np.repeat(np.arange(len(cls), dtype=np.int32), join("counts", np.uint32))
     order = np.argsort(sig, kind="stable")
+    again = np.concatenate(([False], sig[order[1:]] == sig[order[:-1]]))
+    order = order[again | np.concatenate((again[1:], [False]))]
     sig, doc = sig[order], doc[order]
-    again = np.concatenate(([False], sig[1:] == sig[:-1]))
-    shared = again | np.concatenate((again[1:], [False]))
-    sig, doc = sig[shared], doc[shared]
-    order = np.lexsort((cls[doc], sig))
+    order = np.lexsort((meta[doc] & 4 == 0, cls[doc], sig))  # a class's marked entry first
     sig, doc = sig[order], doc[order]
     c = cls[doc]
     new = np.concatenate(([True], (sig[1:] != sig[:-1]) | (c[1:] != c[:-1]))) if len(sig) else np.zeros(0, bool)
     sig, doc, c = sig[new], doc[new], c[new]
     starts = np.flatnonzero(np.concatenate(([True], sig[1:] != sig[:-1]))) if len(sig) else np.zeros(0, np.int64)
     sizes = np.diff(np.concatenate((starts, [len(sig)])))
-    size_of = np.repeat(sizes, sizes)
-    first = np.repeat(starts, sizes)
+    marked = np.maximum.reduceat(meta[doc] & 4, starts) > 0 if len(sig) else np.zeros(0, bool)
+    large = np.repeat((sizes > ALL_PAIRS) | marked & (sizes > 1), sizes)
+    size_of, first = np.repeat(sizes, sizes), np.repeat(starts, sizes)
     place = np.arange(len(sig)) - first
     left, right = [], []
     for step in range(1, ALL_PAIRS):  # all pairs of small groups
-        x = np.flatnonzero((size_of <= ALL_PAIRS) & (place + step < size_of))
+        x = np.flatnonzero(~large & (place + step < size_of))
         left.append(x)
         right.append(x + step)
-    x = np.flatnonzero((size_of > ALL_PAIRS) & (place > 0))
+    x = np.flatnonzero(large & (place > 0))
     left.append(first[x])
     right.append(x)
-    left, right = np.concatenate(left), np.concatenate(right)
-    ok = _compatible(n[doc[left]], n[doc[right]])
-    pairs = np.unique(np.stack((c[left[ok]], c[right[ok]]), axis=1), axis=0) if ok.any() else np.zeros((0, 2), np.int64)
-    rest = np.flatnonzero(size_of > ALL_PAIRS)
-    bucket = int(group.column("bucket")[0].as_py()) if group.num_rows else 0
-    gid = mixed(sig[rest] + np.uint64(bucket << 40)).view(np.int64)
-    none = lambda k, t: pa.nulls(k, t)
-    p, r = len(pairs), len(rest)
-    return pa.table(
-        {
-            "gid": pa.concat_arrays([none(p, pa.int64()), pa.array(gid, pa.int64())]),
-            "a": pa.array(np.concatenate((pairs[:, 0], c[rest])), pa.int64()),
-            "b": pa.concat_arrays([pa.array(pairs[:, 1], pa.int64()), none(r, pa.int64())]),
-            "n": pa.concat_arrays([none(p, pa.int32()), pa.array(n[doc[rest]], pa.int32())]),
-            "band": pa.concat_arrays([none(p, pa.int32()), pa.array(band[doc[rest]], pa.int32())]),
-            "m": pa.concat_arrays([none(p, pa.int32()), pa.array(m[doc[rest]], pa.int32())]),
-        }
-    )
+    pairs = _pairs_of(c, (meta >> 3).astype(np.int32)[doc], np.concatenate(left), np.concatenate(right))
+    rest = np.flatnonzero(large)
+    code, below, m = _known(meta[doc[rest]])
+    gid = mixed(sig[rest].astype(np.uint64) << np.uint64(32) | np.uint64(bucket)).view(np.int64)
+    known = {"gid": (None, gid), "a": (pairs[:, 0], c[rest]), "b": (pairs[:, 1], None), "size": (None, code), "band": (None, below), "m": (None, m)}
+    cols = []
+    for f in _KIND:
+        both = [pa.nulls(k, f.type) if x is None else pa.array(x, f.type) for x, k in zip(known.get(f.name, (None, None)), (len(pairs), len(rest)), strict=True)]
+        cols.append(pa.concat_arrays(both))
+    return pa.table(cols, schema=_KIND)
 
 
 def _near(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -239,9 +316,8 @@ def _links(docs: DataFrame, classes: DataFrame, pairs: DataFrame, scratch: Scrat
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(0).cast(pa.binary()).to_pylist()
-            for a, b in chunks(texts):
-                held = [(_class_of(u)[2], u.tobytes()) for u in shingle_sets(texts[a:b], SHINGLE) if len(u)]
+            for _, texts in pieces(batch.column(0)):
+                held = [(_class_of(u), u.tobytes()) for u in shingle_sets(texts, SHINGLE) if len(u)]
                 cls, sets = zip(*held, strict=True) if held else ((), ())
                 yield pa.RecordBatch.from_arrays([pa.array(cls, pa.int64()), pa.array(sets, pa.binary())], names=["cls", "set"])
 
@@ -275,7 +351,9 @@ def components(links: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     edges = scratch.keep(
         links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), f"{name}-cc0"
     )
-    for i in range(1, 60):
+    i = 0
+    while True:
+        i += 1
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
@@ -286,7 +364,7 @@ def components(links: DataFrame, scratch: Scratch, name: str) -> DataFrame:
         changed = nxt.exceptAll(edges).limit(1).count() + edges.exceptAll(nxt).limit(1).count()
         scratch.drop(f"{name}-cc{i - 1}", f"{name}-large{i}")
         edges = nxt
-        if not changed:
+        if not changed:  # every round but the last lowers some node's label
             break
     nodes = edges.select(F.col("u").alias("node"), F.col("v").alias("comp"))
     return nodes.unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("comp")).distinct())
@@ -354,13 +432,13 @@ def _rest(docs, classes, found, tested, links, comps, scratch: Scratch) -> tuple
     documents can have a link left whose signatures of a band lie in such groups ``m`` times at least. Two of them would share m
     groups, so each enters its k - m + 1 smallest ones only, where they are compared in blocks by their sketches.
     """
-    rest = scratch.keep(found.where("gid is not null").select("gid", F.col("a").alias("cls"), "n", "band", "m"), "rest")
+    rest = scratch.keep(found.where("gid is not null").select("gid", F.col("a").alias("cls"), "size", "band", "m"), "rest")
     for i in range(1, 9):
         open_ = scratch.keep(_open(rest, comps), f"open{i}")
         k = open_.groupBy("cls").agg(F.count(F.lit(1)).alias("k"))
         weighed = open_.join(k, "cls")
-        pivot = weighed.groupBy("gid").agg(F.max(F.struct("k", "cls", "n", "comp")).alias("p"))
-        new = weighed.join(pivot, "gid").where("comp <> p.comp and 4 * least(n, p.n) >= 3 * greatest(n, p.n)")
+        pivot = weighed.groupBy("gid").agg(F.max(F.struct("k", "cls", "size", "comp")).alias("p"))
+        new = weighed.join(pivot, "gid").where(f"comp <> p.comp and abs(size - p.size) <= {REACH}")
         new = new.select(F.least("cls", "p.cls").alias("a"), F.greatest("cls", "p.cls").alias("b")).distinct()
         new = scratch.keep(new.join(tested, ["a", "b"], "left_anti"), f"star{i}")
         if not new.limit(1).count():
@@ -377,14 +455,14 @@ def _rest(docs, classes, found, tested, links, comps, scratch: Scratch) -> tuple
     first = F.row_number().over(W.partitionBy("cls", "band").orderBy("c", "gid"))
     left = left.join(sizes, "gid").withColumn("r", first).where("r <= k - least + 1").drop("c", "r")
     several = left.groupBy("gid").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("c")).where("lo <> hi")
-    left = scratch.keep(left.join(several.select("gid", "c"), "gid").select("gid", "c", "cls", "n", "comp"), "left")
+    left = scratch.keep(left.join(several.select("gid", "c"), "gid").select("gid", "c", "cls", "comp"), "left")
     if not left.limit(1).count():
         return links, comps
     blocks = F.ceil(F.col("c") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("cls"), blocks).cast("int")
     placed = left.withColumn("own", own).withColumn("o", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    placed = placed.select("gid", F.least("own", "o").alias("i"), F.greatest("own", "o").alias("j"), "own", "cls", "n", "comp")
-    placed = placed.join(classes.select("cls", "sketch"), "cls").select("gid", "i", "j", "own", "cls", "n", "comp", "sketch")
+    placed = placed.select("gid", F.least("own", "o").alias("i"), F.greatest("own", "o").alias("j"), "own", "cls", "comp")
+    placed = placed.join(classes.select("cls", "n", "sketch"), "cls").select("gid", "i", "j", "own", "cls", "n", "comp", "sketch")
     more = _blockwise(placed.repartition("gid", "i", "j").sortWithinPartitions("gid", "i", "j")).distinct()
     more = scratch.keep(more.join(tested, ["a", "b"], "left_anti"), "more")
     if more.limit(1).count():
@@ -396,17 +474,17 @@ def _rest(docs, classes, found, tested, links, comps, scratch: Scratch) -> tuple
 def similar_components(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id for every document."""
     scratch = Scratch(docs.sparkSession)
-    sets = scratch.keep(document_sets(docs), "sets")
+    size = docs.agg(F.coalesce(F.sum(F.octet_length(F.col("text").cast("string"))), F.lit(0))).first()[0]
+    buckets = max(8, int(size * PER_BYTE / BUCKET))
+    found = scratch.keep(_signed(docs, buckets).groupBy("bucket").applyInArrow(_candidates, _FOUND), "found")
+    sets = found.where("n is not null").select("doc_id", "n", "cls", "sketch")
     classes = scratch.keep(
         sets.where("n > 0").groupBy("cls").agg(
             F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.count(F.lit(1)).alias("copies")
         ),
         "classes",
     )
-    total = classes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    buckets = max(8, int(total * 0.7 / BUCKET))
-    found = scratch.keep(_signature_blobs(docs, buckets).groupBy("bucket").applyInArrow(_candidates, _FOUND), "found")
-    pairs = scratch.keep(found.where("gid is null").select("a", "b").distinct(), "pairs")
+    pairs = scratch.keep(found.where("b is not null").select("a", "b").distinct(), "pairs")
     links = _links(docs, classes, pairs, scratch, "first")
     comps = scratch.keep(components(links, scratch, "first"), "comps")
 

@@ -108,3 +108,53 @@ def test_one_stays_of_each_group(spark):
 
 def test_empty(spark):
     assert neardup.similar_components(docs(spark, [])).count() == 0
+
+
+def test_two_level_signatures_and_what_spoils_them():
+    """The bound of _spoiled is met by the worst differences, and sets with many empty partitions stay within reach."""
+    r = np.random.default_rng(11)
+    for n in (64, 70, 100, 190, 192, 250, 255, 600):
+        u = np.unique(r.integers(0, 2**63, n, dtype=np.int64).view(np.uint64))
+        clustered = np.sort(u >> np.uint64(6))  # all elements in one corner of the domain: most partitions are empty
+        for base in (u, clustered):
+            v = np.unique(np.concatenate((base[int(len(base) / 8) :], r.integers(0, 2**57, int(len(base) / 8), dtype=np.int64).view(np.uint64))))
+            common = len(np.intersect1d(base, v))
+            assert common / (len(base) + len(v) - common) >= 0.75
+            shared = [(len(np.intersect1d(x, y)), max(mx, my)) for x, bx, mx in neardup.signatures(base) for y, by, my in neardup.signatures(v) if bx == by]
+            assert shared and all(k >= m for k, m in shared)
+
+
+@pytest.mark.parametrize("local", [2, 10_000])
+def test_hot_signatures_settled_where_they_are_read(spark, monkeypatch, local):
+    monkeypatch.setattr(neardup, "LOCAL", local)
+    rows = varied(7)
+    got = sorted(tuple(x) for x in neardup.similar_components(docs(spark, rows).repartition(3)).collect())
+    assert got == by_hand(rows)
+
+
+def test_similarity_of_exactly_three_quarters_links_across_bands(spark):
+    rows = []
+    for i, n in enumerate((6, 21, 60, 90, 180, 540)):  # 3n shingles against 4n: exactly 3/4
+        words = [f"d{i}x{k}" for k in range(4 * n + 4)]
+        rows += [(10 * i, " ".join(words)), (10 * i + 1, " ".join(words[: 3 * n + 4])), (10 * i + 2, " ".join(words[: 3 * n + 3]))]
+    want = by_hand(rows)
+    assert len({c for *_, c in want}) < len(rows)
+    assert sorted(tuple(x) for x in neardup.similar_components(docs(spark, rows)).collect()) == want
+
+
+def test_a_chain_needs_as_many_rounds_as_it_needs(spark):
+    from starloom.llm.common import Scratch
+
+    n = 70
+    links = spark.createDataFrame([(i, i + 1) for i in range(n)], "a bigint, b bigint")
+    got = {x.node: x.comp for x in neardup.components(links, Scratch(spark), "chain").collect()}
+    assert got == {i: 0 for i in range(n + 1)}
+
+
+def test_a_very_long_text_and_its_near_copy(spark):
+    r = random.Random(4)
+    words = [f"w{r.randrange(10**6)}" for _ in range(120_000)]
+    near = [*words[:60_000], "other", *words[60_001:]]
+    rows = [(2, " ".join(words)), (1, " ".join(near)), (3, "x" * 400_000), (4, None)]
+    got = {x.doc_id: x.component_id for x in neardup.similar_components(docs(spark, rows)).collect()}
+    assert got == {1: 1, 2: 1, 3: 3, 4: 4}
