@@ -2,15 +2,19 @@
 
 Per document a few integer features are counted over its whole text. A sketch of a feature is its histogram over
 buckets of 8 leading bits (relative error below 1 %), so sketches of parts add up to the sketch of the whole, in any
-order, and nothing depends on how rows were dealt. The lower quartile and the median of a (language, source) group are
-drawn towards those of its language, and these towards those of all documents, in proportion to PRIOR documents; a
-document outside q50 - reach .. q50 + reach, with reach = FENCE * max(q50 - q25, the feature's floor), is rejected. Junk
-lies high, so a group's fences hold while less than half of it is junk.
+order, and nothing depends on how rows were dealt. A (language, source) group's quantiles are drawn towards those of its
+language, and these towards those of all documents, in proportion to the feature's prior number of documents; a
+document outside q50 - reach .. q50 + reach, with reach = fence * spread, is rejected. The spread is a distance of two
+quantiles of the sketch: of the lower quartile and the median where junk is to be told from the body (junk lies high, so these
+fences hold while less than half of a group is junk), of the median and the 99th percentile, with a strong
+prior, where clean documents have a long tail (repeated words and lines). Only a group whose sketch has no spread at all, as
+where hardly a document has any symbol, is credited with LEAST.
 
 Sketches hold only documents that pass the base rule, so that stubs don't bend the thresholds.
 
 Defined results: a null or empty text has no words and fails the base rule; null language or source is a group of its
-own; repeated rows count as often as they occur; an empty table gives an empty result.
+own; repeated rows count as often as they occur; a value equal to a fence is inside; very long texts are counted whole, in
+the worker that reads them; columns of docs may have any names, those of the features too; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -31,16 +35,17 @@ _SYMBOLS = re.compile(r"[#*$%&|<>]")
 
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
-PRIOR = 50
-FENCE = 4
-#: Features per thousand words (dup_lines: thousand lines) and the least spread that a group is credited with.
-#: low: values below the fence are rejected too.
+#: The least spread (per thousand), for groups without any.
+LEAST = 4
+#: Features per thousand words (dup_lines: thousand lines): quantiles (percent) whose distance is the spread, how many spreads
+#: from the median are inside, documents that the wider group counts for, and whether values below the fence are rejected too.
 FEATURES = {
-    "word_length": {"floor": 350, "low": True},
-    "symbols": {"floor": 50, "low": False},
-    "repeats": {"floor": 100, "low": False},
-    "dup_lines": {"floor": 125, "low": False},
+    "word_length": {"spread": (25, 50), "fence": 14, "prior": 50, "low": True},
+    "symbols": {"spread": (25, 50), "fence": 14, "prior": 50, "low": False},
+    "repeats": {"spread": (50, 99), "fence": 4, "prior": 1000, "low": False},
+    "dup_lines": {"spread": (50, 99), "fence": 4, "prior": 1000, "low": False},
 }
+QUANTILES = (25, 50, 99)
 
 BASE = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long"
 
@@ -108,32 +113,35 @@ def sketch(featured: DataFrame, names: list[str]) -> DataFrame:
     return featured.select("lang", "source", cells.alias("c")).groupBy("lang", "source", "c.feature", "c.bucket").agg(F.count(F.lit(1)).alias("n"))
 
 
-def quartiles(cells: DataFrame, by: list[str]) -> DataFrame:
-    """by, feature, n, q25, q50 of merged sketches: the least bucket that holds the rank."""
+def quantiles(cells: DataFrame, by: list[str]) -> DataFrame:
+    """by, feature, n, q25, q50, q99 of merged sketches: the least bucket that holds the rank."""
     merged = cells.groupBy(*by, "feature", "bucket").agg(F.sum("n").alias("n"))
     group = W.partitionBy(*by, "feature")
     upto = F.sum("n").over(group.orderBy("bucket").rowsBetween(W.unboundedPreceding, 0))
     ranked = merged.withColumn("upto", upto).withColumn("total", F.sum("n").over(group))
-    least = lambda k: F.min(F.when(4 * F.col("upto") >= k * F.col("total"), F.col("bucket"))).cast("double")
-    return ranked.groupBy(*by, "feature").agg(F.max("total").cast("double").alias("n"), least(1).alias("q25"), least(2).alias("q50"))
+    least = [F.min(F.when(100 * F.col("upto") >= k * F.col("total"), F.col("bucket"))).cast("double").alias(f"q{k}") for k in QUANTILES]
+    return ranked.groupBy(*by, "feature").agg(F.max("total").cast("double").alias("n"), *least)
+
+
+def _of_feature(value) -> Column:
+    """``value(rule)`` of the row's feature."""
+    return F.coalesce(*[F.when(F.col("feature") == k, value(v)) for k, v in FEATURES.items()])
 
 
 def thresholds(cells: DataFrame) -> DataFrame:
-    """lang, source, feature, low, high: fences from the group's quartiles drawn towards its language's and all documents'."""
-    alls = quartiles(cells, []).select("feature", F.col("q25").alias("a25"), F.col("q50").alias("a50"))
-    langs = quartiles(cells, ["lang"])
-    own = quartiles(cells, ["lang", "source"])
-    drawn = lambda q, n, prior: (F.col(n) * F.col(q) + PRIOR * F.col(prior)) / (F.col(n) + PRIOR)
-    langs = langs.join(F.broadcast(alls), "feature").select(
-        F.col("lang").alias("_l"), F.col("feature").alias("_f"), drawn("q25", "n", "a25").alias("l25"), drawn("q50", "n", "a50").alias("l50")
-    )
-    both = own.join(langs, own.lang.eqNullSafe(langs["_l"]) & (own.feature == langs["_f"])).select(
-        "lang", "source", "feature", drawn("q25", "n", "l25").alias("q25"), drawn("q50", "n", "l50").alias("q50")
-    )
-    floor = F.coalesce(*[F.when(F.col("feature") == k, F.lit(float(v["floor"]))) for k, v in FEATURES.items()])
-    low = F.coalesce(*[F.when(F.col("feature") == k, F.lit(v["low"])) for k, v in FEATURES.items()])
-    reach = FENCE * F.greatest(F.col("q50") - F.col("q25"), floor)
-    return both.select("lang", "source", "feature", F.when(low, F.col("q50") - reach).alias("low"), (F.col("q50") + reach).alias("high"))
+    """lang, source, feature, spread, low, high: fences from the group's quantiles drawn towards its language's and all documents'."""
+    prior = _of_feature(lambda v: F.lit(float(v["prior"])))
+    drawn = lambda q, wider: ((F.col("n") * F.col(q) + prior * F.col(wider)) / (F.col("n") + prior)).alias(q)
+    names = [f"q{k}" for k in QUANTILES]
+    alls = quantiles(cells, []).select("feature", *[F.col(q).alias(f"_{q}") for q in names])
+    langs = quantiles(cells, ["lang"]).join(F.broadcast(alls), "feature").select("lang", "feature", *[drawn(q, f"_{q}") for q in names])
+    langs = langs.select(F.col("lang").alias("_l"), F.col("feature").alias("_f"), *[F.col(q).alias(f"_{q}") for q in names])
+    own = quantiles(cells, ["lang", "source"])
+    both = own.join(langs, own.lang.eqNullSafe(langs["_l"]) & (own.feature == langs["_f"])).select("lang", "source", "feature", *[drawn(q, f"_{q}") for q in names])
+    both = both.withColumn("spread", _of_feature(lambda v: F.col(f"q{v['spread'][1]}") - F.col(f"q{v['spread'][0]}")))
+    reach = _of_feature(lambda v: F.lit(v["fence"])) * F.when(F.col("spread") > 0, F.col("spread")).otherwise(LEAST)
+    low = _of_feature(lambda v: F.lit(v["low"]))
+    return both.select("lang", "source", "feature", "spread", F.when(low, F.col("q50") - reach).alias("low"), (F.col("q50") + reach).alias("high"))
 
 
 def _fences(cells: DataFrame) -> DataFrame:
@@ -201,17 +209,23 @@ def _oracle() -> str:
     feats = "union all ".join(
         f"select lang, source, '{k}' as feature, {k} as v from f where not base_failed " for k in FEATURES
     )
-    floor = "case feature " + " ".join(f"when '{k}' then {v['floor']}" for k, v in FEATURES.items()) + " end::double"
+    case = lambda value: "case feature " + " ".join(f"when '{k}' then {value(v)}" for k, v in FEATURES.items()) + " end"
+    prior = case(lambda v: v["prior"]) + "::double"
+    spread = case(lambda v: f"q{v['spread'][1]} - q{v['spread'][0]}")
     high = " or ".join(f"coalesce({k} > (select max(high) from t where t.feature = '{k}' and t.lang is not distinct from f.lang and t.source is not distinct from f.source), false)" for k in FEATURES)
     low = " or ".join(f"coalesce({k} < (select max(low) from t where t.feature = '{k}' and t.lang is not distinct from f.lang and t.source is not distinct from f.source), false)" for k, v in FEATURES.items() if v["low"])
 
-    def quart(name: str, by: list[str]) -> str:
+    def quant(name: str, by: list[str]) -> str:
         keys = ", ".join([*by, "feature"])
-        return f"""{name} as (select {keys}, max(total)::double as n,
-            min(case when 4 * upto >= total then bucket end)::double as q25, min(case when 4 * upto >= 2 * total then bucket end)::double as q50
+        found = ", ".join(f"min(case when 100 * upto >= {k} * total then bucket end)::double as q{k}" for k in QUANTILES)
+        return f"""{name} as (select {keys}, max(total)::double as n, {found}
             from (select {keys}, bucket, sum(n) over (partition by {keys} order by bucket) as upto, sum(n) over (partition by {keys}) as total
                   from (select {keys}, bucket, sum(n) as n from cells group by {keys}, bucket)) group by {keys})"""
 
+    def drawn(name: str, inner: str, wider: str, keys: str, on: str) -> str:
+        cols = ", ".join(f"(i.n * i.q{k} + i.prior * o.q{k}) / (i.n + i.prior) as q{k}" for k in QUANTILES)
+        return f"{name} as (select {keys}, i.feature, {cols} from (select *, {prior} as prior from {inner}) i join {wider} o on i.feature = o.feature{on})"
+
     return f"""
 with w as (
   select doc_id, lang, source, text, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') as words,
@@ -236,12 +250,12 @@ f as (
   from b),
 v as ({feats}),
 cells as (select lang, source, feature, v - v % (2 ** greatest(0, length(ltrim(bin(v), '0')) - 8))::bigint as bucket, count(*) as n from v group by all),
-{quart("own", ["lang", "source"])}, {quart("langs", ["lang"])}, {quart("alls", [])},
-l as (select langs.lang, langs.feature, (langs.n * langs.q25 + {PRIOR} * a.q25) / (langs.n + {PRIOR}) as q25,
-    (langs.n * langs.q50 + {PRIOR} * a.q50) / (langs.n + {PRIOR}) as q50 from langs join alls a using (feature)),
-d as (select own.lang, own.source, own.feature, (own.n * own.q25 + {PRIOR} * l.q25) / (own.n + {PRIOR}) as q25,
-    (own.n * own.q50 + {PRIOR} * l.q50) / (own.n + {PRIOR}) as q50 from own join l on own.lang is not distinct from l.lang and own.feature = l.feature),
-t as (select lang, source, feature, q50 - {FENCE} * greatest(q50 - q25, {floor}) as low, q50 + {FENCE} * greatest(q50 - q25, {floor}) as high from d)
+{quant("own", ["lang", "source"])}, {quant("langs", ["lang"])}, {quant("alls", [])},
+{drawn("l", "langs", "alls", "i.lang", "")},
+{drawn("d", "own", "l", "i.lang, i.source", " and i.lang is not distinct from o.lang")},
+r as (select *, {spread} as spread from d),
+e as (select *, {case(lambda v: v["fence"])} * case when spread > 0 then spread else {LEAST} end as reach from r),
+t as (select lang, source, feature, q50 - reach as low, q50 + reach as high from e)
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
   not base_failed and not ({high} or {low}) as kept
 from f"""

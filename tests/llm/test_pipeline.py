@@ -46,7 +46,7 @@ def quality_by_hand(rows):
 
     def quantiles(values):
         v = sorted(map(bucket, values))
-        return len(v), *[next(x for i, x in enumerate(v) if 4 * (i + 1) >= k * len(v)) for k in (1, 2)]
+        return len(v), *[next(x for i, x in enumerate(v) if 100 * (i + 1) >= k * len(v)) for k in (25, 50, 99)]
 
     groups = {k: defaultdict(list) for k in ("all", "lang", "own")}
     for d, _, lang, source in rows:
@@ -63,8 +63,9 @@ def quality_by_hand(rows):
             _, *q = quantiles(groups["all"][(), f])
             for name, key in (("lang", lang), ("own", (lang, source))):
                 n, *own = quantiles(groups[name][key, f])
-                q = [(n * a + quality.PRIOR * b) / (n + quality.PRIOR) for a, b in zip(own, q, strict=True)]
-            reach = quality.FENCE * max(q[1] - q[0], rule["floor"])
+                q = [(n * a + rule["prior"] * b) / (n + rule["prior"]) for a, b in zip(own, q, strict=True)]
+            at = dict(zip((25, 50, 99), q, strict=True))
+            reach = rule["fence"] * (at[rule["spread"][1]] - at[rule["spread"][0]] or quality.LEAST)
             ok &= feats[d][f] <= q[1] + reach and not (rule["low"] and feats[d][f] < q[1] - reach)
         if ok:
             kept.append((d, t, lang, source))

@@ -45,12 +45,48 @@ def test_sketches_merge(spark):
     rows = [(i, plain(i), "en", f"s{i % 3}") for i in range(90)]
     f = quality.with_features(docs(spark, rows), ["lang", "source"])
     f = f.withColumns(quality.feature_columns(f["_f"]))
-    whole = {tuple(x) for x in quality.quartiles(quality.sketch(f, ["word_length"]), ["lang"]).collect()}
+    whole = {tuple(x) for x in quality.quantiles(quality.sketch(f, ["word_length"]), ["lang"]).collect()}
     parts = quality.sketch(f.where("source = 's0'"), ["word_length"]).unionByName(quality.sketch(f.where("source <> 's0'"), ["word_length"]))
-    assert whole == {tuple(x) for x in quality.quartiles(parts, ["lang"]).collect()}
+    assert whole == {tuple(x) for x in quality.quantiles(parts, ["lang"]).collect()}
 
 
 def test_empty(spark):
     d = docs(spark, [])
     assert quality.judged(d, ["doc_id"], Scratch(spark)).count() == 0
     assert quality.quality_filter(d).count() == 0
+
+
+def test_sources_of_different_spread_get_different_fences(spark):
+    """Two sources with one median: words of nearly one length in s0, of widely different lengths in s1."""
+    r = random.Random(1)
+    rows = []
+    for i in range(400):
+        n = 60 + 5 * r.random() if i % 2 else r.choice((42, 50, 58, 61, 64, 72, 80))
+        rows.append((i, " ".join("w" * max(1, round(n / 10 + r.uniform(-0.5, 0.5))) for _ in range(200)), "en", f"s{i % 2}"))
+    f = quality.with_features(docs(spark, rows), ["lang", "source"])
+    f = f.withColumns(quality.feature_columns(f["_f"]))
+    t = {(x.source, x.feature): x for x in quality.thresholds(quality.sketch(f, list(quality.FEATURES))).collect()}
+    wide, close = t["s0", "word_length"], t["s1", "word_length"]
+    assert wide.high - wide.low > 1.5 * (close.high - close.low)
+
+
+def test_fences_come_from_the_sketches(spark):
+    """How many fences the least spread decides: those of features that hardly a document of the group has."""
+    d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    f = quality.with_features(d, ["lang", "source"])
+    f = f.withColumns(quality.feature_columns(f["_f"])).where(~quality.base_failed(f["_f"]))
+    t = quality.thresholds(quality.sketch(f, list(quality.FEATURES))).collect()
+    least = [x for x in t if x.spread <= 0]
+    print(f"{len(least)} of {len(t)} fences come from the least spread")
+    assert {x.feature for x in least} <= {"symbols"} and 4 * len(least) <= len(t)
+    assert len({x.high for x in t if x.feature == "repeats"}) > 10
+
+
+def test_ties_long_texts_and_clashing_columns(spark):
+    """A value at the fence is inside; a text of a megabyte is counted whole; feature names may be columns."""
+    rows = [(i, plain(i), "en", "s") for i in range(60)] + [(100, " ".join(plain(k) for k in range(1500)), "en", "s")]
+    d = docs(spark, rows).withColumnRenamed("kept", "word_length")
+    kept = quality.quality_filter(d)
+    assert kept.columns == d.columns and {x.doc_id for x in kept.collect()} == {i for i, *_ in rows}
+    out = {x.doc_id: x["_f"] for x in quality.judged(d, ["doc_id"], Scratch(spark)).collect()}
+    assert out[100].n_words == 180_000
