@@ -16,6 +16,8 @@ _LOWER[ord("A") : ord("Z") + 1] += 32
 #: An odd multiplier of prefix polynomials and its inverse modulo 2 ** 64.
 BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)
+#: Another one, for a second hash of what the first finds equal.
+BASE_2 = 0xD1342543DE82EF95
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -27,7 +29,7 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-@lru_cache(maxsize=4)
+@lru_cache(maxsize=6)
 def powers(base: int, n: int) -> np.ndarray:
     """base ** 0 .. base ** (n - 1) modulo 2 ** 64."""
     out = np.ones(n, np.uint64)
@@ -43,16 +45,16 @@ def _room(n: int) -> int:
     return max(1 << 20, 1 << (n - 1).bit_length())
 
 
-def prefix_sums(data: np.ndarray) -> np.ndarray:
-    """p[i]: the polynomial hash of data[:i]; data[a:b] hashes to (p[b] - p[a]) * INVERSE ** a."""
+def prefix_sums(data: np.ndarray, base: int = BASE) -> np.ndarray:
+    """p[i]: the polynomial hash of data[:i]; data[a:b] hashes to (p[b] - p[a]) * base ** -a."""
     n = len(data)
     out = np.zeros(n + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers(BASE, _room(n + 1))[:n], out=out[1:])
+    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers(base, _room(n + 1))[:n], out=out[1:])
     return out
 
 
-def inverses(n: int) -> np.ndarray:
-    return powers(INVERSE, _room(n + 1))
+def inverses(n: int, base: int = BASE) -> np.ndarray:
+    return powers(INVERSE if base == BASE else pow(base, -1, 1 << 64), _room(n + 1))
 
 
 def word_hashes(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
@@ -89,19 +91,6 @@ def shingle_sets(texts: list[bytes | None], size: int = 5) -> list[np.ndarray]:
     return out
 
 
-def chunks(values: list[bytes | None], most: int = 1 << 20):
-    """Index ranges of consecutive texts of about ``most`` bytes; a longer text is a range of its own."""
-    start = total = 0
-    for i, v in enumerate(values):
-        size = len(v or b"") + 1
-        if total and total + size > most:
-            yield start, i
-            start, total = i, 0
-        total += size
-    if start < len(values):
-        yield start, len(values)
-
-
 def pieces(column: pa.Array, most: int = 1 << 19) -> Iterator[tuple[int, list[bytes | None]]]:
     """Consecutive rows of a string column, about ``most`` bytes at a time: (first row, texts); a longer text is alone."""
     column = column.cast(pa.large_binary())

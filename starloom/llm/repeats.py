@@ -6,33 +6,37 @@ A byte goes if a string of LENGTH bytes that covers it starts at another place t
    same one. Occurrences of a repeated window therefore meet under the hash of their anchor, and only about two anchors in
    LENGTH - GRAM bytes are kept. An anchor's context is all that windows around it can reach.
 2. Whole contexts that occur twice are repeated as they are: their places are marked by counting, without moving any
-   text. One of each goes on if its anchor also has other contexts.
+   text; two are the same if their 128-bit digests are. One of each goes on if its anchor also has other contexts.
 3. Suffix sort. Contexts of one anchor are sorted by what follows it, by a mergesort whose comparisons find the common
    extension by binary search over prefix polynomial hashes; neighbours are verified on the bytes. Minima of neighbours'
    extensions give every pair's; extensions to the left are found likewise. A pair whose two extensions reach LENGTH
    covers both from the left end to the right one.
 
 An anchor with more than CHUNK different contexts is divided. Windows that occur twice in a part are settled there; of all
-others, and of one of each of these, the hashes are counted over all parts, in packed rows. Copies of whole texts are
-one text from the start.
+others, and of one of each of these, the hashes are counted over all parts, in packed rows, and a second, independent hash
+must agree. Copies of whole texts are one text from the start. Texts are keyed by 64 bits; where two of different SHA-256
+have one key, they are keyed anew.
 
 Defined results: a null or empty text has no bytes; texts below LENGTH bytes lose nothing; repeated rows are copies of
-each other; null or repeated doc_ids don't matter (texts are known by their hash); an empty table gives an empty result.
+each other; null or repeated doc_ids don't matter (texts are known by their keys); very long texts are taken whole, one at a
+time; columns beyond doc_id and text are ignored, whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import Scratch, sized_broadcast, table
-from .hashing import chunks, inverses, mixed, prefix_sums
+from .hashing import BASE_2, inverses, mixed, pieces, prefix_sums
 
 LENGTH = 400
 GRAM = 64
@@ -60,9 +64,10 @@ def sliding_argmin(values: np.ndarray, width: int) -> np.ndarray:
     return (np.minimum(behind[:n], ahead[width - 1 : width - 1 + n]) & np.uint64(0xFFFFFFFF)).astype(np.int64)
 
 
-def anchors(texts: list[bytes]) -> tuple[np.ndarray, ...]:
-    """text index, place, anchor hash and context hash of all anchors; texts have LENGTH bytes at least."""
-    data = np.frombuffer(b"".join(texts), np.uint8)
+def anchors(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
+    """text index, place, anchor hash and context digest of all anchors; texts have LENGTH bytes at least."""
+    joined = b"".join(texts)
+    data = np.frombuffer(joined, np.uint8)
     sums, inverse = prefix_sums(data), inverses(len(data) + 1)
     n = len(data) - GRAM + 1
     grams = mixed((sums[GRAM:] - sums[:-GRAM]) * inverse[:n])
@@ -76,28 +81,24 @@ def anchors(texts: list[bytes]) -> tuple[np.ndarray, ...]:
     doc = np.searchsorted(ends, at, side="right")
     low = np.maximum(begins[doc], at - (LENGTH - GRAM))
     high = np.minimum(ends[doc], at + LENGTH)
-    context = mixed((sums[high] - sums[low]) * inverse[low] + mixed((at - low).astype(np.uint64) << np.uint64(20) | (high - at).astype(np.uint64)))
-    return doc, at - begins[doc], grams[at], context
+    digests = [xxhash.xxh3_128_digest(b"%d:" % (p - a) + joined[a:b]) for a, p, b in zip(low.tolist(), at.tolist(), high.tolist(), strict=True)]
+    return doc, at - begins[doc], grams[at], digests
 
 
-def _binary(batch: pa.RecordBatch, i: int) -> list[bytes | None]:
-    return batch.column(i).cast(pa.binary()).to_pylist()
-
-
-def _entries(docs: DataFrame) -> DataFrame:
+def _entries(docs: DataFrame, tk: Column) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), _binary(batch, 1)
-            for a, b in chunks(texts):
-                held = {ids[i]: texts[i] for i in range(a, b) if len(texts[i] or b"") >= LENGTH}
+            ids = batch.column(0).to_pylist()
+            for start, texts in pieces(batch.column(1)):
+                held = {ids[start + i]: t for i, t in enumerate(texts) if len(t or b"") >= LENGTH}
                 if not held:
                     continue
                 doc, at, gram, context = anchors(list(held.values()))
-                tk = np.array(list(held), np.int64)[doc]
-                cols = [tk, at.astype(np.int32), gram.view(np.int64), context.view(np.int64)]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["tk", "pos", "fp", "ctx"])
+                keys = np.array(list(held), np.int64)[doc]
+                cols = [pa.array(keys), pa.array(at.astype(np.int32)), pa.array(gram.view(np.int64)), pa.array(context, pa.binary())]
+                yield pa.RecordBatch.from_arrays(cols, names=["tk", "pos", "fp", "ctx"])
 
-    return docs.select(F.xxhash64("text").alias("tk"), F.col("text").cast("string")).mapInArrow(run, "tk bigint, pos int, fp bigint, ctx bigint")
+    return docs.select(tk.alias("tk"), F.col("text").cast("string")).mapInArrow(run, "tk bigint, pos int, fp bigint, ctx binary")
 
 
 class Suffixes:
@@ -268,6 +269,15 @@ def _ranges(tk: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([*cols, *[pa.nulls(k, pa.binary())] * 3], names=_NAMES)
 
 
+def _distinct(h: np.ndarray, h2: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The first place of each distinct pair, the number of each place's pair, and how often each pair occurs."""
+    order = np.lexsort((np.arange(len(h)), h2, h))
+    new = np.concatenate(([True], (h[order[1:]] != h[order[:-1]]) | (h2[order[1:]] != h2[order[:-1]]))) if len(h) else np.zeros(0, bool)
+    number = np.empty(len(h), np.int64)
+    number[order] = np.cumsum(new) - 1
+    return order[new], number, np.bincount(number)
+
+
 def _windows(tk: np.ndarray, fp: int, contexts: list[bytes], lead: np.ndarray, pos: np.ndarray, buckets: int) -> Iterator[pa.RecordBatch]:
     """A part of a divided group: ranges of windows that it has twice, and its distinct window hashes, packed by bucket."""
     data = np.frombuffer(b"".join(contexts), np.uint8)
@@ -276,11 +286,15 @@ def _windows(tk: np.ndarray, fp: int, contexts: list[bytes], lead: np.ndarray, p
     who = np.repeat(np.arange(len(contexts)), count)
     within = np.arange(len(who)) - np.repeat(np.cumsum(count) - count, count)
     at = np.repeat(np.cumsum(size) - size, count) + within
-    sums = prefix_sums(data)
-    salt = mixed(np.array([fp], np.int64).view(np.uint64))
-    h = mixed((sums[at + LENGTH] - sums[at]) * inverses(len(data) + 1)[at] + salt + (lead[who] - within).astype(np.uint64))
+    salt = mixed(np.array([fp], np.int64).view(np.uint64)) + (lead[who] - within).astype(np.uint64)
+
+    def hashed(*base: int) -> np.ndarray:
+        sums = prefix_sums(data, *base)
+        return mixed((sums[at + LENGTH] - sums[at]) * inverses(len(data) + 1, *base)[at] + salt)
+
+    h, h2 = hashed(), hashed(BASE_2)
     start = pos[who] - lead[who] + within
-    _, first, number, times = np.unique(h, return_index=True, return_inverse=True, return_counts=True)
+    first, number, times = _distinct(h, h2)
     twice = np.flatnonzero(times[number] > 1)
     if len(twice):
         w, s = who[twice], start[twice]
@@ -289,22 +303,23 @@ def _windows(tk: np.ndarray, fp: int, contexts: list[bytes], lead: np.ndarray, p
         end = np.concatenate((begin[1:], [len(w)])) - 1
         yield _ranges(tk[w[begin]], s[begin], s[end] + LENGTH)
     # a window that is settled here goes on without a place (-1), for those that have it once elsewhere
-    h, t, place = h[first], tk[who[first]], np.where(times > 1, -1, start[first])
+    h, h2, t, place = h[first], h2[first], tk[who[first]], np.where(times > 1, -1, start[first])
     bucket = (h % np.uint64(buckets)).astype(np.int32)
     order = np.argsort(bucket, kind="stable")
     edges = np.flatnonzero(np.concatenate(([True], np.diff(bucket[order]) != 0)))
     for a, b in zip(edges, [*edges[1:], len(order)], strict=True):
         k = order[a:b]
         cols = [pa.nulls(1, pa.int64()), pa.nulls(1, pa.int32()), pa.nulls(1, pa.int32()), pa.array([int(bucket[k[0]])], pa.int32())]
-        blobs = [h[k].tobytes(), t[k].astype(np.int64).tobytes(), place[k].astype(np.int32).tobytes()]
+        blobs = [np.stack((h[k], h2[k])).tobytes(), t[k].astype(np.int64).tobytes(), place[k].astype(np.int32).tobytes()]
         yield pa.RecordBatch.from_arrays([*cols, *[pa.array([x], pa.binary()) for x in blobs]], names=_NAMES)
 
 
 def _counted(group: pa.Table) -> pa.Table:
     """Windows with a place whose hashes occur twice in the bucket."""
     join = lambda name, kind: np.frombuffer(b"".join(group.column(name).to_pylist()), kind)
-    h, tk, start = join("windows", np.uint64), join("tks", np.int64), join("starts", np.int32)
-    _, number, times = np.unique(h, return_inverse=True, return_counts=True)
+    tk, start = join("tks", np.int64), join("starts", np.int32)
+    both = [np.frombuffer(x, np.uint64).reshape(2, -1) for x in group.column("windows").to_pylist()]
+    _, number, times = _distinct(*np.concatenate(both, axis=1))
     k = np.flatnonzero((times[number] > 1) & (start >= 0))
     return pa.table({"tk": pa.array(tk[k]), "lo": pa.array(start[k]), "hi": pa.array(start[k] + np.int32(LENGTH))})
 
@@ -350,37 +365,54 @@ def _packed(*names: str):
     return F.array_join(F.flatten(F.transform(F.array_sort(F.collect_set(F.struct(*names))), lambda s: F.array(*[s[n].cast("string") for n in names]))), ",")
 
 
-def _emitted(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+def _emitted(docs: DataFrame, tk: Column, wanted: DataFrame) -> DataFrame:
     """fp, tk, pos, lead, ctx of the wanted anchors (tk, doc_id of one copy, marks: pos,fp,pos,fp...)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            tks, marks, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist(), _binary(batch, 2)
-            out = []
-            for t, m, text in zip(tks, marks, texts, strict=True):
-                numbers = list(map(int, m.split(",")))
-                for pos, fp in zip(numbers[0::2], numbers[1::2], strict=True):
-                    lead = min(pos, LENGTH - GRAM)
-                    out.append((fp, t, pos, lead, text[pos - lead : pos + LENGTH]))
-            for k in range(0, len(out), 4096):
-                fp, tk, pos, lead, ctx = zip(*out[k : k + 4096], strict=True)
-                cols = [pa.array(fp, pa.int64()), pa.array(tk, pa.int64()), pa.array(pos, pa.int32()), pa.array(lead, pa.int32()), pa.array(ctx, pa.binary())]
-                yield pa.RecordBatch.from_arrays(cols, names=["fp", "tk", "pos", "lead", "ctx"])
-
-    keyed = docs.select(F.xxhash64("text").alias("tk"), "doc_id", F.col("text").cast("string").alias("text")).where(F.octet_length("text") >= LENGTH)
+            keys, marks = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            for start, texts in pieces(batch.column(2)):
+                out = []
+                for t, m, text in zip(keys[start:], marks[start:], texts, strict=False):
+                    numbers = list(map(int, m.split(",")))
+                    for pos, fp in zip(numbers[0::2], numbers[1::2], strict=True):
+                        lead = min(pos, LENGTH - GRAM)
+                        out.append((fp, t, pos, lead, text[pos - lead : pos + LENGTH]))
+                for k in range(0, len(out), 4096):
+                    cols = [pa.array(x, t) for x, t in zip(zip(*out[k : k + 4096], strict=True), (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()), strict=True)]
+                    yield pa.RecordBatch.from_arrays(cols, names=["fp", "tk", "pos", "lead", "ctx"])
+
+    keyed = docs.select(tk.alias("tk"), "doc_id", F.col("text").cast("string").alias("text")).where(F.octet_length("text") >= LENGTH)
     both = _beside_texts(keyed, wanted, "inner").where(F.col("doc_id").eqNullSafe(F.col("one")))
     return both.select("tk", "marks", "text").mapInArrow(run, "fp bigint, tk bigint, pos int, lead int, ctx binary")
 
 
-def covered(docs: DataFrame, scratch: Scratch) -> DataFrame:
-    """tk (hash of the text), marks: lo,hi,lo,hi... of all ranges to remove, for the texts that have any."""
-    entries = scratch.keep(_entries(docs), "entries")
-    texts = scratch.keep(
-        docs.where(F.octet_length("text") >= LENGTH)
-        .groupBy(F.xxhash64("text").alias("tk"))
-        .agg(F.min("doc_id").alias("one"), F.count(F.lit(1)).alias("copies"), F.max(F.octet_length("text")).alias("size")),
-        "texts",
-    )
+def keyed_texts(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, Column]:
+    """The distinct texts of LENGTH bytes at least (tk, one: a doc_id that has it, copies, size), and the key as a column.
+
+    Texts of different SHA-256 that share a key are keyed anew. They are as few as chance collisions of 64 bits (n ** 2 / 2 ** 65).
+    """
+    tk = F.xxhash64("text")
+    while True:
+        texts = scratch.keep(
+            docs.where(F.octet_length("text") >= LENGTH)
+            .groupBy(tk.alias("tk"))
+            .agg(
+                F.min("doc_id").alias("one"), F.count(F.lit(1)).alias("copies"), F.max(F.octet_length("text")).alias("size"),
+                F.min(F.sha2("text", 256)).alias("least"), F.max(F.sha2("text", 256)).alias("most"),
+            ),
+            f"texts-{uuid.uuid4().hex}",
+        )
+        shared = [r.tk for r in texts.where("least <> most").select("tk").collect()]
+        if not shared:
+            return texts.drop("least", "most"), tk
+        tk = F.when(tk.isin(shared), F.xxhash64(F.sha2("text", 256), tk)).otherwise(tk)
+
+
+def covered(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, Column]:
+    """tk (key of the text), marks: lo,hi,lo,hi... of all ranges to remove, for the texts that have any; and the key as a column."""
+    texts, key = keyed_texts(docs, scratch)
+    entries = scratch.keep(_entries(docs, key), "entries")
     at = F.struct("tk", "pos")
     contexts = scratch.keep(entries.groupBy("fp", "ctx").agg(F.min(at).alias("lo"), F.max(at).alias("hi")), "contexts")
     anchors_ = contexts.groupBy("fp").agg((F.min("ctx") != F.max("ctx")).alias("several"), F.count(F.lit(1)).alias("k"))
@@ -395,7 +427,7 @@ def covered(docs: DataFrame, scratch: Scratch) -> DataFrame:
     wanted = scratch.keep(
         reps.groupBy("tk").agg(_packed("pos", "fp").alias("marks")).join(texts.select("tk", "one"), "tk"), "wanted"
     )
-    rows = _emitted(docs, wanted)
+    rows = _emitted(docs, key, wanted)
     big = scratch.keep(info.where(F.col("several") & (F.col("k") > CHUNK)).select("fp", "k").distinct(), "big")
     members = big.agg(F.sum("k")).first()[0]
     if members:
@@ -418,30 +450,31 @@ def covered(docs: DataFrame, scratch: Scratch) -> DataFrame:
     flat = ranges.withColumn("before", high).withColumn("new", F.when(F.col("before") >= F.col("lo"), 0).otherwise(1))
     flat = flat.withColumn("run", F.sum("new").over(W.partitionBy("tk").orderBy("lo", "hi").rowsBetween(W.unboundedPreceding, 0)))
     spans = flat.groupBy("tk", "run").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
-    return scratch.keep(spans.groupBy("tk").agg(_packed("lo", "hi").alias("marks")), "spans")
+    return scratch.keep(spans.groupBy("tk").agg(_packed("lo", "hi").alias("marks")), "spans"), key
 
 
 def trimmed(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept (the remaining bytes) of every document."""
-    spans = covered(docs, Scratch(docs.sparkSession))
+    spans, key = covered(docs, Scratch(docs.sparkSession))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            marks, texts = batch.column(1).to_pylist(), _binary(batch, 2)
-            sizes, gone, counts, kept = [], [], [], []
-            for m, text in zip(marks, texts, strict=True):
-                text = text or b""
-                ends = list(map(int, m.split(","))) if m else []
-                lows, highs = ends[0::2], ends[1::2]
-                parts = [text[a:b] for a, b in zip([0, *highs], [*lows, len(text)], strict=True)]
-                sizes.append(len(text))
-                gone.append(sum(highs) - sum(lows))
-                counts.append(len(lows))
-                kept.append(b"".join(parts))
-            cols = [batch.column(0), *[pa.array(x, pa.int64()) for x in (sizes, gone, counts)], pa.array(kept, pa.binary())]
-            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
-
-    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("tk"), F.col("text").cast("string").alias("text"))
+            marks = batch.column(1).to_pylist()
+            for start, texts in pieces(batch.column(2)):
+                sizes, gone, counts, kept = [], [], [], []
+                for m, text in zip(marks[start : start + len(texts)], texts, strict=True):
+                    text = text or b""
+                    ends = list(map(int, m.split(","))) if m else []
+                    lows, highs = ends[0::2], ends[1::2]
+                    parts = [text[a:b] for a, b in zip([0, *highs], [*lows, len(text)], strict=True)]
+                    sizes.append(len(text))
+                    gone.append(sum(highs) - sum(lows))
+                    counts.append(len(lows))
+                    kept.append(b"".join(parts))
+                cols = [batch.column(0).slice(start, len(texts)), *[pa.array(x, pa.int64()) for x in (sizes, gone, counts)], pa.array(kept, pa.binary())]
+                yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
+
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.when(F.octet_length("text") >= LENGTH, key).alias("tk"), F.col("text").cast("string").alias("text"))
     both = _beside_texts(keyed, spans, "left").select("doc_id", "marks", "text")
     return both.mapInArrow(run, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary")
 

@@ -78,3 +78,24 @@ def test_a_lying_hash_is_found_out():
 
 def test_empty(spark):
     assert repeats.trimmed(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_texts_that_share_a_key_are_keyed_anew(spark, monkeypatch):
+    """With a key of few bits different texts collide: each still loses what it repeats, and nothing else."""
+    from pyspark.sql import functions as F
+
+    full = F.xxhash64
+    monkeypatch.setattr(repeats.F, "xxhash64", lambda *c: full(*c) if len(c) > 1 else full(*c) % 5)
+    check(spark, corpus(6)[:25])
+
+
+def test_windows_need_both_hashes():
+    h, h2 = np.array([7, 7, 7, 9], np.uint64), np.array([1, 2, 1, 1], np.uint64)
+    first, number, times = repeats._distinct(h, h2)
+    assert first.tolist() == [0, 1, 3] and number.tolist() == [0, 1, 0, 2] and times.tolist() == [2, 1, 1]
+
+
+def test_very_long_texts(spark):
+    r = random.Random(8)
+    a, b = noise(r, 700_000), noise(r, 300_000)
+    check(spark, [(1, a), (2, b + a[1000:2000]), (3, "q" * 50_000)])
