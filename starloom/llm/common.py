@@ -81,3 +81,13 @@ def same(left: DataFrame, right: DataFrame, *names: str) -> Column:
 def count_words(text: Column, pattern: str = WORD) -> Column:
     """Words in a text as a long; null counts 0."""
     return F.coalesce(F.regexp_count(text, F.lit(pattern)), F.lit(0)).cast("long")
+
+
+def each_copy(df: DataFrame, copies: str, name: str) -> DataFrame:
+    """A row with ``name`` = 0, 1 ... for each of the ``copies`` of a row; no array is longer than the root of their number."""
+    side = F.ceil(F.sqrt(F.col(copies).cast("double"))).cast("long")
+    outer = df.withColumn("_side", side).withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_side"))))
+    upto = F.least(F.col("_side"), F.col(copies) - F.col("_block") * F.col("_side"))
+    inner = outer.withColumn("_many", upto).where("_many > 0")
+    inner = inner.withColumn("_at", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_many") - 1)))
+    return inner.withColumn(name, F.col("_block") * F.col("_side") + F.col("_at")).drop("_side", "_block", "_many", "_at")

@@ -6,8 +6,10 @@ a seeded order, a stream of words that is cut into blocks of one size; within a
 blocks, and whole blocks, the last one in part, fill the quota. A quota beyond a shard's own words repeats whole passes
 over it. Only built-in DataFrame functions are used.
 
-Defined results: a null or empty text has size 0 and takes 0; a null source is a source of its own; repeated rows
-are documents of their own; an empty table gives an empty result; ties in the order fall to doc_id, then size.
+Defined results: a null or empty text has size 0 and takes 0; a null source is a source of its own; repeated rows (of one
+source, doc_id, null or not, and size) are documents of their own, which are counted first and stand side by side in the stream; an
+empty table gives an empty result; ties in the order fall to doc_id, then size; a very long text may span any number of
+blocks; columns beyond doc_id, text and source are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -16,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import Scratch, count_words, same, sized_broadcast
+from .common import Scratch, count_words, each_copy, sized_broadcast
 
 SHARDS = 64
 #: Documents that one ordering window holds on average; the windows' number follows the source's size.
@@ -111,14 +113,14 @@ def mix(docs: DataFrame, weights: DataFrame | None = None, *, seed: str = "mix",
     spark = docs.sparkSession
     scratch = Scratch(spark)
     sized = scratch.keep(
-        docs.select("doc_id", "source", count_words(F.col("text")).alias("size")).select(
+        docs.select("doc_id", "source", count_words(F.col("text")).alias("size")).groupBy("doc_id", "source", "size").agg(F.count(F.lit(1)).alias("copies")).select(
             "*", F.md5(F.concat_ws(":", F.lit(seed), F.col("doc_id").cast("string"), F.col("size").cast("string"))).alias("key")
         ),
         "sized",
     ).withColumn("shard", _hex("key", 1, 4) % SHARDS)
 
     per_shard = scratch.keep(
-        sized.groupBy("source", "shard").agg(F.sum("size").alias("shard_size"), F.count(F.lit(1)).alias("n_docs")), "shards"
+        sized.groupBy("source", "shard").agg(F.sum(F.col("size") * F.col("copies")).alias("shard_size"), F.count(F.lit(1)).alias("n_docs")), "shards"
     )
     sources = per_shard.groupBy("source").agg(F.sum("shard_size").alias("source_size"), F.sum("n_docs").alias("n_docs"))
     if weights is None:
@@ -149,14 +151,14 @@ def mix(docs: DataFrame, weights: DataFrame | None = None, *, seed: str = "mix",
     q = quotas.withColumnsRenamed({"source": "_s", "shard": "_h"})
     placed = sized.join(sized_broadcast(q), sized.source.eqNullSafe(q["_s"]) & (sized.shard == q["_h"])).drop("_s", "_h")
     placed = placed.withColumn("cell", _hex("key", 5, 8) % F.col("cells"))
-    per_cell = placed.groupBy("source", "shard", "cell").agg(F.sum("size").alias("cell_size"))
+    per_cell = placed.groupBy("source", "shard", "cell").agg(F.sum(F.col("size") * F.col("copies")).alias("cell_size"))
     earlier = W.partitionBy("source", "shard").orderBy("cell").rowsBetween(W.unboundedPreceding, -1)
     starts = per_cell.select(
         F.col("source").alias("_s"), F.col("shard").alias("_h"), F.col("cell").alias("_c"),
         F.coalesce(F.sum("cell_size").over(earlier), F.lit(0)).alias("cell_start"),
     )
     inside = W.partitionBy("source", "shard", "cell").orderBy("key", F.asc_nulls_first("doc_id"), "size").rowsBetween(W.unboundedPreceding, 0)
-    placed = placed.withColumn("upto", F.sum("size").over(inside))
+    placed = placed.withColumn("upto", F.sum(F.col("size") * F.col("copies")).over(inside))
     placed = placed.join(
         sized_broadcast(starts),
         placed.source.eqNullSafe(starts["_s"]) & (placed.shard == starts["_h"]) & (placed.cell == starts["_c"]),
@@ -164,7 +166,8 @@ def mix(docs: DataFrame, weights: DataFrame | None = None, *, seed: str = "mix",
 
     b, z = F.col("block"), F.col("shard_size")
     taken = (
-        placed.withColumn("last", F.col("cell_start") + F.col("upto"))
+        each_copy(placed, "copies", "copy")
+        .withColumn("last", F.col("cell_start") + F.col("upto") - F.col("copy") * F.col("size"))
         .withColumn("first", F.col("last") - F.col("size"))
         .withColumn("passes", F.when(z > 0, F.floor(F.col("quota_words") / z)).otherwise(0).cast("long"))
         .withColumn("rest", F.col("quota_words") - F.col("passes") * z)

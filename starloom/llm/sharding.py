@@ -8,8 +8,8 @@ of a row needs no global sort: it is the rows in lower curve cells, plus those i
 place in its slice. Cells are at most 2 ** (dimensions * bits); slices are bounded, whatever a cell holds.
 
 Defined results: null texts have no bytes (size = overhead) and the crc32 of the empty string; null dimensions sort
-below all values; repeated rows are rows of their own; ties fall to crc, doc_id, then size; an empty table gives an
-empty result.
+below all values; repeated rows are rows of their own; ties fall to crc, doc_id, then size; very long texts count by their
+bytes; columns beyond doc_id, text, lang and source are ignored, whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import Scratch, sized_broadcast, table
+from .common import Scratch, each_copy, sized_broadcast, table
 
 BITS = 4
 SLICE_ROWS = 500
@@ -65,29 +65,31 @@ def _curve(n: int, bits: int):
 
 
 def text_code(value: Column) -> Column:
-    """The first 7 UTF-8 bytes as a number that sorts like the string; null below all."""
-    return F.coalesce(F.conv(F.rpad(F.substring(F.hex(F.encode(value, "UTF-8")), 1, 14), 14, "0"), 16, 10).cast("long"), F.lit(-1))
+    """A string that sorts like the whole value; null below all."""
+    return F.coalesce(F.concat(F.lit("1"), value.cast("string")), F.lit("0"))
 
 
 def number_code(value: Column) -> Column:
-    """A non-negative integer kept to its 7 leading bits; null below all."""
+    """A string that sorts like a non-negative integer kept to its 7 leading bits; null below all."""
     shift = F.greatest(F.lit(0), F.length(F.bin(value)) - 7)
-    return F.coalesce((value - F.pmod(value, F.pow(F.lit(2), shift).cast("long"))).cast("long"), F.lit(-1))
+    return text_code(F.lpad((value - F.pmod(value, F.pow(F.lit(2), shift).cast("long"))).cast("long").cast("string"), 20, "0"))
 
 
 def _bins(slim: DataFrame, dims: list[str], bits: int) -> DataFrame:
     """dim, code, bin: equal-frequency bins from the exact histogram of each dimension's codes."""
-    every = slim.select(F.explode(F.array(*[F.struct(F.lit(i).alias("dim"), F.col(d).alias("code")) for i, d in enumerate(dims)])).alias("v"))
-    hist = every.groupBy("v.dim", "v.code").agg(F.count(F.lit(1)).alias("n"))
+    every = slim.select(F.explode(F.array(*[F.struct(F.lit(i).alias("dim"), F.col(d).alias("code")) for i, d in enumerate(dims)])).alias("v"), "copies")
+    hist = every.groupBy("v.dim", "v.code").agg(F.sum("copies").alias("n"))
     below = F.sum("n").over(W.partitionBy("dim").orderBy("code").rowsBetween(W.unboundedPreceding, 0)) - F.col("n") / 2
     share = below / F.sum("n").over(W.partitionBy("dim"))
     return hist.select("dim", "code", F.least(F.lit((1 << bits) - 1), F.floor(share * (1 << bits))).cast("int").alias("bin"))
 
 
 def curve_shards(rows: DataFrame, dims: list[str], shards: int, *, law: str = "rows", bits: int = BITS) -> DataFrame:
-    """Adds curve, rank, shard and slot to ``rows`` (narrow: doc_id, size, text_crc32 and integer ``dims``)."""
+    """Adds curve, rank, shard and slot to ``rows`` (narrow: doc_id, size, text_crc32 and ``dims``, strings that sort like their values)."""
     spark = rows.sparkSession
     scratch = Scratch(spark)
+    kept = rows.columns
+    rows = rows.groupBy(*kept).agg(F.count(F.lit(1)).alias("copies"))  # equal rows stand side by side
     bins = scratch.keep(_bins(rows, dims, bits), "bins")
     binned = rows
     for i, d in enumerate(dims):
@@ -97,7 +99,8 @@ def curve_shards(rows: DataFrame, dims: list[str], shards: int, *, law: str = "r
         binned.withColumn("curve", _curve(len(dims), bits)(*[F.col(f"_b{i}") for i in range(len(dims))])).drop(*[f"_b{i}" for i in range(len(dims))]),
         "curved",
     )
-    cells = curved.groupBy("curve").agg(F.count(F.lit(1)).alias("n_rows"), F.sum("size").alias("n_bytes"))
+    both = [F.sum("copies").alias("n_rows"), F.sum(F.col("size") * F.col("copies")).alias("n_bytes")]
+    cells = curved.groupBy("curve").agg(*both)
     line = W.partitionBy(F.lit(0)).orderBy("curve").rowsBetween(W.unboundedPreceding, -1)
     everything = W.partitionBy(F.lit(0))
     cells = scratch.keep(
@@ -113,21 +116,20 @@ def curve_shards(rows: DataFrame, dims: list[str], shards: int, *, law: str = "r
     )
     sliced = curved.join(sized_broadcast(cells), F.col("curve") == F.col("_curve")).drop("_curve")
     sliced = sliced.withColumn("slice", F.pmod(F.xxhash64("doc_id", "text_crc32", "size"), F.col("slices")))
-    per_slice = sliced.groupBy("curve", "slice").agg(F.count(F.lit(1)).alias("n_rows"), F.sum("size").alias("n_bytes"))
+    per_slice = sliced.groupBy("curve", "slice").agg(*both)
     before = W.partitionBy("curve").orderBy("slice").rowsBetween(W.unboundedPreceding, -1)
     per_slice = per_slice.select(
         F.col("curve").alias("_curve"), F.col("slice").alias("_slice"),
         F.coalesce(F.sum("n_rows").over(before), F.lit(0)).alias("slice_rows"),
         F.coalesce(F.sum("n_bytes").over(before), F.lit(0)).alias("slice_bytes"),
     )
-    inside = W.partitionBy("curve", "slice").orderBy("text_crc32", F.asc_nulls_first("doc_id"), "size")
-    ranked = (
-        sliced.withColumn("_place", F.row_number().over(inside) - 1)
-        .withColumn("_upto", F.sum("size").over(inside.rowsBetween(W.unboundedPreceding, 0)) - F.col("size"))
-    )
+    inside = W.partitionBy("curve", "slice").orderBy("text_crc32", F.asc_nulls_first("doc_id"), "size").rowsBetween(W.unboundedPreceding, -1)
+    sums = [F.coalesce(F.sum(x).over(inside), F.lit(0)) for x in (F.col("copies"), F.col("size") * F.col("copies"))]
+    ranked = each_copy(sliced.withColumn("_place", sums[0]).withColumn("_upto", sums[1]), "copies", "_copy")
+    ranked = ranked.withColumn("_place", F.col("_place") + F.col("_copy")).withColumn("_upto", F.col("_upto") + F.col("_copy") * F.col("size"))
     ranked = ranked.join(sized_broadcast(per_slice), (F.col("curve") == F.col("_curve")) & (F.col("slice") == F.col("_slice")))
     ranked = ranked.withColumn("rank", (F.col("rows_below") + F.col("slice_rows") + F.col("_place")).cast("long"))
-    keep = [*rows.columns, "curve", "rank"]
+    keep = [*kept, "curve", "rank"]
     if law == "rows":
         cut = F.expr(f"cast(rank * {shards} div all_rows as int)")
         # the first rank of a shard is the least one with rank * shards >= shard * rows

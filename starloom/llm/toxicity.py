@@ -2,9 +2,9 @@
 
 1. Words of labelled documents are counted by class, once a document. A word's score is its log-odds between the classes
    under a Dirichlet prior of an even part and one proportional to its frequency overall; so are word beginnings, which stand
-   in for words that are not listed; words whose log-odds are significant are listed (at most
-   MODEL_WORDS, those of highest significance: the bound of what is sent to the workers), all others share the log-odds
-   of the rest.
+   in for words that are not listed; all words whose log-odds are significant are listed, all others share the log-odds
+   of the rest. At most TRAINING_ROWS labelled rows, chosen by a hash of doc_id, are learnt from: this bounds the lexicon that is
+   sent to the workers.
 2. One linear scan finds all maximal scoring segments of a text.
 3. Extreme-value calibration: chance scores of the best segment of n words follow a Gumbel law with decay lambda (which solves
    E[exp(lambda * score)] = 1 on clean text) and location log(K n) / lambda. A segment's evidence is
@@ -15,7 +15,8 @@ Only rows with crc32(doc_id as text) mod 3 other than 1 are learnt from; labels,
 
 Defined results: a null or empty text has no segments and the score of no evidence; null labels are not learnt from;
 repeated rows count as often as they occur; with no label of one class all scores are 0; an empty table gives an empty
-result. Several labels of a document: each counts.
+result. Several labels of a document: each counts. Ties: of segments with one sum all are kept. Very long texts are scanned
+whole, in the worker that reads them; columns beyond doc_id and text are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -36,7 +37,8 @@ _WORD = re.compile(r"[^\W\d_]+|\d+")
 #: The Dirichlet prior of a word: EVEN plus PRIOR times its share of all documents' words.
 EVEN, PRIOR = 0.5, 500.0
 MIN_Z = 3.5
-MODEL_WORDS = 50_000
+#: The bound of the labelled rows that the lexicon, the calibration and the curve are fitted on.
+TRAINING_ROWS = 200_000
 SIGNIFICANT = 3.0
 EULER = 0.5772156649015329
 #: Evidence is counted in bins of this width between these ends to fit the curve.
@@ -116,7 +118,7 @@ def fit_lexicon(counts: DataFrame) -> Lexicon | None:
     scored = counts.select(
         "word", "toxic", "clean", (F.log(pt / (1 - pt)) - F.log(pc / (1 - pc))).alias("odds"), F.sqrt(1 / (F.col("toxic") + prior) + 1 / (F.col("clean") + prior)).alias("sd")
     ).withColumn("z", F.col("odds") / F.col("sd"))
-    rows = scored.where(F.abs("z") >= MIN_Z).orderBy(F.desc(F.abs("z")), "word").limit(MODEL_WORDS).collect()
+    rows = scored.where(F.abs("z") >= MIN_Z).orderBy("word").collect()
     listed = {r.word: r.odds for r in rows}
     lt, lc = sum(r.toxic for r in rows), sum(r.clean for r in rows)
     rest = min(-0.01, math.log((t - lt + PRIOR) / (t + PRIOR)) - math.log((c - lc + PRIOR) / (c + PRIOR)))
@@ -215,6 +217,14 @@ def _logistic(bins: list[tuple[float, int, int]]) -> tuple[float, float]:
     return float(a), float(b)
 
 
+def _bounded(marks: DataFrame, rows: int) -> DataFrame:
+    """About ``rows`` of the labelled rows, chosen by a hash of their ids, or all of them if they are fewer."""
+    n = marks.count()
+    if n <= rows:
+        return marks
+    return marks.where(F.pmod(F.xxhash64("doc_id", F.lit("training")), F.lit(1 << 40)) < int(0.98 * rows / n * (1 << 40)))
+
+
 def toxicity(docs: DataFrame, labels: DataFrame, learn: Column | None = None) -> DataFrame:
     """doc_id, held_out, score, predicted, evidence and passages (word ranges of significant segments) of every document.
 
@@ -223,7 +233,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, learn: Column | None = None) ->
     scratch = Scratch(docs.sparkSession)
     learn = ~held_out(F.col("doc_id")) if learn is None else learn
     marks = labels.where(learn & F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull())
-    marks = sized_broadcast(marks.select(F.col("doc_id").cast("long").alias("_id"), F.col("toxic").cast("int").alias("toxic")))
+    marks = sized_broadcast(_bounded(marks, TRAINING_ROWS).select(F.col("doc_id").cast("long").alias("_id"), F.col("toxic").cast("int").alias("toxic")))
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     counts = scratch.keep(class_counts(slim.join(marks, slim.doc_id == marks["_id"]).select("text", "toxic")), "counts")
     lexicon = fit_lexicon(counts)

@@ -59,3 +59,36 @@ def test_shards_are_narrow_in_their_dimensions(spark):
 
 def test_empty(spark):
     assert sharding.shard_documents(docs(spark, [])).count() == 0
+
+
+@pytest.mark.parametrize("law", ["rows", "bytes"])
+def test_places_by_hand(spark, law):
+    """Every row's shard and slot from a plain sort; sources differ only behind their seventh byte; rows repeat."""
+    rows = [(i % 400, "t" * (i * 31 % 150), ["english-a", "english-b", None][i % 3], f"a-long-source-{i % 5}") for i in range(600)]
+    rows += [(7, "same", "english-a", "a-long-source-1")] * 40 + [(None, None, None, None)] * 9 + [(8, "x" * 100_000, "english-b", "z")]
+
+    slim = []
+    for i, t, lang, source in rows:
+        b = (t or "").encode()
+        size = len(b) + 16
+        shift = max(0, size.bit_length() - 7)
+        slim.append((i, size, zlib.crc32(b), (lang is not None, lang or ""), (source is not None, source or ""), size >> shift << shift))
+    axes = []
+    for d in (3, 4, 5):
+        values = sorted(x[d] for x in slim)
+        bins = {}
+        for v in set(values):
+            n = values.count(v)
+            bins[v] = min(15, int((values.index(v) + n - n / 2) / len(values) * 16))
+        axes.append(np.array([bins[x[d]] for x in slim]))
+    curve = sharding.hilbert_index(axes)
+    order = sorted(range(len(slim)), key=lambda k: (curve[k], slim[k][2], slim[k][0] is not None, slim[k][0] or 0, slim[k][1]))
+    total, upto, want, used = sum(x[1] for x in slim), 0, [], {}
+    for rank, k in enumerate(order):
+        i, size, crc = slim[k][:3]
+        shard = rank * 40 // len(slim) if law == "rows" else min(39, int((upto + size / 2) * 40 / total))
+        upto += size
+        want.append((i, size, crc, shard, used.setdefault(shard, 0)))
+        used[shard] += 1
+    got = [(x.doc_id, x["size"], x.text_crc32, x.shard, x.slot) for x in sharding.shard_documents(docs(spark, rows), 40, law=law).collect()]
+    assert sorted(map(str, got)) == sorted(map(str, want))
