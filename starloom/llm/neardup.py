@@ -47,7 +47,7 @@ RATIO = 3
 #: First-level partitions per element of the band's largest set: above 1/6 (half the differing elements) by the room for empty choices.
 DENSITY = 0.2
 #: A set of s shingles keeps s / SPARE more signatures than those that similar sets may spoil.
-SPARE = 16
+SPARE = 8
 ALL_PAIRS = 6
 #: Classes that share a signature in one chunk of texts from which on the chunk settles them itself.
 LOCAL = 24
@@ -75,7 +75,7 @@ def _class_of(u: np.ndarray) -> int:
 
 def odd_sketch(u: np.ndarray) -> bytes:
     """Parities of the elements that fall on each of 2 ** k bits, k by the set's size."""
-    bits = 1 << max(6, (2 * len(u)).bit_length())
+    bits = 1 << max(7, (4 * len(u)).bit_length())
     return np.packbits(np.bincount((u & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1, bitorder="little").tobytes()
 
 
@@ -409,9 +409,14 @@ def _blockwise(rows: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list = []
+        seen: set[tuple[int, int]] = set()  # pairs of earlier groups that share more than one signature
 
         def flush() -> pa.RecordBatch:
-            found = np.array(sorted(set(compare(held))), np.int64).reshape(-1, 2) if held else np.zeros((0, 2), np.int64)
+            if len(seen) > BLOCK * BLOCK:
+                seen.clear()
+            new = set(compare(held)) - seen if held else set()
+            seen.update(new)
+            found = np.array(sorted(new), np.int64).reshape(-1, 2)
             return pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], names=["a", "b"])
 
         for batch in batches:
