@@ -3,12 +3,13 @@
 Every turn gets the fingerprint of the conversation up to it: two sums, modulo nothing (decimals), of 64-bit hashes of
 (place, role, text), with the number of turns. The fingerprints of a conversation's proper prefixes are the probe side of an
 anti-join against whole conversations; what no longer one contains is maximal. Distinct fingerprints are joined, so
-that a first turn shared by a third of all conversations is one row. Only built-in DataFrame functions are used.
+that a first turn shared by a third of all conversations is one row. Only what stays is rendered. Only built-in DataFrame
+functions are used.
 
 Defined results: turns are ordered by turn number, null last, then role and the hash of the text; a null role or text counts as
-empty; a null conv_id is a conversation of its own; of equal conversations the one with the least conv_id stays;
-repeated rows are turns of their own; an empty table gives an empty result. Columns beyond conv_id, turn, role and text
-are ignored.
+empty; a turn without conv_id is a conversation of that one turn; of equal conversations the one with the least conv_id
+stays, null being the least; repeated rows are turns of their own; very long texts are hashed and rendered whole; an empty table
+gives an empty result. Columns beyond conv_id, turn, role and text are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -23,39 +24,36 @@ SEEDS = (11, 23)
 
 
 def _clean(turns: DataFrame) -> DataFrame:
-    return turns.select(
+    """conv_id, own, turn, role, text: turns of a conversation share conv_id and own; of equal turns without conv_id one stays."""
+    clean = turns.select(
         "conv_id", F.col("turn").cast("long").alias("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")
     )
+    alone = clean.where("conv_id is null").distinct().withColumn("own", F.sha2(F.to_json(F.struct("turn", "role", "text")), 256))
+    return clean.where("conv_id is not null").withColumn("own", F.lit("")).unionByName(alone)
 
 
 def _hashes() -> list[Column]:
     return [F.xxhash64(F.lit(s), "role", "text").alias(f"h{i}") for i, s in enumerate(SEEDS)]
 
 
-def prefix_fingerprints(turns: DataFrame) -> DataFrame:
-    """conv_id, place (from 1), p0, p1: the fingerprint of the conversation up to each turn."""
-    line = W.partitionBy("conv_id").orderBy(F.asc_nulls_last("turn"), "role", "h0", "h1")
-    hashed = turns.select(
-        "conv_id", "turn", "role", *_hashes()
-    ).withColumn("place", F.row_number().over(line))
+def prefix_fingerprints(clean: DataFrame) -> DataFrame:
+    """conv_id, own, n, place (from 1), p0, p1: the fingerprint of the conversation of n turns up to each turn."""
+    whole = W.partitionBy("conv_id", "own")
+    line = whole.orderBy(F.asc_nulls_last("turn"), "role", "h0", "h1")
+    hashed = clean.select("conv_id", "own", "turn", "role", *_hashes()).withColumn("place", F.row_number().over(line))
     upto = line.rowsBetween(W.unboundedPreceding, 0)
     sums = [
         F.sum(F.xxhash64(F.lit(s), "place", f"h{i}").cast("decimal(20,0)")).over(upto).alias(f"p{i}") for i, s in enumerate(SEEDS)
     ]
-    return hashed.select("conv_id", "place", *sums)
+    return hashed.select("conv_id", "own", F.count(F.lit(1)).over(whole).alias("n"), "place", *sums)
 
 
-def maximal(turns: DataFrame) -> DataFrame:
-    """conv_id and n_turns of the conversations that neither equal an earlier id's nor begin a longer one."""
-    scratch = Scratch(turns.sparkSession)
-    prefixes = scratch.keep(prefix_fingerprints(turns), "prefixes")
-    sizes = prefixes.groupBy("conv_id").agg(F.max("place").alias("n"))
-    s = sizes.select(F.col("conv_id").alias("_id"), "n")
-    marked = scratch.keep(prefixes.join(s, prefixes.conv_id.eqNullSafe(s["_id"])).drop("_id"), "marked")
-    whole = marked.where("place = n").groupBy("place", "p0", "p1").agg(F.min("conv_id").alias("conv_id"), F.bool_or(F.col("conv_id").isNull()).alias("_null"))
-    whole = whole.withColumn("conv_id", F.when(F.col("_null"), F.lit(None)).otherwise(F.col("conv_id")))
-    inner = marked.where("place < n").select("place", "p0", "p1").distinct()
-    return whole.join(inner, ["place", "p0", "p1"], "left_anti").select("conv_id", F.col("place").cast("long").alias("n_turns"))
+def maximal(clean: DataFrame) -> DataFrame:
+    """conv_id, own and n_turns of the conversations that neither equal an earlier id's nor begin a longer one."""
+    prefixes = Scratch(clean.sparkSession).keep(prefix_fingerprints(clean), "prefixes")
+    whole = prefixes.where("place = n").groupBy("place", "p0", "p1").agg(F.min(F.struct("conv_id", "own")).alias("c"))
+    inner = prefixes.where("place < n").select("place", "p0", "p1").distinct()
+    return whole.join(inner, ["place", "p0", "p1"], "left_anti").select("c.conv_id", "c.own", F.col("place").cast("long").alias("n_turns"))
 
 
 def rendered() -> Column:
@@ -69,9 +67,9 @@ def rendered() -> Column:
 def collapse(turns: DataFrame) -> DataFrame:
     """conv_id, n_turns, rendered: the maximal conversations, formatted."""
     clean = _clean(turns)
-    kept = maximal(clean).withColumnRenamed("conv_id", "_id")
-    formatted = clean.groupBy("conv_id").agg(rendered().alias("rendered"))
-    return formatted.join(kept, formatted.conv_id.eqNullSafe(kept["_id"])).select("conv_id", "n_turns", "rendered")
+    kept = maximal(clean).withColumnsRenamed({"conv_id": "_id", "own": "_own"})
+    stay = clean.join(kept, clean.conv_id.eqNullSafe(kept["_id"]) & (clean.own == kept["_own"]))
+    return stay.groupBy("conv_id", "own").agg(F.first("n_turns").alias("n_turns"), rendered().alias("rendered")).drop("own")
 
 
 def op6_collapse(spark, sf_dir) -> DataFrame:

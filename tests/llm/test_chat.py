@@ -33,3 +33,22 @@ def test_hot_first_turn(spark):
 
 def test_empty(spark):
     assert chat.collapse(turns(spark, [])).count() == 0
+
+
+def test_turns_without_a_conversation_stand_alone(spark):
+    rows = [(None, 0, "user", "hi"), (None, 0, "user", "hi"), (None, 1, "assistant", "yo"), (None, None, None, None)] + conv(1, "hi", "there") + conv(2, "hey")
+    got = sorted((x.conv_id or 0, x.n_turns, x.rendered) for x in chat.collapse(turns(spark, rows)).collect())
+    want = [(0, 1, "<|assistant|>\nyo<|end|>\n"), (0, 1, "<||>\n<|end|>\n"), (1, 2, "<|user|>\nhi<|end|>\n<|assistant|>\nthere<|end|>\n"), (2, 1, "<|user|>\nhey<|end|>\n")]
+    assert got == sorted(want)  # the two that say hi begin conversation 1
+
+
+def test_only_what_stays_is_rendered(spark):
+    plan = chat.collapse(turns(spark, conv(1, "a", "b") + conv(2, "a")))._jdf.queryExecution().optimizedPlan().toString()
+    aggregate = plan.index("collect_list")
+    assert "Join" in plan[aggregate:]
+
+
+def test_very_long_turns(spark):
+    long = "x y " * 200_000
+    got = {x.conv_id: len(x.rendered) for x in chat.collapse(turns(spark, conv(1, long) + conv(2, long, "end"))).collect()}
+    assert set(got) == {2} and got[2] > 800_000
