@@ -2,21 +2,24 @@
 
 Every benchmark item is cut into windows of WINDOW consecutive words (shorter items are one window). A window's tokens
 are ordered by rarity over all documents; since containment must be whole, its prefix is its one rarest token, and
-only documents with that token meet the window. Length and position bounds discard windows that can't fit, a search in
-the document's words verifies the rest, and the places of each occurrence are counted. Built-in functions only.
+only places of documents that have that token meet the window, with the words around them. Length and position bounds discard
+windows that can't fit, the words are compared, and the places of each occurrence are counted. Built-in functions only.
 
-Documents are read in place: their texts are never shuffled. The windows are broadcast up to a checked number; beyond
-it documents meet them by a shuffle on the token.
+Documents are read in place: neither they nor their words are shuffled. A bitmap of the prefix tokens' hashes picks the places
+(a false one fails the join); these meet the windows, which are broadcast up to a checked number; beyond it the places are
+shuffled by their tokens.
 
 Defined results: null texts have no words; items without words have no windows; equal items are found together; null
-item_ids count as hits but name no item; repeated documents are rows of their own; an empty benchmark hits nothing.
-Columns beyond doc_id, text and item_id are ignored.
+item_ids count as hits but name no item; repeated documents are rows of their own; ties of rarity fall to the longer, then the
+smaller token; very long texts are searched whole; an empty benchmark hits nothing. Columns beyond doc_id, text and
+item_id are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
 import string
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,8 +28,8 @@ from .common import BROADCAST_ROWS, Scratch, sized_broadcast, table
 WINDOW = 10
 #: Everything that is not part of a word, in text with A-Z lower-cased.
 GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: Prefix tokens up to which a document's own words are intersected with a literal list of them.
-LITERAL_TOKENS = 20_000
+#: Bits of the bitmap for each prefix token, and in all.
+BITS, MOST_BITS = 64, 1 << 22
 
 
 def plain_words(text: Column) -> Column:
@@ -64,44 +67,44 @@ def with_prefix(windows: DataFrame, counts: DataFrame) -> DataFrame:
     return windows.join(best, "win").select("win", "tokens", "len", "items", F.col("b.token").alias("token"), F.col("b.ahead").alias("ahead"))
 
 
+def _in_bitmap(windows: DataFrame):
+    """A function (token) -> whether it may be a prefix token. The bitmap's size follows their number, up to MOST_BITS."""
+    tokens = windows.select("token").distinct()
+    bits = min(MOST_BITS, 1 << max(6, (BITS * tokens.count()).bit_length()))
+    place = lambda t: F.xxhash64(t).bitwiseAND(F.lit(bits - 1))
+    spot = tokens.select(place(F.col("token")).alias("h")).select(F.shiftright("h", 6).alias("at"), F.expr("shiftleft(1L, cast(h & 63 as int))").alias("bit"))
+    words = {r["at"]: r["bits"] for r in spot.groupBy("at").agg(F.bit_or("bit").alias("bits")).collect()}
+    bitmap = F.lit(np.array([words.get(i, 0) for i in range(bits >> 6)], np.int64))
+    return lambda t: F.getbit(F.get(bitmap, F.shiftright(place(t), 6).cast("int")), place(t).bitwiseAND(F.lit(63)).cast("int")) == 1
+
+
 def contamination(docs: DataFrame, items: DataFrame, scratch: Scratch, size: int = WINDOW) -> DataFrame:
     """doc_id, n_words, n_hit, items (distinct item ids as strings, sorted) and the text's digest for every document."""
     windows = scratch.keep(item_windows(items, size), "windows")
     counts = scratch.keep(rarity(docs, windows), "counts")
     ready = scratch.keep(with_prefix(windows, counts), "ready")
-    tokens = ready.select("token").distinct()
-    few = [r[0] for r in tokens.limit(LITERAL_TOKENS + 1).collect()]
-    base = docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id", _digest(F.col("text")).alias("digest"), plain_words(F.col("text")).alias("plain"))
-    base = base.select("*", _split(F.col("plain")).alias("w"))
-    if len(few) <= LITERAL_TOKENS:
-        own = F.array_intersect("w", F.array(*[F.lit(t) for t in few]).cast("array<string>"))
-    else:
-        own = F.array_distinct("w")
-    # a row for each prefix token that the document has, and one without a token that carries the document itself
-    asked = base.select(
-        "rid", "doc_id", "digest", "plain", F.size("w").alias("n_words"), F.explode(F.concat(own, F.array(F.lit(None).cast("string")))).alias("_t")
-    )
-    met = asked.join(sized_broadcast(ready, BROADCAST_ROWS), F.col("_t") == F.col("token"), "left")
-    inside = (F.col("len") <= F.col("n_words")) & F.concat(F.lit(" "), "plain", F.lit(" ")).contains(F.concat(F.lit(" "), "win", F.lit(" ")))
-    met = met.where(F.col("_t").isNull() | F.coalesce(inside, F.lit(False)))
-    # the prefix token's place bounds the window's: at least ``ahead`` words before it, the rest behind it;
-    # the outer transform binds the document's words once
-    places = F.transform(
-        F.array(F.split("plain", " ")),
-        lambda w: F.filter(
-            F.sequence(F.lit(1), F.col("n_words") - F.col("len") + 1),
-            lambda i: (F.get(w, i + F.col("ahead") - 1) == F.col("token")) & (F.slice(w, i, F.col("len")) == F.col("tokens")),
-        ),
-    )[0]
-    hit = F.when(
-        F.col("_t").isNotNull(), F.array_distinct(F.flatten(F.transform(places, lambda p: F.sequence(p, p + F.col("len") - 1))))
+    near = size - 1
+    base = docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id", _digest(F.col("text")).alias("digest"), _split(plain_words(F.col("text"))).alias("w"))
+    listed = _in_bitmap(ready)
+    places = F.array_compact(F.transform("w", lambda t, i: F.when(listed(t), i + 1)))
+    around = F.transform(
+        places, lambda p: F.struct(p.alias("p"), F.get("w", p - 1).alias("t"), F.greatest(F.lit(1), p - near).alias("from"), F.slice("w", F.greatest(F.lit(1), p - near), 2 * near + 1).alias("words"))
     )
+    # a row for each place of a prefix token, and one without that carries the document itself
+    asked = base.select("rid", "doc_id", "digest", F.size("w").cast("long").alias("n_words"), F.explode(F.concat(around, F.array(F.lit(None)))).alias("at"))
+    met = asked.join(sized_broadcast(ready, BROADCAST_ROWS), F.col("at.t") == F.col("token"), "left")
+    # the prefix token's place says where the window would be: ``ahead`` words before it, the rest behind it
+    start = F.col("at.p") - F.col("ahead")
+    inside = (start >= 1) & (start + F.col("len") - 1 <= F.col("n_words"))
+    whole = F.when(inside, F.slice("at.words", start - F.col("at.from") + 1, F.col("len")) == F.col("tokens"))
+    met = met.where(F.col("at").isNull() | F.coalesce(whole, F.lit(False)))
+    hit = F.when(F.col("at").isNotNull(), F.sequence(start, start + F.col("len") - 1))
     found = met.select("rid", "doc_id", "digest", "n_words", hit.alias("hit"), "items")
     return (
         found.groupBy("rid")
         .agg(
             F.first("doc_id").alias("doc_id"),
-            F.max("n_words").cast("long").alias("n_words"),
+            F.max("n_words").alias("n_words"),
             F.size(F.array_distinct(F.flatten(F.collect_list("hit")))).cast("long").alias("n_hit"),
             F.sort_array(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
             F.first("digest").alias("digest"),

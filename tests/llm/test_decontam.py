@@ -54,8 +54,8 @@ def test_clean_documents_stay_beside_a_contaminated_one_of_their_id(spark):
     assert got == [("1", "None"), ("1", "clean too"), ("None", "None"), ("None", "clean")]
 
 
-def test_more_tokens_than_a_literal_list_holds(spark, monkeypatch):
-    monkeypatch.setattr(decontam, "LITERAL_TOKENS", 1)
+def test_a_bitmap_that_is_full_changes_nothing(spark, monkeypatch):
+    monkeypatch.setattr(decontam, "MOST_BITS", 64)
     d = spark.createDataFrame([(1, "a b c d"), (2, "c d e f")], "doc_id bigint, text string")
     b = spark.createDataFrame([(1, "a b"), (2, "e f"), (3, "d e")], "item_id bigint, text string")
     got = sorted((x.doc_id, x.n_hit, list(x["items"])) for x in decontam.contamination(d, b, Scratch(spark)).collect())
@@ -68,3 +68,10 @@ def test_empty(spark):
     one = spark.createDataFrame([(1, "a b c")], "doc_id bigint, text string")
     assert decontam.contamination(d, b, Scratch(spark)).count() == 0
     assert [tuple(x)[1:3] for x in decontam.contamination(one, b, Scratch(spark)).collect()] == [(3, 0)]
+
+
+def test_the_bitmap_is_a_literal_of_the_plan(spark):
+    d = spark.createDataFrame([(1, "a b c")], "doc_id bigint, text string")
+    w = spark.createDataFrame([("a",), ("b",)], "token string")
+    plan = d.select(decontam._in_bitmap(w)(d.text))._jdf.queryExecution().optimizedPlan().toString()
+    assert "getbit([0,0,0,528384][" in plan
