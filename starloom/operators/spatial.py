@@ -26,8 +26,8 @@ def _cells(df: DataFrame, axes: list[Column], size: float, around: bool, names:
     return out.withColumns({n: F.col(f"_own{n}") + F.col(f"_shift.{n}") for n in names}).drop("_shift", *[f"_own{n}" for n in names])
 
 
-def pairs(left: DataFrame, right: DataFrame, radius: float, *, how: str = "inner") -> DataFrame:
-    """All pairs of plane positions (columns x, y) within ``radius``: a_*, b_* columns and ``sep``.
+def pairs(left: DataFrame, right: DataFrame, radius: float, *, how: str = "inner", keys: list[str] | None = None) -> DataFrame:
+    """All pairs of plane positions (columns x, y) within ``radius`` whose ``keys`` are equal: a_*, b_* columns and ``sep``.
 
     ``how`` may be inner, left_semi or left_anti; the latter two return the columns a_* only.
     """
@@ -39,6 +39,8 @@ def pairs(left: DataFrame, right: DataFrame, radius: float, *, how: str = "inner
     dx, dy = F.col("b_x") - F.col("a_x"), F.col("b_y") - F.col("a_y")
     sep = F.sqrt(dx * dx + dy * dy)
     cond = (a["_cx"] == b["_cx"]) & (a["_cy"] == b["_cy"]) & (sep <= F.lit(float(radius)))
+    for k in keys or []:
+        cond = cond & (a[f"a_{k}"] == b[f"b_{k}"])
     out = a.join(b, cond, how)
     return (out.withColumn("sep", sep) if how == "inner" else out).drop(*names)
 
@@ -66,10 +68,12 @@ def nearest(found: DataFrame, key: str = "a_id", other: str = "b_id", by: str =
 
 
 def mutual(found: DataFrame) -> DataFrame:
-    """Pairs that are each other's nearest."""
-    rank = lambda k, o: F.row_number().over(W.partitionBy(k).orderBy("sep", o))
-    out = found.withColumn("_ra", rank("a_id", "b_id")).withColumn("_rb", rank("b_id", "a_id"))
-    return out.where("_ra = 1 and _rb = 1").drop("_ra", "_rb")
+    """Pairs that are each other's nearest (ties fall to the smaller id); minima combine before the shuffle, nothing is sorted."""
+    order = F.struct("sep", "b_id")
+    best = found.groupBy("a_id").agg(F.min_by(F.struct(*[c for c in found.columns if c != "a_id"]), order).alias("_b"))
+    back = found.groupBy("b_id").agg(F.min(F.struct("sep", "a_id")).alias("_a")).select(F.col("b_id").alias("_k"), F.col("_a.a_id").alias("_i"))
+    best = best.join(back, (F.col("_b.b_id") == F.col("_k")) & (F.col("a_id") == F.col("_i")), "left_semi")
+    return best.select(*[F.col(c) if c == "a_id" else F.col(f"_b.{c}").alias(c) for c in found.columns])
 
 
 def mutual_matches(left: DataFrame, right: DataFrame, radius: float) -> DataFrame:
@@ -112,7 +116,9 @@ def greedy_pairs(options: DataFrame, keep) -> DataFrame:
     order = ["sep", "a_id", "b_id"]
     rest = keep(options, "options0")
     out = None
-    for i in range(1, 1000):
+    i = 0
+    while True:  # every round but the last takes the best option of all that are left, at least
+        i += 1
         best = lambda k: F.row_number().over(W.partitionBy(k).orderBy(*order))
         chosen = keep(rest.withColumn("_i", best("a_id")).withColumn("_j", best("b_id")).where("_i = 1 and _j = 1").drop("_i", "_j"), f"chosen{i}")
         if not chosen.limit(1).count():

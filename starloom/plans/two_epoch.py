@@ -1,8 +1,7 @@
 """Two-epoch change detection: images of two epochs to ranked candidates and counts of what was rejected why.
 
 Images of a field become detections in one table function per field (arrays); everything after is relational over
-all fields at once: matching, the measured error model, vetoes, pairing, kinds. Fields are set apart by an offset of x, so
-that the spatial operators never mix them.
+all fields at once: matching, the measured error model, vetoes, pairing, kinds. The field is a key of every spatial join.
 """
 
 from __future__ import annotations
@@ -16,7 +15,6 @@ from ..operators import imaging, robust, spatial
 from ..session import reachable
 from .scratch import rounds
 
-APART = 1_000_000.0
 DETECT, FORCED, MIN_SHIFT = 5.0, 3.0, 10.0
 EDGE, HALO, HALO_SNR, CROWD = 4.0, 8.0, 200.0, 2.0
 MAX_CENTROID, NEGATIVE, SUPPORT = 0.5, -10.0, 5.0
@@ -54,18 +52,17 @@ def detections(pixels: DataFrame, height: int, width: int, *, fwhm: float | None
         diff = np.where(valid, subs[1] - subs[0], np.nan)
         change = imaging.significance(diff - imaging.background(diff)[0], common)
         edge = imaging.edge_distance(valid)
-        rows = []
+        frames = []
         for k, epoch in enumerate("AB"):
-            for i, d in enumerate(imaging.sources(subs[k], snr[k], DETECT)):
-                y, x = d["y"], d["x"]
-                low = [imaging.at_place(s / n, y, x, 2, np.min) for s, n in zip(subs, noise, strict=True)]
-                flagged = imaging.at_place(np.where(bad[k], 1.0, 0.0), y, x, 1, np.max)
-                rows.append((
-                    key[0], epoch, 2 * i + k, x, y, d["snr"], d["peak"], d["flux"], d["sharpness"], d["roundness"], d["clipped"], d["all_finite"],
-                    float(edge[int(np.rint(y)), int(np.rint(x))]), any(v is not None and v < NEGATIVE for v in low), bool(flagged),
-                    imaging.at_place(snr[1 - k], y, x, 1, np.max), imaging.at_place(change, y, x, 1, lambda v: v[np.argmax(np.abs(v))]), common,
-                ))
-        return pd.DataFrame(rows, columns=[c.split()[0] for c in _DETECTIONS.split(", ")])
+            d = imaging.sources(subs[k], snr[k], DETECT)
+            y, x, n = d["y"], d["x"], len(d["y"])
+            lowest = [imaging.extreme(imaging.around(s / q, y, x, 2), np.fmin) for s, q in zip(subs, noise, strict=True)]
+            frames.append(pd.DataFrame({
+                "field": key[0], "epoch": epoch, "id": 2 * np.arange(n) + k, **d, "edge": imaging.around(edge, y, x, 0)[:, 0],
+                "corrupted": np.fmin(*lowest) < NEGATIVE, "flagged": imaging.extreme(imaging.around(bad[k].astype(float), y, x, 1), np.fmax) > 0,
+                "other_snr": imaging.extreme(imaging.around(snr[1 - k], y, x, 1), np.fmax), "diff_snr": imaging.strongest(imaging.around(change, y, x, 1)), "fwhm": common,
+            }))
+        return pd.concat(frames)[[c.split()[0] for c in _DETECTIONS.split(", ")]]
 
     return pixels.groupBy("field").applyInPandas(run, _DETECTIONS)
 
@@ -75,12 +72,11 @@ def find_candidates(pixels: DataFrame, height: int, width: int, *, fwhm: float |
     spark = pixels.sparkSession
     keep = rounds(spark)
     found = keep(detections(pixels, height, width, fwhm=fwhm), "detections")
-    offset = F.pmod(F.xxhash64("field"), F.lit(1_000_003)) * F.lit(APART)
-    found = keep(found.withColumns({"key": F.concat_ws("/", "field", "id"), "sx": F.col("x") + offset}), "keyed")
-    points = found.select(F.col("key").alias("id"), F.col("sx").alias("x"), "y", "snr", "flux", "sharpness", "field", "epoch", "fwhm")
+    found = found.withColumns({"key": F.concat_ws("/", "field", "id"), **{c: F.nanvl(c, F.lit(None).cast("double")) for c in ("sharpness", "other_snr", "diff_snr")}})
+    points = found.select(F.col("key").alias("id"), "x", "y", "snr", "flux", "sharpness", "field", "epoch", "fwhm")
     a, b = points.where("epoch = 'A'"), points.where("epoch = 'B'")
     reach = found.agg(F.coalesce(F.max("fwhm"), F.lit(1.0))).first()[0]  # one number: the cells' edge
-    matched = spatial.mutual(spatial.pairs(a, b, reach).where("a_field = b_field and sep <= a_fwhm"))
+    matched = spatial.mutual(spatial.pairs(a, b, reach, keys=["field"]).where("sep <= a_fwhm"))
     matched = keep(matched.withColumns({"dx": F.col("b_x") - F.col("a_x"), "dy": F.col("b_y") - F.col("a_y")}), "matched")
 
     bright = matched.where("a_snr >= 50 and b_snr >= 50").groupBy(F.col("a_field").alias("field")).agg(F.count(F.lit(1)).alias("n"), F.median("dx").alias("mx"), F.median("dy").alias("my"))
@@ -98,7 +94,7 @@ def find_candidates(pixels: DataFrame, height: int, width: int, *, fwhm: float |
     partner = matched.select(F.col("a_id").alias("id"), F.col("b_id").alias("partner")).unionByName(matched.select(F.col("b_id").alias("id"), F.col("a_id").alias("partner")))
 
     # neighbours of either epoch that are neither the source nor its partner
-    near = spatial.pairs(points, points, max(HALO, CROWD * reach)).where("a_field = b_field and a_id <> b_id")
+    near = spatial.pairs(points, points, max(HALO, CROWD * reach), keys=["field"]).where("a_id <> b_id")
     near = near.join(partner.withColumnRenamed("id", "a_id"), "a_id", "left").where("partner is null or partner <> b_id")
     around = near.groupBy(F.col("a_id").alias("key")).agg(
         F.bool_or((F.col("b_snr") >= HALO_SNR) & (F.col("sep") <= HALO) & (F.col("sep") > 0.5)).alias("halo"), F.bool_or(F.col("sep") <= CROWD * F.col("a_fwhm")).alias("crowded")
@@ -131,10 +127,10 @@ def find_candidates(pixels: DataFrame, height: int, width: int, *, fwhm: float |
     # singles: absent from the other epoch and supported by the difference
     singles = vetoed.join(partner.select(F.col("id").alias("key")), "key", "left_anti")
     reason = F.when(F.coalesce(F.col("other_snr") >= FORCED, F.lit(False)), "present_in_both").otherwise(F.try_element_at(F.concat("vetoes", "signed"), F.lit(1)))
-    singles = keep(singles.select("field", "epoch", "key", "sx", "y", "flux", "diff_snr", reason.alias("reason")), "singles")
-    good = singles.where("reason is null").select(F.col("key").alias("id"), F.col("sx").alias("x"), "y", "flux", "field", "epoch", "diff_snr")
-    options = spatial.pairs(good.where("epoch = 'A'"), good.where("epoch = 'B'"), PAIR)
-    options = options.where((F.col("a_field") == F.col("b_field")) & (F.col("a_flux") > 0) & (F.col("b_flux") > 0) & F.try_divide("b_flux", "a_flux").between(1 / RATIO, RATIO))
+    singles = keep(singles.select("field", "epoch", "key", "x", "y", "flux", "diff_snr", reason.alias("reason")), "singles")
+    good = singles.where("reason is null").select(F.col("key").alias("id"), "x", "y", "flux", "field", "epoch", "diff_snr")
+    options = spatial.pairs(good.where("epoch = 'A'"), good.where("epoch = 'B'"), PAIR, keys=["field"])
+    options = options.where((F.col("a_flux") > 0) & (F.col("b_flux") > 0) & F.try_divide("b_flux", "a_flux").between(1 / RATIO, RATIO))
     chosen = spatial.greedy_pairs(spatial.alternatives(options.select("a_id", "b_id", "sep", F.col("a_field").alias("field"))), keep)
     paired = chosen.select(F.explode(F.array("a_id", "b_id")).alias("id"))
     alone = good.join(paired, "id", "left_anti")
