@@ -7,6 +7,7 @@ in the task. Non-finite values become null. A file is one task's work, as its co
 from __future__ import annotations
 
 import gzip
+import io
 import math
 from collections.abc import Iterator
 
@@ -50,24 +51,13 @@ def units(data: bytes) -> Iterator[tuple[dict, int, int]]:
     """(header, offset and size of the data) of every header-data unit."""
     at = 0
     while at + BLOCK <= len(data):
-        header: dict = {}
-        done = False
-        while not done:
-            block = data[at : at + BLOCK].decode("ascii", "replace")
-            if len(block) < BLOCK:
-                raise ValueError("a header ends early")
+        start = at
+        while not any(data[i : i + 8].rstrip() == b"END" for i in range(at, at + BLOCK, CARD)):
             at += BLOCK
-            for i in range(0, BLOCK, CARD):
-                card = block[i : i + CARD]
-                key = card[:8].strip()
-                if key == "END":
-                    done = True
-                    break
-                if card[8:10] == "= " and key not in header:
-                    header[key] = parse_value(card[10:])
-        axes = [header[f"NAXIS{i + 1}"] for i in range(header.get("NAXIS", 0))]
-        count = math.prod(axes) if axes else 0
-        size = (count * abs(header.get("BITPIX", 8)) // 8 + header.get("PCOUNT", 0)) * header.get("GCOUNT", 1) if count else 0
+            if at + BLOCK > len(data):
+                raise ValueError("a header ends early")
+        at += BLOCK
+        header, size = _header(data[start:at])
         if at + size > len(data):
             raise ValueError("the data end early")
         yield header, at, size
@@ -91,13 +81,111 @@ def _content(data: bytes) -> bytes:
     return gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data
 
 
-def read_headers(spark: SparkSession, path: str) -> DataFrame:
-    """path, unit, and the header of each unit as a map of strings."""
+def first_headers(data: bytes, name: str | None = None) -> Iterator[dict]:
+    """Headers up to the first image (or the one of that name): a gzip file is expanded no further than that."""
+    stream = gzip.GzipFile(fileobj=io.BytesIO(data)) if data[:2] == b"\x1f\x8b" else io.BytesIO(data)
+    while block := stream.read(BLOCK):
+        cards = block
+        while not any(cards[i : i + 8].rstrip() == b"END" for i in range(len(cards) - BLOCK, len(cards), CARD)):
+            more = stream.read(BLOCK)
+            if len(more) < BLOCK:
+                raise ValueError("a header ends early")
+            cards += more
+        header, size = _header(cards)
+        yield header
+        if size and header.get("XTENSION", "IMAGE") == "IMAGE" and name in (None, header.get("EXTNAME")):
+            return
+        stream.seek(-(-size // BLOCK) * BLOCK, io.SEEK_CUR)
+
+
+def _header(cards: bytes) -> tuple[dict, int]:
+    """The keys of a header and the bytes of the data behind it."""
+    header: dict = {}
+    for i in range(0, len(cards), CARD):
+        card = cards[i : i + CARD].decode("ascii", "replace")
+        if card[8:10] == "= ":
+            header.setdefault(card[:8].strip(), parse_value(card[10:]))
+    axes = [header[f"NAXIS{i + 1}"] for i in range(header.get("NAXIS", 0))]
+    count = math.prod(axes) if axes else 0
+    return header, (count * abs(header.get("BITPIX", 8)) // 8 + header.get("PCOUNT", 0)) * header.get("GCOUNT", 1) if count else 0
+
+
+#: Fixed values of the format: column types of binary tables and their bytes.
+COLUMNS = {"L": ("?", 1), "B": ("u1", 1), "I": (">i2", 2), "J": (">i4", 4), "K": (">i8", 8), "E": (">f4", 4), "D": (">f8", 8)}
+
+
+def binary_table(data: bytes, name: str) -> dict[str, list]:
+    """Columns of the binary table ``name``: lists of numbers, strings or lists."""
+    for header, at, _ in units(data):
+        if header.get("XTENSION") != "BINTABLE" or header.get("EXTNAME") != name:
+            continue
+        width, rows = header["NAXIS1"], header["NAXIS2"]
+        raw = np.frombuffer(data, np.uint8, width * rows, at).reshape(rows, width)
+        out, start = {}, 0
+        for i in range(1, header["TFIELDS"] + 1):
+            form = header[f"TFORM{i}"].strip()
+            repeat, kind = int(form[:-1] or 1), form[-1]
+            size = repeat * (1 if kind == "A" else COLUMNS[kind][1])
+            cell = np.ascontiguousarray(raw[:, start : start + size])
+            start += size
+            if kind == "A":
+                values = [bytes(c).split(b"\0")[0].decode("ascii").rstrip() for c in cell]
+            else:
+                numbers = cell.view(COLUMNS[kind][0])
+                scaled = numbers * header.get(f"TSCAL{i}", 1) + header.get(f"TZERO{i}", 0) if f"TSCAL{i}" in header or f"TZERO{i}" in header else numbers
+                values = scaled[:, 0].tolist() if repeat == 1 else scaled.tolist()
+            out[header.get(f"TTYPE{i}", f"col{i}").strip()] = values
+        return out
+    raise ValueError(f"no table {name}")
+
+
+def read_table(spark: SparkSession, path: str, name: str, schema: str) -> DataFrame:
+    """path and the columns of ``schema`` of the binary table ``name`` in each file; array columns stay arrays."""
+    wanted = spark.createDataFrame([], schema).columns
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for p, content in zip(frame.path, frame.content, strict=True):
+                found = binary_table(_content(content), name)
+                yield pd.DataFrame({"path": p, **{c: found[c] for c in wanted}})
+
+    files = reachable(spark).read.format("binaryFile").load(path).select("path", "content")
+    return files.mapInPandas(run, f"path string, {schema}")
+
+
+#: Header keys that the files of one cube must share: the grid and its world system.
+GRID_KEYS = ("NAXIS1", "NAXIS2", "CRVAL1", "CRVAL2", "CRPIX1", "CRPIX2", "CD1_1", "CD1_2", "CD2_1", "CD2_2", "CTYPE1", "CTYPE2")
+
+
+def read_cube(spark: SparkSession, path: str, name: str | None = None) -> DataFrame:
+    """channel (from 1, through all files in order of their paths), y, x, value; files of different grids are refused."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for p, content in zip(frame.path, frame.content, strict=True):
+                *_, h = first_headers(content, name)
+                yield pd.DataFrame([[p, h.get("NAXIS3", 1), repr([h.get(k) for k in GRID_KEYS])]], columns=["path", "planes", "grid"])
+
+    files = reachable(spark).read.format("binaryFile").load(path).select("path", "content")
+    layout = files.mapInPandas(run, "path string, planes int, grid string").collect()  # a row for each file of one cube
+    if len({r.grid for r in layout}) > 1:
+        raise ValueError("the files have different grids")
+    first, rows = 1, []
+    for r in sorted(layout, key=lambda r: r.path):
+        rows.append((r.path, first))
+        first += r.planes
+    offsets = spark.createDataFrame(rows, "path string, first int")
+    pixels = read_pixels(spark, path, name).join(F.broadcast(offsets), "path")
+    return pixels.select((F.col("first") + F.col("plane")).alias("channel"), "y", "x", "value")
+
+
+def read_headers(spark: SparkSession, path: str, whole: bool = True) -> DataFrame:
+    """path, unit, and the header of each unit as a map of strings; of the units up to the first image only unless ``whole``."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for p, content in zip(frame.path, frame.content, strict=True):
-                rows = [(p, i, {k: str(v) for k, v in h.items()}) for i, (h, _, _) in enumerate(units(_content(content)))]
+                rows = [(p, i, {k: str(v) for k, v in h.items()}) for i, h in enumerate(first_headers(content, "" if whole else None))]
                 yield pd.DataFrame(rows, columns=["path", "unit", "header"])
 
     files = reachable(spark).read.format("binaryFile").load(path).select("path", "content")

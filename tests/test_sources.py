@@ -64,3 +64,20 @@ def test_stream_equals_batch(spark, tmp_path):
     q.awaitTermination(60)
     batch = events.windowed(rows)
     assert sorted(map(tuple, spark.table("w").collect())) == sorted(map(tuple, batch.collect()))
+
+
+def test_binary_tables(spark, tmp_path):
+    """Channel lists and calibration grids come as binary tables: scalars, strings and arrays, big-endian."""
+    body = b"".join(struct.pack(">i", i) + f"D{i}".ljust(4).encode() + struct.pack(">2d", 0.5 + i, 1.5 * i) for i in (1, 2, 3))
+    table = unit(
+        ["XTENSION= 'BINTABLE'", "BITPIX  =                    8", "NAXIS   =                    2", "NAXIS1  =                   24", "NAXIS2  =                    3", "PCOUNT  =                    0", "GCOUNT  =                    1",
+         "TFIELDS =                    3", "TTYPE1  = 'CHANNEL '", "TFORM1  = 'J       '", "TTYPE2  = 'DETECTOR'", "TFORM2  = '4A      '", "TTYPE3  = 'WAVE    '", "TFORM3  = '2D      '", "EXTNAME = 'CHANNELS'"],
+        body,
+    )
+    (tmp_path / "t.fits").write_bytes(sample() + table)
+    got = sorted(fits.read_table(spark, str(tmp_path / "t.fits"), "CHANNELS", "CHANNEL int, DETECTOR string, WAVE array<double>").collect(), key=lambda r: r.CHANNEL)
+    assert [(r.CHANNEL, r.DETECTOR, list(r.WAVE)) for r in got] == [(i, f"D{i}", [0.5 + i, 1.5 * i]) for i in (1, 2, 3)]
+    with pytest.raises(Exception, match="no table"):
+        fits.read_table(spark, str(tmp_path / "t.fits"), "OTHER", "X int").collect()
+    heads = fits.read_headers(spark, str(tmp_path / "t.fits"), whole=False).collect()
+    assert len(heads) == 2
