@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -35,23 +39,81 @@ def clipped_stats(df: DataFrame, keys: list[str], value: str, sigma: float = 3.0
     return out.select(*keys, "med", array_scatter(F.col("_v"), F.col("med")).alias("std"), F.size("_v").cast("long").alias("n"))
 
 
-def calibration(df: DataFrame, order: list[str], inv: str, offsets: list[str], least: int = 30) -> DataFrame:
+#: Cut points by which the rows of a group are dealt to tasks before they are ranked.
+PARTS = 64
+
+
+def _dealt(df: DataFrame, keys: list[str], by: str) -> DataFrame:
+    """Adds ``_part``: how many of the group's approximate quantiles of ``by`` a row's value reaches. Parts are in order."""
+    cut = F.percentile_approx(by, F.array(*[F.lit(i / PARTS) for i in range(1, PARTS)]), F.lit(20 * PARTS)).alias("_cuts")
+    cuts = df.groupBy(*[F.col(k).alias(f"_k_{k}") for k in keys]).agg(cut)
+    cond = F.lit(True)
+    for k in keys:
+        cond = cond & df[k].eqNullSafe(cuts[f"_k_{k}"])
+    met = df.join(cuts, cond) if keys else df.join(F.broadcast(cuts))  # one row
+    return met.withColumn("_part", F.size(F.filter("_cuts", lambda c: c <= F.col(by)))).drop("_cuts", *[f"_k_{k}" for k in keys])
+
+
+def _behind(dealt: DataFrame, keys: list[str], weight: Column) -> DataFrame:
+    """Adds ``_n`` and ``_before``: the weight of the group, and that of its lower parts."""
+    per = dealt.groupBy(*keys, "_part").agg(F.sum(weight).alias("_s"))
+    group = W.partitionBy(*keys) if keys else W.partitionBy(F.lit(0))  # a row a part
+    before = F.sum("_s").over(group.orderBy("_part").rowsBetween(W.unboundedPreceding, -1))
+    per = per.select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.col("_part").alias("_p"), F.sum("_s").over(group).alias("_n"), F.coalesce(before, F.lit(0)).alias("_before"))
+    cond = dealt["_part"] == per["_p"]
+    for k in keys:
+        cond = cond & dealt[k].eqNullSafe(per[f"_k_{k}"])
+    return dealt.join(per, cond).drop("_p", *[f"_k_{k}" for k in keys])
+
+
+def ranked(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """Adds ``rank`` (from 0) by ``order`` and the group's size ``n``. No task sorts a whole group: it is dealt in ordered parts."""
+    whole = _behind(_dealt(df, keys, order[0]), keys, F.lit(1))
+    line = W.partitionBy(*keys, "_part").orderBy(*order)
+    return whole.withColumn("rank", F.col("_before") + F.row_number().over(line) - 1).withColumnRenamed("_n", "n").drop("_part", "_before")
+
+
+def quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str, float]) -> DataFrame:
+    """keys and one exact, interpolated quantile of ``value`` for each name in ``probs``; nulls don't count.
+
+    Equal values are counted before the shuffle and the distinct ones ranked in parts, so that no task holds a group.
+    """
+    hist = df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).cast("double").alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
+    whole = _behind(_dealt(hist, keys, "_v"), keys, F.col("_c"))
+    line = W.partitionBy(*keys, "_part").orderBy("_v").rowsBetween(W.unboundedPreceding, 0)
+    whole = whole.withColumn("_hi", F.col("_before") + F.sum("_c").over(line)).withColumn("_lo", F.col("_hi") - F.col("_c"))
+
+    def at(place: Column) -> Column:
+        return F.max(F.when((F.col("_lo") <= place) & (place < F.col("_hi")), F.col("_v")))
+
+    ends = []
+    for name, p in probs.items():
+        place = F.lit(p) * (F.col("_n") - 1)
+        ends += [at(F.floor(place)).alias(f"_a_{name}"), at(F.ceil(place)).alias(f"_b_{name}"), F.max(place - F.floor(place)).alias(f"_f_{name}")]
+    out = whole.groupBy(*keys).agg(*ends)
+    return out.select(*keys, *[(F.col(f"_a_{n}") + (F.col(f"_b_{n}") - F.col(f"_a_{n}")) * F.col(f"_f_{n}")).alias(n) for n in probs])
+
+
+def calibration(df: DataFrame, order: list[str], inv: str, offsets: list[str], keep, least: int = 30) -> DataFrame:
     """One row (sigma_sys, k): scatter of matched pairs against inverse signal squared, by equal-count bins and a line.
 
     bins = n div 150 between 3 and 12; a bin's y is the mean of its squared MAD scatters per axis, its x the median of ``inv``.
-    Fewer than ``least`` pairs give the defaults (0.1, 1.0).
+    Fewer than ``least`` pairs give the defaults (0.1, 1.0). ``keep(df, name)`` writes and rereads a table that is used again.
     """
-    n = F.count(F.lit(1)).over(W.partitionBy(F.lit(0)))
-    bins = F.greatest(F.lit(3), F.least(F.lit(12), F.floor(n / 150))).cast("int")
-    ranked = df.withColumn("_n", n).withColumn("_k", bins).withColumn("_r", F.row_number().over(W.partitionBy(F.lit(0)).orderBy(inv, *order)) - 1)
+    df = keep(df.select(*order, inv, *offsets), "pairs")
+    binned = ranked(df, [], [inv, *order])
+    bins = F.greatest(F.lit(3), F.least(F.lit(12), F.floor(F.col("n") / 150))).cast("int")
     # equal counts, the first n mod k bins one larger
-    size, extra = F.floor(F.col("_n") / F.col("_k")), F.col("_n") % F.col("_k")
-    edge = extra * (size + 1)
-    bin_ = F.when(F.col("_r") < edge, F.floor(F.col("_r") / (size + 1))).otherwise(extra + F.floor((F.col("_r") - edge) / size))
-    binned = ranked.withColumn("_bin", bin_)
-    med = binned.groupBy("_bin").agg(F.median(inv).alias("_x"), *[F.median(o).alias(f"_m_{o}") for o in offsets])
-    spread = binned.join(med, "_bin").groupBy("_bin", "_x").agg(*[(MAD * F.median(F.abs(F.col(o) - F.col(f"_m_{o}")))).alias(f"_s_{o}") for o in offsets])
-    y = sum((F.col(f"_s_{o}") * F.col(f"_s_{o}") for o in offsets[1:]), F.col(f"_s_{offsets[0]}") * F.col(f"_s_{offsets[0]}")) / len(offsets)
+    binned = binned.withColumn("_k", bins).withColumns({"_size": F.floor(F.col("n") / F.col("_k")), "_extra": F.col("n") % F.col("_k")})
+    edge = F.col("_extra") * (F.col("_size") + 1)
+    bin_ = F.when(F.col("rank") < edge, F.floor(F.col("rank") / (F.col("_size") + 1))).otherwise(F.col("_extra") + F.floor((F.col("rank") - edge) / F.greatest(F.lit(1), F.col("_size"))))
+    binned = keep(binned.select(bin_.alias("_bin"), inv, *offsets), "binned")
+    spread = quantiles(binned, ["_bin"], inv, {"_x": 0.5})
+    for o in offsets:
+        middle = quantiles(binned, ["_bin"], o, {"_m": 0.5})
+        off = binned.join(F.broadcast(middle), "_bin").select("_bin", F.abs(F.col(o) - F.col("_m")).alias("_d"))  # a row for each of 12 bins at most
+        spread = spread.join(quantiles(off, ["_bin"], "_d", {f"_s_{o}": 0.5}), "_bin")
+    y = sum((F.pow(MAD * F.col(f"_s_{o}"), 2) for o in offsets), F.lit(0.0)) / len(offsets)
     fit = spread.select("_x", y.alias("_y")).agg(F.regr_intercept("_y", "_x").alias("a"), F.regr_slope("_y", "_x").alias("b"))
     total = df.agg(F.count(F.lit(1)).alias("n"))
     few = F.col("n") < least
@@ -65,16 +127,24 @@ def calibration(df: DataFrame, order: list[str], inv: str, offsets: list[str], l
 def rayleigh_likelihood(df: DataFrame, sep: str, radius: float, sigmas: list[float], shares: list[float]) -> DataFrame:
     """The (sigma, share) of a parameter grid with the highest likelihood of a Rayleigh core on a uniform background.
 
-    Parameters live in a small broadcast table; each task sums its part's log-likelihoods per parameter. Ties: the
+    Each task goes over its rows once and keeps one sum for each parameter; only these sums are shuffled. Ties: the
     first parameter in grid order.
     """
-    spark = df.sparkSession
-    grid = spark.createDataFrame([(i * len(shares) + j, s, f) for i, s in enumerate(sigmas) for j, f in enumerate(shares)], "k int, sigma double, share double")
-    r = F.col(sep)
-    core = r / (F.col("sigma") * F.col("sigma")) * F.exp(-r * r / (2 * F.col("sigma") * F.col("sigma")))
-    p = F.col("share") * core + (1 - F.col("share")) * 2 * r / (radius * radius) + 1e-300
-    total = df.select(sep).join(F.broadcast(grid)).groupBy("k", "sigma", "share").agg(F.sum(F.log(p)).alias("loglike"))
-    return total.orderBy(F.desc("loglike"), "k").limit(1)
+    s, f = (a.ravel() for a in np.meshgrid(np.array(sigmas), np.array(shares), indexing="ij"))
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, any_ = np.zeros(len(s)), False
+        for batch in batches:
+            r = np.asarray(batch.column(0).to_numpy(zero_copy_only=False), np.float64)
+            for k in range(0, len(r), 64):
+                part = r[k : k + 64, None]
+                total += np.log(f * (part / (s * s) * np.exp(-part * part / (2 * s * s))) + (1 - f) * 2 * part / (radius * radius) + 1e-300).sum(axis=0)
+                any_ = True
+        if any_:
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(s), dtype=np.int32)), pa.array(s), pa.array(f), pa.array(total)], names=["k", "sigma", "share", "part"])
+
+    parts = df.select(F.col(sep).cast("double")).where(F.col(sep).isNotNull()).mapInArrow(sums, "k int, sigma double, share double, part double")
+    return parts.groupBy("k", "sigma", "share").agg(F.sum("part").alias("loglike")).orderBy(F.desc("loglike"), "k").limit(1)
 
 
 def clipped_line(df: DataFrame, x: str, y: str, rounds: int = 3, sigma: float = 3.0) -> DataFrame:
@@ -88,10 +158,10 @@ def clipped_line(df: DataFrame, x: str, y: str, rounds: int = 3, sigma: float =
         if a is None:
             break
         r = F.col("y") - a * F.col("x") - b
-        m = cur.agg(F.median(r)).first()[0]
-        s = MAD * cur.agg(F.median(F.abs(r - m))).first()[0]
+        m = quantiles(cur.select(r.alias("r")), [], "r", {"m": 0.5}).first()[0]
+        s = MAD * quantiles(cur.select(F.abs(r - m).alias("r")), [], "r", {"m": 0.5}).first()[0]
         cur = cur.where(F.abs(r - m) <= sigma * s)
     a, b, n = cur.agg(F.regr_slope("y", "x"), F.regr_intercept("y", "x"), F.count(F.lit(1))).first()
     fit = lambda v: F.lit(v).cast("double")
-    scatter = MAD * F.median(F.abs(F.col("y") - fit(a) * F.col("x") - fit(b)))
-    return cur.agg(fit(a).alias("a"), fit(b).alias("b"), F.lit(n).alias("n"), scatter.alias("scatter"))
+    left = quantiles(cur.select(F.abs(F.col("y") - fit(a) * F.col("x") - fit(b)).alias("r")), [], "r", {"m": 0.5})
+    return left.select(fit(a).alias("a"), fit(b).alias("b"), F.lit(n).alias("n"), (MAD * F.col("m")).alias("scatter"))

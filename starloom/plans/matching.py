@@ -64,12 +64,11 @@ def option_degrees(spark, d):
 
 def registration_shift(spark, d):
     m = _matches(spark, d).where("a_snr >= 50 and b_snr >= 50")
-    enough = F.count(F.lit(1)) >= 10
-    return m.agg(
-        F.count(F.lit(1)).alias("n"),
-        F.when(enough, F.median(F.col("b_x") - F.col("a_x"))).otherwise(0.0).alias("dx"),
-        F.when(enough, F.median(F.col("b_y") - F.col("a_y"))).otherwise(0.0).alias("dy"),
-    )
+    m = rounds(spark)(m.select((F.col("b_x") - F.col("a_x")).alias("dx"), (F.col("b_y") - F.col("a_y")).alias("dy")), "offsets")
+    n = m.agg(F.count(F.lit(1)).alias("n"))
+    one = n.join(F.broadcast(robust.quantiles(m, [], "dx", {"mx": 0.5}))).join(F.broadcast(robust.quantiles(m, [], "dy", {"my": 0.5})))
+    enough = F.col("n") >= 10
+    return one.select("n", F.when(enough, F.col("mx")).otherwise(0.0).alias("dx"), F.when(enough, F.col("my")).otherwise(0.0).alias("dy"))
 
 
 def tile_medians(spark, d):
@@ -82,7 +81,7 @@ def position_calibration(spark, d):
         "a_id", "b_id", (F.col("b_x") - F.col("a_x")).alias("dx"), (F.col("b_y") - F.col("a_y")).alias("dy"),
         (1 / (F.col("a_snr") * F.col("a_snr")) + 1 / (F.col("b_snr") * F.col("b_snr"))).alias("inv"),
     )
-    out = robust.calibration(m, ["a_id"], "inv", ["dx", "dy"])
+    out = robust.calibration(m, ["a_id"], "inv", ["dx", "dy"], rounds(spark))
     cut = lambda c: (F.floor(F.col(c) * 1e6 + 0.5) / 1e6).alias(c)
     return out.select(cut("sigma_sys"), cut("k"), "n")
 
@@ -93,9 +92,10 @@ def stationary_tolerance(spark, d):
 
 
 def sharpness_limit(spark, d):
-    m = _matches(spark, d).where("a_snr >= 10").withColumn("s", F.try_divide("b_flux", F.col("a_flux") + F.col("b_flux")))
-    n = F.count(F.lit(1))
-    return m.agg(n.alias("n"), F.when(n >= 20, F.percentile("s", 0.99)).otherwise(0.9).alias("limit_"))
+    m = _matches(spark, d).where("a_snr >= 10").select(F.try_divide("b_flux", F.col("a_flux") + F.col("b_flux")).alias("s"))
+    m = rounds(spark)(m, "shares")
+    one = m.agg(F.count(F.lit(1)).alias("n")).join(F.broadcast(robust.quantiles(m, [], "s", {"q": 0.99})))
+    return one.select("n", F.when(F.col("n") >= 20, F.col("q")).otherwise(0.9).alias("limit_"))
 
 
 def pair_rank(spark, d):

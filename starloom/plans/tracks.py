@@ -141,8 +141,8 @@ def nearest_body(spark, d):
 
 def mle_rayleigh(spark, d):
     m = spatial.mutual_matches(view(spark, d, "src_a"), view(spark, d, "src_b"), 1.5).where("sep > 0").select("sep")
-    best = robust.rayleigh_likelihood(m, "sep", 1.5, [0.1 + 0.05 * i for i in range(30)], [0.5, 0.7, 0.9])
-    return best.select((F.floor(F.col("sigma") * 1e6 + 0.5) / 1e6).alias("sigma"), "share")
+    best = robust.rayleigh_likelihood(m, "sep", 1.5, [0.1 + 0.01 * i for i in range(291)], [0.3 + 0.02 * i for i in range(36)])
+    return best.select(*[(F.floor(F.col(c) * 1e6 + 0.5) / 1e6).alias(c) for c in ("sigma", "share")])
 
 
 def interval_lookup(spark, d):
@@ -166,7 +166,7 @@ def flux_magnitude_fit(spark, d):
 
 
 def candidate_json(spark, d):
-    s = view(spark, d, "src_a").where("snr >= 245").select(
+    s = view(spark, d, "src_a").select(
         F.format_string("SX-%03d", F.col("id")).alias("candidate_id"),
         F.struct("id", (F.col("id") % 2 == 0).alias("even")).alias("earlier"), F.when(F.col("id") % 3 == 0, F.struct("id")).alias("later"),
     )
@@ -220,14 +220,14 @@ SQL = {
     "nearest_body": f"{_A}, r as (select id, n_nationkey as body, row_number() over (partition by id order by (n_nationkey * 40.0::double - x) * (n_nationkey * 40.0::double - x) + (n_nationkey * 35.0::double - y) * (n_nationkey * 35.0::double - y), n_nationkey) as r from src_a, nation) select id, body from r where r = 1",
     "interval_lookup": f"{_A} select case when flux < 50000 then 0 when flux < 100000 then 1 when flux < 200000 then 2 when flux < 400000 then 3 else 4 end as bin, count(*) as n, median(flux) as mid from src_a group by 1",
     "recovery_by_bin": f"{_A} select cast(ceil(snr / 50) as int) as bin, count(*) as n, avg(case when id % 4 <> 0 then 1.0::double else 0 end) as rate from src_a group by 1",
-    "candidate_json": f"{_A} select 'SX-' || lpad(id::varchar, greatest(3, length(id::varchar))::int, '0') as candidate_id, id as earlier_id, id % 2 = 0 as even, case when id % 3 = 0 then id else -1 end as later_id from src_a where snr >= 245",
+    "candidate_json": f"{_A} select 'SX-' || lpad(id::varchar, greatest(3, length(id::varchar))::int, '0') as candidate_id, id as earlier_id, id % 2 = 0 as even, case when id % 3 = 0 then id else -1 end as later_id from src_a",
     "markers": f"{_A}, m as (select id, case when id % 4 <> 0 then x else x + 1 end as x, case when id % 4 <> 0 then y else y + 1 end as y, id % 4 <> 0 as own from src_a) select *, x >= -0.5 and x < 999.5 and y >= -0.5 and y < 999.5 as inside from m",
     "candidate_order": f"{_A}, s as (select id, cast(id % 4 as int) as kind, greatest(case when id % 5 <> 0 then snr end, case when id % 7 <> 0 then flux / 1000 end) as top from src_a), n as (select *, row_number() over (order by kind, top desc, id) as n from s where top is not null) select 'C-' || lpad(n::varchar, 3, '0') as candidate_id, id, kind from n where n <= 200",
     "mle_rayleigh": f"""with {sql('src_a', 'src_b')}, p as (select a.id as a_id, b.id as b_id, sqrt((b.x - a.x) * (b.x - a.x) + (b.y - a.y) * (b.y - a.y)) as sep from src_a a join src_b b on b.x between a.x - 1.5 and a.x + 1.5 and b.y between a.y - 1.5 and a.y + 1.5),
       m as (select * from (select *, row_number() over (partition by a_id order by sep, b_id) as ra, row_number() over (partition by b_id order by sep, a_id) as rb from p where sep <= 1.5) where ra = 1 and rb = 1 and sep > 0),
-      g as (select 0.1::double + 0.05::double * i as sigma, f::double as share, i * 3 + j as k from (select unnest(range(30)) as i), (values (0, 0.5), (1, 0.7), (2, 0.9)) v(j, f)),
+      g as (select 0.1::double + 0.01::double * i as sigma, 0.3::double + 0.02::double * j as share, i * 36 + j as k from (select unnest(range(291)) as i), (select unnest(range(36)) as j)),
       s as (select k, sigma, share, sum(ln(share * (sep / (sigma * sigma) * exp(-sep * sep / (2 * sigma * sigma))) + (1 - share) * 2 * sep / 2.25::double + 1e-300::double)) as l from m, g group by all)
-      select floor(sigma * 1e6 + 0.5) / 1e6 as sigma, share from s order by l desc, k limit 1""",
+      select floor(sigma * 1e6 + 0.5) / 1e6 as sigma, floor(share * 1e6 + 0.5) / 1e6 as share from s order by l desc, k limit 1""",
     "linker_tracks": f"""with {sql('sky_a')}, s as (select id, ra, dec, flux, (id % 7 - 3) / 3600.0::double as step from sky_a where flux > 0),
       a as (select id, ra, dec + step * 0.0::double * 4 as dec, flux * 1.0::double as flux from s), c as (select id, ra, dec + step * 0.5::double * 4 as dec from s), b as (select id, ra, dec + step * 1.0::double * 4 as dec, flux * 1.5::double as flux from s),
       p as (select * from (select a.id as a_id, b.id as b_id, a.ra as ara, a.dec as adec, b.ra as bra, b.dec as bdec, a.flux as af, b.flux as bf, {_HAV} as sep from a join b on b.dec between a.dec - 0.006 and a.dec + 0.006 and b.ra between a.ra - 0.01 and a.ra + 0.01) where sep between 5 and 20 and bf / af between 0.4 and 2.5),

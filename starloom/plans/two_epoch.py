@@ -84,7 +84,7 @@ def find_candidates(pixels: DataFrame, height: int, width: int, *, fwhm: float |
     matched = matched.withColumnRenamed("a_field", "field").join(shift, "field", "left").withColumns({"ox": F.col("dx") - F.coalesce("shift_x", F.lit(0.0)), "oy": F.col("dy") - F.coalesce("shift_y", F.lit(0.0))})
     matched = matched.withColumn("inv", 1 / (F.col("a_snr") * F.col("a_snr")) + 1 / (F.col("b_snr") * F.col("b_snr")))
     # the instrument's error model is measured from the matches of all fields together
-    model = robust.calibration(matched, ["a_id"], "inv", ["ox", "oy"]).select("sigma_sys", "k")
+    model = robust.calibration(matched, ["a_id"], "inv", ["ox", "oy"], rounds(spark)).select("sigma_sys", "k")
     limits = matched.agg(
         F.when(F.count_if((F.col("a_snr") >= 10) & F.col("a_sharpness").isNotNull()) >= 20, F.percentile(F.when(F.col("a_snr") >= 10, F.col("a_sharpness")), 0.99)).otherwise(0.9).alias("sharp_a"),
         F.when(F.count_if((F.col("b_snr") >= 10) & F.col("b_sharpness").isNotNull()) >= 20, F.percentile(F.when(F.col("b_snr") >= 10, F.col("b_sharpness")), 0.99)).otherwise(0.9).alias("sharp_b"),

@@ -93,7 +93,7 @@ def test_clipped_line(spark):
 
 def test_calibration_defaults_and_bins(spark):
     few = spark.createDataFrame([(i, 1.0, 0.1, 0.1) for i in range(5)], "a_id int, inv double, dx double, dy double")
-    assert tuple(robust.calibration(few, ["a_id"], "inv", ["dx", "dy"]).first()) == (0.1, 1.0, 5)
+    assert tuple(robust.calibration(few, ["a_id"], "inv", ["dx", "dy"], rounds(spark)).first()) == (0.1, 1.0, 5)
 
 
 def flood(cells, h, w):
