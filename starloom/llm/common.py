@@ -24,9 +24,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder named by the session; a private temporary one only where none is named (tests)."""
+    """The shared folder named by the session; a private temporary one only where none is named and all runs on one machine (tests)."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith(("local[", "local,")) and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = getattr(scratch_root, "own", None)
         if root is None:
             root = scratch_root.own = tempfile.mkdtemp(prefix="starloom-")

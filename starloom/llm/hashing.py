@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -103,3 +104,13 @@ def pieces(column: pa.Array, most: int = 1 << 19) -> Iterator[tuple[int, list[by
         total += size
     if start < len(column):
         yield start, column.slice(start).to_pylist()
+    release()
+
+
+def release() -> None:
+    """Gives unused memory back to the system: workers stay alive between tasks, and many of them share an executor."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library than GNU's
+        return

@@ -29,6 +29,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import Scratch, sized_broadcast, table
+from .hashing import pieces
 
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _SYMBOLS = re.compile(r"[#*$%&|<>]")
@@ -78,7 +79,7 @@ def with_features(docs: DataFrame, columns: list[str]) -> DataFrame:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.struct([(n, pa.int64()) for n in names])
         for batch in batches:
-            rows = [base_features(t) for t in batch.column(batch.num_columns - 1).to_pylist()]
+            rows = [base_features(t and t.decode()) for _, texts in pieces(batch.column(batch.num_columns - 1)) for t in texts]
             values = list(zip(*rows, strict=True)) if rows else [[] for _ in names]
             found = pa.StructArray.from_arrays([pa.array(v, pa.int64()) for v in values], fields=list(kind))
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], found], names=[*columns, "_f"])

@@ -32,6 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch, sized_broadcast, table
+from .hashing import pieces
 
 _WORD = re.compile(r"[^\W\d_]+|\d+")
 #: The Dirichlet prior of a word: EVEN plus PRIOR times its share of all documents' words.
@@ -79,10 +80,12 @@ def class_counts(labelled: DataFrame) -> DataFrame:
                 c.clear()
 
         for batch in batches:
-            for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                held[toxic].update(features(words_of(text)))
-                if len(held[0]) > PARTIAL_WORDS:
-                    yield from flush()
+            marks = batch.column(1).to_pylist()
+            for start, texts in pieces(batch.column(0)):
+                for text, toxic in zip(texts, marks[start:], strict=False):
+                    held[toxic].update(features(words_of(text and text.decode())))
+                    if len(held[0]) > PARTIAL_WORDS:
+                        yield from flush()
         yield from flush()
 
     parts = labelled.select("text", F.col("toxic").cast("int")).mapInArrow(run, "word string, toxic bigint, clean bigint")
@@ -190,11 +193,11 @@ def scan(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32()), ("score", pa.float64())]))
         for batch in batches:
-            words = [words_of(t) for t in batch.column(1).to_pylist()]
-            found = [[{"first": a, "last": b, "score": v} for a, b, v in segments(w, lexicon)] for w in words]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([len(w) for w in words], pa.int64()), pa.array(found, kind)], names=["doc_id", "n_words", "segments"]
-            )
+            for start, texts in pieces(batch.column(1)):
+                words = [words_of(t and t.decode()) for t in texts]
+                found = [[{"first": a, "last": b, "score": v} for a, b, v in segments(w, lexicon)] for w in words]
+                ids = batch.column(0).slice(start, len(texts))
+                yield pa.RecordBatch.from_arrays([ids, pa.array([len(w) for w in words], pa.int64()), pa.array(found, kind)], names=["doc_id", "n_words", "segments"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, _RAW)
 

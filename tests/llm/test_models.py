@@ -185,3 +185,126 @@ def test_hash_of_repeated_powers():
     a, b = np.array([0, 3, 6, 1]), np.array([3, 6, 9, 4])
     h = (p[b] - p[a]) * inv[a]
     assert h[0] == h[1] == h[2] != h[3]
+
+
+def test_language_model_with_a_vocabulary_of_its_own(spark):
+    """Losses from plain counts of words and pairs of words; places are distinct for so few of them."""
+    rows = [(1, "A b a c"), (2, "c a b b"), (3, "d"), (4, "b a"), (5, None), (6, "x " * 3000)]
+    chosen = {1, 4}
+    out = {x.doc_id: x for x in lmscore.score(docs(spark, rows), spark.createDataFrame([(i,) for i in chosen], "doc_id bigint")).collect()}
+    words = {i: (t or "").lower().split() for i, t in rows}
+    every = {w for t in words.values() for w in t}
+    assert len({int(lmscore.places([w.encode()], lmscore.sizes(sum(map(len, words.values())))[0])[0][0]) for w in every}) == len(every)
+    vocabulary = 1 << lmscore.sizes(sum(map(len, words.values())))[0]
+    total = sum(len(words[i]) for i in chosen)
+    for column, own in (("target_loss", chosen), ("background_loss", set(words))):
+        scale = total / sum(len(words[i]) for i in own)
+        uni, bi = Counter(), Counter()
+        for i in own:
+            uni.update(words[i])
+            bi.update(zip(words[i], words[i][1:], strict=False))
+        for i, t in words.items():
+            if not t:
+                assert out[i][column] is None and out[i].n_tokens == 0
+                continue
+            loss = 0.0
+            for k, w in enumerate(t):
+                p = (uni[w] * scale + lmscore.ALPHA) / (total + lmscore.ALPHA * vocabulary)
+                if k:
+                    p = min(1.0, (bi[t[k - 1], w] * scale + lmscore.MU * p) / (uni[t[k - 1]] * scale + lmscore.MU))
+                loss -= math.log(p)
+            assert abs(out[i][column] - loss / len(t)) < 1e-9, (i, column)
+
+
+def test_toxicity_scores_by_hand(spark):
+    """Counts, log-odds, decay, segments, Gumbel mean and logistic curve from plain loops, and the score of every text."""
+    r = random.Random(3)
+    words = [f"word{i}" for i in range(40)]
+    rows, labels = [], []
+    for i in range(240):
+        t = [r.choice(words) for _ in range(r.randint(5, 40))]
+        bad = i % 4 == 0
+        if bad:
+            t[r.randrange(len(t))] = "vile"
+            t.append("vilest")
+        rows.append((i, " ".join(t)))
+        labels.append((i, 1, int(bad)))
+    import zlib
+
+    learn = {i: y for i, _, y in labels if zlib.crc32(str(i).encode()) % 3 != 1}
+    counts = {0: Counter(), 1: Counter()}
+    for i, t in rows:
+        if i in learn:
+            counts[learn[i]].update(toxicity.features(toxicity.words_of(t)))
+    tox, cln = (sum(counts[k].values()) for k in (1, 0))
+    listed = {}
+    for w in counts[0] | counts[1]:
+        a, b = counts[1][w], counts[0][w]
+        prior = toxicity.EVEN + (a + b) * toxicity.PRIOR / (tox + cln)
+        p, q = (a + prior) / (tox + toxicity.PRIOR), (b + prior) / (cln + toxicity.PRIOR)
+        odds = math.log(p / (1 - p)) - math.log(q / (1 - q))
+        if abs(odds / math.sqrt(1 / (a + prior) + 1 / (b + prior))) >= toxicity.MIN_Z:
+            listed[w] = odds
+    assert "vile" in listed
+    lt, lc = (sum(counts[k][w] for w in listed) for k in (1, 0))
+    rest = min(-0.01, math.log((tox - lt + toxicity.PRIOR) / (tox + toxicity.PRIOR)) - math.log((cln - lc + toxicity.PRIOR) / (cln + toxicity.PRIOR)))
+    share = {w: (counts[0][w] + toxicity.EVEN) / (cln + toxicity.PRIOR) for w in listed}
+
+    def mean(x):
+        return sum(share[w] * math.exp(x * listed[w]) for w in listed) + max(0.0, 1 - sum(share.values())) * math.exp(x * rest)
+
+    low, high = 0.0, 1.0
+    while mean(high) < 1 and high < 64:
+        low, high = high, high * 2
+    for _ in range(60):
+        mid = (low + high) / 2
+        low, high = (mid, high) if mean(mid) < 1 else (low, mid)
+    decay = max(high, 1e-3)
+    gumbel, some = {}, {}
+    for i, t in rows:
+        s = []
+        for w in toxicity.words_of(t):
+            keys = [w, *[w[:k] + "*" for k in toxicity.PREFIXES if len(w) > k]]
+            s.append(next((listed[k] for k in keys if k in listed), rest))
+        best = max((sum(s[a:b]) for a, b in segments_by_hand(s)), default=0.0)
+        some[i] = best > 0
+        gumbel[i] = best * decay - math.log(max(1, len(s)))
+    clean = [gumbel[i] for i, y in learn.items() if y == 0 and some[i]]
+    log_k = (sum(clean) / len(clean) if clean else 0.0) - toxicity.EULER
+    evidence = {i: g - log_k if some[i] else min(g - log_k, 0.0) for i, g in gumbel.items()}
+    bins = {}
+    for i, y in learn.items():
+        k = math.floor(min(max(evidence[i], toxicity.LEAST), toxicity.MOST) / toxicity.BIN)
+        bins.setdefault(k, [0, 0])[y] += 1
+    a, b = toxicity._logistic([((k + 0.5) * toxicity.BIN, *bins[k]) for k in sorted(bins)])
+    # the curve is at the ridge likelihood's top: its slopes vanish
+    for g in (lambda x: 1.0, lambda x: x):
+        slope = sum((y - (c + y) / (1 + math.exp(-(a + b * (k + 0.5) * toxicity.BIN)))) * g((k + 0.5) * toxicity.BIN) for k, (c, y) in bins.items())
+        assert abs(slope) < 0.01 * max(1, abs(a), abs(b))
+    out = {x.doc_id: x for x in toxicity.toxicity(docs(spark, rows), spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int")).collect()}
+    for i, _ in rows:
+        want = 1 / (1 + math.exp(-(a + max(b, 0.0) * min(max(evidence[i], toxicity.LEAST), toxicity.MOST))))
+        assert abs(out[i].score - want) < 1e-6, i
+
+
+def test_many_significant_words_are_all_listed(spark):
+    """More significant words than any fixed list would hold are scored: each alone gives a document away."""
+    name = lambda k: "bad" + chr(97 + k // 26) + chr(97 + k % 26)
+    rows = [(i, f"{name(i % 300)} good" if i % 2 else f"fine{chr(97 + i % 20)} good") for i in range(9000)]
+    counts = toxicity.class_counts(spark.createDataFrame([(t, i % 2) for i, t in rows], "text string, toxic int"))
+    found = toxicity.fit_lexicon(counts).listed
+    assert sum(w.startswith("bad") and not w.endswith("*") for w in found) == 150
+
+
+def test_training_rows_are_bounded(spark):
+    marks = spark.range(20_000).select(F.col("id").alias("doc_id"))
+    n = toxicity._bounded(marks, 5000).count()
+    assert 4500 < n <= 5000 and toxicity._bounded(marks, 30_000).count() == 20_000
+
+
+def test_token_counts_of_nothing_and_of_very_long_texts(spark):
+    assert tokencount.token_counts(docs(spark, [])).count() == 0
+    long = "word and more " * 100_000
+    got = {x.doc_id: x.n_tokens for x in tokencount.token_counts(docs(spark, [(1, long), (2, "x" * 200_000)])).collect()}
+    one = exact(tokencount.load_pieces())
+    assert got[1] == one(long) and got[2] == one("x" * 200_000)
