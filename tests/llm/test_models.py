@@ -290,7 +290,7 @@ def test_toxicity_scores_by_hand(spark):
 def test_many_significant_words_are_all_listed(spark):
     """More significant words than any fixed list would hold are scored: each alone gives a document away."""
     name = lambda k: "bad" + chr(97 + k // 26) + chr(97 + k % 26)
-    rows = [(i, f"{name(i % 300)} good" if i % 2 else f"fine{chr(97 + i % 20)} good") for i in range(9000)]
+    rows = [(i, f"{name(i % 300)} good" if i % 2 else f"fine{chr(97 + i % 20)} good") for i in range(18_000)]
     counts = toxicity.class_counts(spark.createDataFrame([(t, i % 2) for i, t in rows], "text string, toxic int"))
     found = toxicity.fit_lexicon(counts).listed
     assert sum(w.startswith("bad") and not w.endswith("*") for w in found) == 150
