@@ -13,11 +13,11 @@ def _c(x) -> Column:
 
 
 def separation(ra1, dec1, ra2, dec2) -> Column:
-    """Great-circle separation by the haversine formula, guarded against rounding above 1."""
+    """Great-circle separation by the haversine formula, guarded against rounding above 1; null if any part is."""
     d1, d2 = F.radians(_c(dec1)), F.radians(_c(dec2))
     a, b = F.sin((d2 - d1) / 2), F.sin(F.radians(_c(ra2) - _c(ra1)) / 2)
     h = a * a + F.cos(d1) * F.cos(d2) * b * b
-    return F.degrees(2 * F.asin(F.least(F.lit(1.0), F.sqrt(h)))) * 3600
+    return F.when(h.isNotNull(), F.degrees(2 * F.asin(F.least(F.lit(1.0), F.sqrt(h)))) * 3600)
 
 
 def position_angle(ra1, dec1, ra2, dec2) -> Column:
@@ -90,25 +90,37 @@ def magnitude(flux) -> Column:
 
 
 def tan_to_pixel(ra, dec, wcs: dict) -> tuple[Column, Column]:
-    """0-based pixel of a sky position under a gnomonic (TAN) world system: crval, crpix (1-based) and cd matrix."""
-    r0, d0 = math.radians(wcs["crval1"]), math.radians(wcs["crval2"])
-    r, d = F.radians(_c(ra)) - r0, F.radians(_c(dec))
-    cos = math.sin(d0) * F.sin(d) + math.cos(d0) * F.cos(d) * F.cos(r)
+    """0-based pixel of a sky position under a gnomonic (TAN) world system: crval, crpix (1-based) and cd matrix, as numbers or columns."""
+    w = {k: _c(v) for k, v in wcs.items() if k not in ("a", "b", "ap", "bp")}
+    d0, r, d = F.radians(w["crval2"]), F.radians(_c(ra)) - F.radians(w["crval1"]), F.radians(_c(dec))
+    cos = F.sin(d0) * F.sin(d) + F.cos(d0) * F.cos(d) * F.cos(r)
     xi = F.when(cos > 0, F.degrees(F.cos(d) * F.sin(r) / cos))
-    eta = F.when(cos > 0, F.degrees((math.cos(d0) * F.sin(d) - math.sin(d0) * F.cos(d) * F.cos(r)) / cos))
-    a, b, c, e = wcs["cd11"], wcs["cd12"], wcs["cd21"], wcs["cd22"]
+    eta = F.when(cos > 0, F.degrees((F.cos(d0) * F.sin(d) - F.sin(d0) * F.cos(d) * F.cos(r)) / cos))
+    a, b, c, e = w["cd11"], w["cd12"], w["cd21"], w["cd22"]
     det = a * e - b * c
-    return (e * xi - b * eta) / det + wcs["crpix1"] - 1, (a * eta - c * xi) / det + wcs["crpix2"] - 1
+    u, v = (e * xi - b * eta) / det, (a * eta - c * xi) / det
+    if "ap" in wcs:
+        u, v = u + polynomial(u, v, wcs["ap"]), v + polynomial(u, v, wcs["bp"])
+    return u + w["crpix1"] - 1, v + w["crpix2"] - 1
 
 
 def tan_to_sky(x, y, wcs: dict) -> tuple[Column, Column]:
-    """Sky position of a 0-based pixel under a gnomonic world system."""
-    u, v = _c(x) + 1 - wcs["crpix1"], _c(y) + 1 - wcs["crpix2"]
-    xi, eta = F.radians(wcs["cd11"] * u + wcs["cd12"] * v), F.radians(wcs["cd21"] * u + wcs["cd22"] * v)
-    d0 = math.radians(wcs["crval2"])
-    den = math.cos(d0) - eta * math.sin(d0)
-    ra = F.pmod(wcs["crval1"] + F.degrees(F.atan2(xi, den)), F.lit(360.0))
-    return ra, F.degrees(F.atan2(math.sin(d0) + eta * math.cos(d0), F.sqrt(xi * xi + den * den)))
+    """Sky position of a 0-based pixel under a gnomonic world system, with SIP distortion (a, b: (i, j) to coefficient) if it has any."""
+    w = {k: _c(v) for k, v in wcs.items() if k not in ("a", "b", "ap", "bp")}
+    u, v = _c(x) + 1 - w["crpix1"], _c(y) + 1 - w["crpix2"]
+    if "a" in wcs:
+        u, v = u + polynomial(u, v, wcs["a"]), v + polynomial(u, v, wcs["b"])
+    xi, eta = F.radians(w["cd11"] * u + w["cd12"] * v), F.radians(w["cd21"] * u + w["cd22"] * v)
+    d0 = F.radians(w["crval2"])
+    den = F.cos(d0) - eta * F.sin(d0)
+    ra = F.pmod(w["crval1"] + F.degrees(F.atan2(xi, den)), F.lit(360.0))
+    return ra, F.degrees(F.atan2(F.sin(d0) + eta * F.cos(d0), F.sqrt(xi * xi + den * den)))
+
+
+def polynomial(u: Column, v: Column, terms: dict[tuple[int, int], float]) -> Column:
+    """Sum of c * u ** i * v ** j over the terms (i, j): c."""
+    power = lambda x, n: F.lit(1.0) if n == 0 else F.pow(x, F.lit(float(n)))
+    return sum((F.lit(float(c)) * power(u, i) * power(v, j) for (i, j), c in terms.items()), F.lit(0.0))
 
 
 def unit_vector(ra, dec) -> tuple[Column, Column, Column]:

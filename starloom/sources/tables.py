@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Fixed values of the ECSV format: its types in Spark's words.
 ECSV_TYPES = {"int16": "smallint", "int32": "int", "int64": "bigint", "float32": "float", "float64": "double", "string": "string", "bool": "boolean"}
@@ -60,8 +62,50 @@ def reindexed(df: DataFrame, columns: dict[str, str]) -> DataFrame:
 
 
 def finite(df: DataFrame) -> DataFrame:
-    """NaN and infinities of all floating columns as null: done once, where data come in."""
-    kinds = dict(df.dtypes)
-    return df.select(*[
-        F.when(~F.isnan(c) & (F.abs(F.col(c)) != float("inf")), F.col(c)).alias(c) if kinds[c] in ("double", "float") else F.col(c) for c in df.columns
-    ])
+    """NaN and infinities of all floating values as null, in structs, arrays and maps too: done once, where data come in."""
+
+    def clean(c: Column, kind: T.DataType) -> Column:
+        if isinstance(kind, (T.DoubleType, T.FloatType)):
+            return F.when(~F.isnan(c) & (F.abs(c) != float("inf")), c)
+        if isinstance(kind, T.StructType):
+            return F.when(c.isNotNull(), F.struct(*[clean(c[f.name], f.dataType).alias(f.name) for f in kind.fields]))
+        if isinstance(kind, T.ArrayType):
+            return F.transform(c, lambda v: clean(v, kind.elementType))
+        if isinstance(kind, T.MapType):
+            return F.transform_values(c, lambda _, v: clean(v, kind.valueType))
+        return c
+
+    return df.select(*[clean(F.col(f"`{f.name}`"), f.dataType).alias(f.name) for f in df.schema.fields])
+
+
+def with_suffix(df: DataFrame, *suffixes: str) -> list[str]:
+    """The columns whose names end with one of the suffixes, in order."""
+    return [c for c in df.columns if c.endswith(suffixes)]
+
+
+def read_keys(spark: SparkSession, path: str, contains: str = "") -> DataFrame:
+    """date, time, size, key of a listing: one object a line, four fields parted by blanks, the last with any blanks it has."""
+    part = F.split("value", r"\s+", 4)
+    lines = spark.read.text(path).select(F.trim("value").alias("value")).where(F.size(part) == 4)
+    return lines.select(part[0].alias("date"), part[1].alias("time"), part[2].cast("long").alias("size"), part[3].alias("key")).where(F.col("key").contains(contains))
+
+
+def read_many(spark: SparkSession, paths: dict[str, tuple[str, str]]) -> tuple[dict[str, DataFrame], dict[str, str]]:
+    """Tables and errors of a set of CSV files, name: (path, schema); a file that can't be read doesn't keep the others."""
+    found, failed = {}, {}
+    for name, (path, schema) in paths.items():
+        try:
+            found[name] = read_csv(spark, path, schema)
+        except (AnalysisException, ErrorDocument) as error:
+            failed[name] = str(error).splitlines()[0]
+    return found, failed
+
+
+def write_document(document: DataFrame, path: str) -> None:
+    """One JSON document (the string column of one row) as text; readers see the old one until the new one is committed."""
+    document.coalesce(1).write.mode("overwrite").text(path)
+
+
+def write_csv(df: DataFrame, path: str, columns: dict[str, str]) -> None:
+    """Exactly the given columns with a header, in one file; missing ones are empty."""
+    reindexed(df, columns).coalesce(1).write.mode("overwrite").csv(path, header=True)
