@@ -34,7 +34,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -59,9 +59,9 @@ CHUNK = 400_000
 BLOCK = 1_000
 
 _BLOBS = "bucket int, cls binary, meta binary, counts binary, sigs binary"
-_FOUND = "doc_id bigint, n int, cls bigint, sketch binary, gid bigint, a bigint, b bigint, size int, band int, m int"
+_FOUND = "doc_id bigint, tk bigint, n int, cls bigint, sketch binary, gid bigint, a bigint, b bigint, size int, band int, m int"
 _KIND = pa.schema(
-    [("doc_id", pa.int64()), ("n", pa.int32()), ("cls", pa.int64()), ("sketch", pa.binary()), ("gid", pa.int64()),
+    [("doc_id", pa.int64()), ("tk", pa.int64()), ("n", pa.int32()), ("cls", pa.int64()), ("sketch", pa.binary()), ("gid", pa.int64()),
      ("a", pa.int64()), ("b", pa.int64()), ("size", pa.int32()), ("band", pa.int32()), ("m", pa.int32())]
 )
 
@@ -229,7 +229,7 @@ def _signed(docs: DataFrame, buckets: int) -> DataFrame:
         held, total = [], 0
         seen: set[int] = set()
         for batch in batches:
-            ids = batch.column(0)
+            ids, tks = batch.column(0), batch.column(2)
             for start, texts in pieces(batch.column(1)):
                 rows = []
                 for u in shingle_sets(texts, SHINGLE):
@@ -241,14 +241,20 @@ def _signed(docs: DataFrame, buckets: int) -> DataFrame:
                             held.append((keys, cls, _meta(len(u), band, m)))
                             total += len(keys)
                 n, cls, sketch = zip(*rows, strict=True)
-                yield done(doc_id=ids.slice(start, len(texts)).to_pylist(), n=n, cls=cls, sketch=sketch)
+                doc_id, tk = (c.slice(start, len(texts)).to_pylist() for c in (ids, tks))
+                yield done(doc_id=doc_id, tk=tk, n=n, cls=cls, sketch=sketch)
                 if total >= CHUNK:
                     yield from blobs(held)
                     held, total, seen = [], 0, set()
         if held:
             yield from blobs(held)
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, _BLOBS)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), _text_key(docs)).mapInArrow(run, _BLOBS)
+
+
+def _text_key(docs: DataFrame) -> Column:
+    """64 bits of a document's text, to tell the texts of one doc_id apart."""
+    return F.xxhash64(docs["text"].cast("string"))
 
 
 def _candidates(group: pa.Table) -> pa.Table:
@@ -476,16 +482,20 @@ def _rest(docs, classes, found, tested, links, comps, scratch: Scratch) -> tuple
     return links, comps
 
 
-def similar_components(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id for every document."""
+def assigned(docs: DataFrame) -> DataFrame:
+    """doc_id, tk, n_shingles, component_id and first (is this the document that stays for its component) for every document.
+
+    The one that stays has the least doc_id, null being the greatest, and of its texts the one of least key.
+    """
     scratch = Scratch(docs.sparkSession)
     size = docs.agg(F.coalesce(F.sum(F.octet_length(F.col("text").cast("string"))), F.lit(0))).first()[0]
     buckets = max(8, int(size * PER_BYTE / BUCKET))
     found = scratch.keep(_signed(docs, buckets).groupBy("bucket").applyInArrow(_candidates, _FOUND), "found")
-    sets = found.where("n is not null").select("doc_id", "n", "cls", "sketch")
+    sets = found.where("n is not null").select("doc_id", "tk", "n", "cls", "sketch")
     classes = scratch.keep(
         sets.where("n > 0").groupBy("cls").agg(
-            F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.count(F.lit(1)).alias("copies")
+            F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.count(F.lit(1)).alias("copies"),
+            F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tk")).alias("lead"),
         ),
         "classes",
     )
@@ -496,30 +506,39 @@ def similar_components(docs: DataFrame) -> DataFrame:
     links, comps = _rest(docs, classes, found, pairs, links, comps, scratch)
 
     named = classes.join(comps.withColumnRenamed("node", "cls"), "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
-    names = named.groupBy("comp").agg(F.min("doc_id").alias("component_id"), F.sum("copies").alias("members")).where("members > 1")
-    naming = scratch.keep(named.select(F.col("cls").alias("_cls"), "comp").join(names, "comp").select("_cls", "component_id"), "naming")
-    slim = sets.select("doc_id", "n", "cls")
+    names = named.groupBy("comp").agg(F.min("lead").alias("lead"), F.sum("copies").alias("members")).where("members > 1")
+    naming = named.select(F.col("cls").alias("_cls"), "comp").join(names, "comp").select("_cls", F.col("lead.doc_id").alias("_id"), F.col("lead.tk").alias("_tk"))
+    naming = scratch.keep(naming, "naming")
+    slim = sets.select("doc_id", "tk", "n", "cls")
     out = slim.join(sized_broadcast(naming), (slim.n > 0) & (slim.cls == naming["_cls"]), "left")
-    return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    first = F.col("_cls").isNull() | (F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("tk") == F.col("_tk")))
+    return out.select("doc_id", "tk", F.col("n").cast("long").alias("n_shingles"), F.coalesce("_id", "doc_id").alias("component_id"), first.alias("first"))
+
+
+def similar_components(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id for every document."""
+    return assigned(docs).select("doc_id", "n_shingles", "component_id")
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
-    """``docs`` with one document, that of the least id, of each component.
+    """``docs`` with one document of each component: that of the least doc_id; rows without an id come last.
 
-    Of rows with one id and one text, one stays. Rows without an id can't be named by a component: of those with
-    one text one stays. Only such rows are shuffled with their texts; all others are dropped by id where they are read.
+    Rows are told apart by their id and text: of different texts with one id those stay that are in no other's component, and of
+    rows with one id and one text one stays. Only such rows are shuffled with their texts; all others are dropped where they
+    are read. Documents without words are in no component and stay.
     """
     scratch = Scratch(docs.sparkSession)
-    found = scratch.keep(similar_components(docs), "components")
-    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("_id")).distinct()
-    kept = docs.join(sized_broadcast(gone), F.col("doc_id") == F.col("_id"), "left_anti")
-    again = found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("k")).where("k > 1 or doc_id is null").select(F.col("doc_id").alias("_id"))
-    again = scratch.keep(again, "again")
+    found = scratch.keep(assigned(docs), "components")
+    named = lambda df: df.select(F.col("doc_id").alias("_id"), F.col("tk").alias("_tk"))
+    gone = scratch.keep(named(found.where("not first")).distinct(), "gone")
+    again = scratch.keep(named(found.where("first").groupBy("doc_id", "tk").agg(F.count(F.lit(1)).alias("k")).where("k > 1")), "again")
+    same = lambda df, t: df["doc_id"].eqNullSafe(t["_id"]) & (_text_key(df) == t["_tk"])
+    g = sized_broadcast(gone)
+    kept = docs.join(g, same(docs, g), "left_anti")
     if not again.limit(1).count():
         return kept
     b = sized_broadcast(again)
-    same_id = kept.doc_id.eqNullSafe(b["_id"])
-    return kept.join(b, same_id, "left_anti").unionByName(kept.join(b, same_id, "left_semi").dropDuplicates(["doc_id", "text"]))
+    return kept.join(b, same(kept, b), "left_anti").unionByName(kept.join(b, same(kept, b), "left_semi").dropDuplicates(["doc_id", "text"]))
 
 
 def op5_components(spark, sf_dir) -> DataFrame:

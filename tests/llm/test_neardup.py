@@ -106,6 +106,17 @@ def test_one_stays_of_each_group(spark):
     assert sorted((x.doc_id is None, x.doc_id or 0) for x in kept.collect()) == [(False, 3), (False, 7), (False, 9), (True, 0)]
 
 
+def test_texts_of_one_id_and_rows_without_one_are_told_apart(spark):
+    a = " ".join(f"a{i}" for i in range(60))
+    b, c = a + " more", " ".join(f"c{i}" for i in range(60))
+    rows = [(5, a), (3, b), (5, c), (None, a), (None, c + " x"), (None, "lone words of a row"), (None, "lone words of a row"), (None, None), (6, "")]
+    kept = sorted((str(x.doc_id), str(x.text)) for x in neardup.deduplicated(docs(spark, rows)).collect())
+    # 3 stays for a and b, 5 for c; rows without an id go where one with an id is alike
+    assert kept == sorted([("3", b), ("5", c), ("None", "lone words of a row"), ("None", "None"), ("6", "")])
+    family = [(None, a), (None, b), (None, a + " other")]
+    assert neardup.deduplicated(docs(spark, family)).count() == 1
+
+
 def test_empty(spark):
     assert neardup.similar_components(docs(spark, [])).count() == 0
 
