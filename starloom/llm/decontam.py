@@ -23,7 +23,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, Scratch, sized_broadcast, table
+from .common import BROADCAST_ROWS, Scratch, guarded, sized_broadcast, table
 
 WINDOW = 10
 #: Everything that is not part of a word, in text with A-Z lower-cased.
@@ -123,9 +123,10 @@ def decontaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     Ids go with the digest of their text: clean documents stay that share a null or repeated id with one to drop.
     """
     scratch = Scratch(docs.sparkSession)
+    docs, back = guarded(docs, "doc_id", "text")
     bad = contamination(docs, items, scratch).where("n_hit > 0").select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest"))
     bad = scratch.keep(bad.distinct(), "bad")
-    return docs.join(sized_broadcast(bad), docs.doc_id.eqNullSafe(bad["_id"]) & (_digest(docs.text) == bad["_digest"]), "left_anti")
+    return back(docs.join(sized_broadcast(bad), docs.doc_id.eqNullSafe(bad["_id"]) & (_digest(docs.text) == bad["_digest"]), "left_anti"))
 
 
 def op7_decontam(spark, sf_dir) -> DataFrame:

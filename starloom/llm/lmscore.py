@@ -12,7 +12,8 @@ Target documents are those labelled quality = 1; the background is all documents
 
 Defined results: a null or empty text has no words and null losses; a document's first word is scored by its
 unigram; repeated rows count as often as they occur; without any target document both models are the background; an empty
-table gives an empty result. Several labels of a document: it is a target if any says so.
+table gives an empty result. Several labels of a document: it is a target if any says so. A very long text is a chunk of its
+own; ties don't arise, as nothing is ranked; columns beyond doc_id and text are ignored, whatever their names.
 """
 
 from __future__ import annotations

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import Scratch, count_words, each_copy, sized_broadcast
+from .common import Scratch, count_words, each_copy, guarded, sized_broadcast
 
 SHARDS = 64
 #: Documents that one ordering window holds on average; the windows' number follows the source's size.
@@ -205,6 +205,7 @@ def mixed_documents(docs: DataFrame, weights: DataFrame | None = None, *, seed:
     A document of which the mix takes a share comes floor(taken / size + u) times, u being a seeded number in [0, 1) of its
     own: on average as often as it is taken, whatever a document's length is to a block's.
     """
+    docs, back = guarded(docs, "doc_id", "text", "source")
     m = mix(docs, weights, seed=seed)
     chance = _hex("_key", 1, 8) / F.lit(float(1 << 32))
     copies = (
@@ -216,10 +217,9 @@ def mixed_documents(docs: DataFrame, weights: DataFrame | None = None, *, seed:
         .where("_copies > 0")
     )
     sized = docs.withColumn("_words", count_words(F.col("text")))
-    return (
+    return back(
         sized.join(copies, sized.doc_id.eqNullSafe(copies["_id"]) & (F.col("_words") == F.col("_size")))
         .withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
-        .select(*docs.columns)
     )
 
 

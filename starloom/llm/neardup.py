@@ -38,7 +38,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import Scratch, sized_broadcast, table
+from .common import Scratch, guarded, sized_broadcast, table
 from .hashing import mixed, pieces, shingle_sets
 
 SHINGLE = 5
@@ -528,6 +528,7 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     are read. Documents without words are in no component and stay.
     """
     scratch = Scratch(docs.sparkSession)
+    docs, back = guarded(docs, "doc_id", "text")
     found = scratch.keep(assigned(docs), "components")
     named = lambda df: df.select(F.col("doc_id").alias("_id"), F.col("tk").alias("_tk"))
     gone = scratch.keep(named(found.where("not first")).distinct(), "gone")
@@ -536,9 +537,9 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     g = sized_broadcast(gone)
     kept = docs.join(g, same(docs, g), "left_anti")
     if not again.limit(1).count():
-        return kept
+        return back(kept)
     b = sized_broadcast(again)
-    return kept.join(b, same(kept, b), "left_anti").unionByName(kept.join(b, same(kept, b), "left_semi").dropDuplicates(["doc_id", "text"]))
+    return back(kept.join(b, same(kept, b), "left_anti").unionByName(kept.join(b, same(kept, b), "left_semi").dropDuplicates(["doc_id", "text"])))
 
 
 def op5_components(spark, sf_dir) -> DataFrame:

@@ -8,8 +8,14 @@ fuse and fall back to their UTF-8 bytes where the vocabulary has byte pieces.
 
 Words repeat, so counts of words are kept in a bounded table per worker (a cache: it changes no result).
 
-Defined results: a null text has null counts of nothing, that is 0; an empty text has no pieces; repeated rows are rows
-of their own; an empty table gives an empty result. Columns beyond doc_id and text are ignored.
+The pieces and scores are read from a file. The public one that is at hand lists a byte-pair vocabulary with its ranks as
+scores: counted are the pieces of the best unigram segmentation under these scores, as the unigram model of the
+``tokenizers`` library gives them for the same list (tests hold them equal), and not those of the byte-pair merges. Scores aren't
+fitted here: tokenizers are never trained. Another file gives its own counts.
+
+Defined results: a null text has null counts of nothing, that is 0; an empty text has no pieces; ties go as said above; a very long
+text is counted whole; repeated rows are rows of their own; an empty table gives an empty result. Columns beyond doc_id and
+text are ignored, whatever their names.
 """
 
 from __future__ import annotations

@@ -118,3 +118,26 @@ def test_run_is_repeatable_and_shards_evenly(spark, folder):
     assert first == again and len(first) > 100
     per = Counter(x[4] for x in first)
     assert len(per) == 40 and max(per.values()) - min(per.values()) <= 1
+
+
+def test_more_columns_and_odd_rows_pass(spark, tmp_path):
+    """Columns named like those that stages make pass through; null ids, repeated rows and a very long text do no harm."""
+    rows, items = fixture()
+    rows = [x for x in rows if x[0] < 120] + [(None, rows[9][1], "en", "s1"), (None, None, None, None), (9, rows[9][1], "de", "s1"), (9, rows[12][1] + " " + rows[15][1], "de", "s1")]
+    rows += [(500, " ".join(t for _, t, *_ in fixture()[0][:250] if t) * 3, "en", "s2")]
+    extra = SCHEMA + ", tk long, cls string, kept string, _id long, size string, taken int, shard string, _f int, slot string"
+    spark.createDataFrame([(*x, 0, 1, "c", "k", 7, "s", 3, "h", 5, "q") for x in rows], extra).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame(items, "item_id bigint, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    columns = docs.columns
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        docs = stage(spark, docs, str(tmp_path))
+        assert docs.columns == columns, name
+    out = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert len(out) > 40 and len({(x.shard, x.slot) for x in out}) == len(out)
+
+
+def test_empty_tables(spark, tmp_path):
+    spark.createDataFrame([], SCHEMA).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([], "item_id bigint, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
