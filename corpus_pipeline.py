@@ -2,6 +2,12 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept. All but the last return the columns
 of documents; the last returns each row's shard and slot.
+
+Defined results: documents without text or of empty text fail the quality rules; a null language or source is one of its own; rows
+without doc_id are judged like others, and of near duplicates a row with an id stays before one without; rows of one id are told
+apart by their texts; repeated rows are near duplicates, of which one stays, until the mixing stage repeats documents; ties are
+broken by doc_id, then by the text's hash; very long texts are taken whole; other columns than the five of documents pass
+through the first four stages, whatever their names; empty tables give an empty result.
 """
 
 from __future__ import annotations
