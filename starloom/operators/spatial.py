@@ -144,3 +144,13 @@ def banded_self_pairs(df: DataFrame, at: str, low: float, high: float, keys: lis
     for k in keys:
         cond = cond & (a[f"a_{k}"] == b[f"b_{k}"])
     return a.join(b, cond & (F.col(f"b_{at}") - F.col(f"a_{at}")).between(low, high)).drop("_band")
+
+
+def cone(df: DataFrame, ra: float, dec: float, radius: float) -> DataFrame:
+    """Rows (ra, dec) within ``radius`` arcseconds of a place, with sep, nearest first; none gives an empty table of the same columns.
+
+    A band of declination reaches the scan; the exact separation decides.
+    """
+    reach = radius / 3600 * (1 + 1e-9)
+    band = df.where(F.col("dec").between(dec - reach, dec + reach))
+    return band.withColumn("sep", sky.separation("ra", "dec", F.lit(float(ra)), F.lit(float(dec)))).where(F.col("sep") <= radius)
