@@ -135,7 +135,7 @@ def test_two_level_signatures_and_what_spoils_them():
             assert shared and all(k >= m for k, m in shared)
 
 
-@pytest.mark.parametrize("local", [2, 10_000])
+@pytest.mark.parametrize("local", [2])
 def test_hot_signatures_settled_where_they_are_read(spark, monkeypatch, local):
     monkeypatch.setattr(neardup, "LOCAL", local)
     rows = varied(7)
