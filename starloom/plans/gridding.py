@@ -190,12 +190,41 @@ def robust_change(spark, d):
     return g.join(s, ["j", "i"]).select("y", "x", sig.alias("sig")).where("abs(sig) >= 1.5")
 
 
+WIDE = 256
+
+
+def _wide(spark, d):
+    """An image whose height grows with the orders, 256 pixels wide."""
+    from ..session import reachable
+
+    o = reachable(spark).read.parquet(f"{d}/orders.parquet")
+    return o.select(F.floor(F.col("o_orderkey") / WIDE).cast("int").alias("y"), (F.col("o_orderkey") % WIDE).cast("int").alias("x"), F.col("o_totalprice").cast("double").alias("v"))
+
+
+def wide_components(spark, d):
+    """Connected bright pixels of the growing image: number of pixels, box and peak of each component of two at least."""
+    g = _wide(spark, d).where("v >= 150000")
+    c = grid.components(g, grid.PLUS, rounds(spark)).join(g, ["y", "x"])
+    table = c.groupBy("comp").agg(F.count(F.lit(1)).alias("n"), F.min("y").alias("y0"), F.max("y").alias("y1"), F.min("x").alias("x0"), F.max("x").alias("x1"), F.max("v").alias("peak"))
+    return table.where("n >= 2")
+
+
+def wide_convolve(spark, d):
+    """The growing image smoothed by a narrow kernel."""
+    g = grid.convolved(_wide(spark, d), 1.5)
+    return g.select("y", "x", (F.floor(F.col("v") * 1e2 + 0.5) / 1e2).alias("v"))
+
+
+def wide_local_maxima(spark, d):
+    return grid.local_maxima(_wide(spark, d), 250000.0)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         difference_grid, flag_filter, box_background, channel_percentiles, coverage, coverage_once, local_maxima, convolve, psf_match, dilate, median3, forced_presence, signed_extreme,
         any_neighbour_flagged, edge_distance, bilinear, nearest_box_fill, components, flood_fill, largest_rectangle, cutout, crop, top100_changes, stretch, downsample, reprojection,
-        running_heights, robust_change,
+        running_heights, robust_change, wide_components, wide_convolve, wide_local_maxima,
     )
 }
 
@@ -226,7 +255,12 @@ def _clip(n: int) -> str:
     c{n + 1} as (select c.j, c.i, v from c{n} c join s{n} s on c.j = s.j and c.i = s.i where not s.s > 0 or abs(v - s.m) <= 3 * s.s)"""
 
 
+_WIDE = "wide as (select cast(o_orderkey // 256 as int) as y, cast(o_orderkey % 256 as int) as x, o_totalprice::double as v from orders)"
 SQL = {
+    "wide_components": f"""with recursive {_WIDE}, p as (select y, x, v, cast(y as bigint) * 1048576 + x as code from wide where v >= 150000), e as (select a.code as a, b.code as b from p a join p b on (b.y = a.y and b.x between a.x - 1 and a.x + 1) or (b.x = a.x and b.y between a.y - 1 and a.y + 1)),
+      r as (select code as n, code as c from p union select e.b, r.c from r join e on e.a = r.n), l as (select n, min(c) as comp from r group by n) select comp, count(*) as n, min(y) as y0, max(y) as y1, min(x) as x0, max(x) as x1, max(v) as peak from l join p on n = code group by comp having count(*) >= 2""",
+    "wide_convolve": f"with {_WIDE} select ay as y, ax as x, floor(sum(v * w) * 1e2 + 0.5) / 1e2 as v from ({_near('wide', *_K15)}) group by ay, ax",
+    "wide_local_maxima": f"with {_WIDE}, t as (select ay, ax, max(v) as top from ({_near('wide', _SQ)}) group by ay, ax) select y, x, v from wide join t on ay = y and ax = x where v = top and v >= 250000",
     "difference_grid": f"{_GB} select * from diff",
     "flag_filter": f"{_F} select y, x, v from flags where flags & {BAD_MASK} = 0",
     "box_background": f"{_F}, b as (select y // 16 as j, x // 16 as i, case when flags % 5 <> 0 then v end as v from flags), c0 as (select j, i, v from b where v is not null){''.join(_clip(n) for n in range(5))}, md as (select j, i, median(v) as med, count(*) as n from c5 group by j, i), sh as (select j, i from b group by j, i having avg(case when v is not null then 1.0::double else 0 end) >= 0.5) select cast(md.j as int) as j, cast(md.i as int) as i, med, 1.4826::double * median(abs(v - med)) as std, n from c5 c join md on c.j = md.j and c.i = md.i join sh on sh.j = md.j and sh.i = md.i group by all",

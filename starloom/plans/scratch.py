@@ -12,15 +12,35 @@ from pyspark.sql import DataFrame, SparkSession
 _own: list[str] = []
 
 
-def rounds(spark: SparkSession):
-    """A function (df, name) -> the table written and reread: cuts the lineage and survives lost executors."""
+def _root(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir; a private one only where none is named and all runs on one machine (tests)."""
     root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not _own:
-            _own.append(tempfile.mkdtemp(prefix="starloom-"))
-            atexit.register(shutil.rmtree, _own[0], ignore_errors=True)
-        root = _own[0]
-    base = f"{root.rstrip('/')}/starloom-{uuid.uuid4().hex}"
+    if root:
+        return root.rstrip("/")
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    if not _own:
+        _own.append(tempfile.mkdtemp(prefix="starloom-"))
+        atexit.register(shutil.rmtree, _own[0], ignore_errors=True)
+    return _own[0]
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    sc = spark.sparkContext
+    if sc._jsc is None or sc._jvm is None:
+        return
+    try:
+        target = sc._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(sc._jsc.hadoopConfiguration()).delete(target, True)
+    except Exception:  # the JVM is gone at exit: the cluster's own cleaning takes over
+        return
+
+
+def rounds(spark: SparkSession):
+    """A function (df, name) -> the table written and reread: cuts the lineage and survives lost executors. Tables go when the driver ends."""
+    base = f"{_root(spark)}/starloom-{uuid.uuid4().hex}"
+    atexit.register(_remove, spark, base)
 
     def keep(df: DataFrame, name: str) -> DataFrame:
         df.write.parquet(f"{base}/{name}")
