@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import chat, decontam, lmscore, mixing, neardup, quality, repeats, sharding, tokencount, toxicity
+from . import chat, decontam, lines, lmscore, mixing, neardup, quality, repeats, sharding, tokencount, toxicity
 
 QUERIES = {
     "op1_sainte_lague_mix": mixing.op1_mix,
@@ -17,6 +17,7 @@ QUERIES = {
     "op8_cross_entropy_difference": lmscore.op8_lm_score,
     "op9_suffix_repeats": repeats.op9_repeats,
     "op10_viterbi_counts": tokencount.op10_tokens,
+    "op13_bloom_lines": lines.op13_lines,
     "pipeline": corpus_pipeline.run,
 }
 
@@ -25,4 +26,5 @@ ORACLE_SQL = {
     "op5_partenum_join": neardup.ORACLE_SQL,
     "op6_snapshot_collapse": chat.ORACLE_SQL,
     "op7_prefix_decontam": decontam.ORACLE_SQL,
+    "op13_bloom_lines": lines.ORACLE_SQL,
 }
