@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import chat, decontam, lines, lmscore, mixing, neardup, quality, repeats, sharding, tokencount, toxicity
+from . import chat, decontam, lines, lmscore, mixing, neardup, quality, repeats, sharding, tokencount, toxicity, whitening
 
 QUERIES = {
     "op1_sainte_lague_mix": mixing.op1_mix,
@@ -17,6 +17,7 @@ QUERIES = {
     "op8_cross_entropy_difference": lmscore.op8_lm_score,
     "op9_suffix_repeats": repeats.op9_repeats,
     "op10_viterbi_counts": tokencount.op10_tokens,
+    "op12_bitsliced_whitening": whitening.op12_whitening,
     "op13_bloom_lines": lines.op13_lines,
     "pipeline": corpus_pipeline.run,
 }
