@@ -1,4 +1,4 @@
-"""Spectral cubes: pixel-major tiles in a partitioned table, spectra at positions, planes, metadata, manifests and checks.
+"""Spectral cubes: tiles by place and planes by channel in partitioned tables, spectra, metadata, manifests and checks.
 
 A cube is a table (y, x, spectrum) whose arrays hold one sample per channel. Its tiles are partitions (ty, tx) on disk, so a
 request for one position reads one tile, and one for many positions is an equi join on tile and pixel. Samples that aren't
@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from ..functions import sky
 from ..session import reachable
+from . import robust
 
 SIZE = 64
 
@@ -126,9 +127,9 @@ def display_limits(values: DataFrame, low: float = 0.5, high: float = 99.5, most
     """One row (low, high) of a plane's display: percentiles of its values, equal ones widened."""
     if how not in ("asinh", "linear", "log") or not 0 <= low <= 50 <= high <= 100 or low >= high or not 128 <= most <= 4096:
         raise BadParameter("stretch, percentiles or size out of range")
-    p = values.agg(F.percentile("value", F.array(F.lit(low / 100), F.lit(high / 100))).alias("p"))
-    lo, hi = F.col("p")[0], F.col("p")[1]
-    return p.select(lo.alias("low"), F.when(hi > lo, hi).otherwise(lo + F.greatest(1e-6 * F.abs(lo), F.lit(1e-12))).alias("high"))
+    lo, hi = F.col("low"), F.col("high")
+    p = robust.quantiles(values, [], "value", {"low": low / 100, "high": high / 100})
+    return p.select("low", F.when(hi > lo, hi).otherwise(lo + F.greatest(1e-6 * F.abs(lo), F.lit(1e-12))).alias("high"))
 
 
 def stretched(value: Column, low: Column, high: Column, how: str = "asinh") -> Column:
@@ -139,6 +140,12 @@ def stretched(value: Column, low: Column, high: Column, how: str = "asinh") -> C
     return F.log1p(1000 * x) / F.log1p(F.lit(1000.0)) if how == "log" else x
 
 
+def calibration_grid(table: DataFrame) -> DataFrame:
+    """j, i, v, width: wavelength and bandwidth at each node of a calibration table of one row (X, Y, and VALUES by y, x and these two)."""
+    rows = table.select(F.posexplode("VALUES").alias("j", "r"))
+    return rows.select("j", F.posexplode("r").alias("i", "n")).select("j", "i", F.get("n", F.lit(0)).alias("v"), F.get("n", F.lit(1)).alias("width"))
+
+
 def wavelength_at(points: DataFrame, grid: DataFrame, xs: list[float], ys: list[float], width: float, height: float) -> DataFrame:
     """Adds wavelength, bilinear between the nodes of a coarse ``grid`` (j, i, v): places beyond its rim count as on it, beyond the detector null."""
 
@@ -178,20 +185,85 @@ def corners(spark: SparkSession, wcs: dict, height: int, width: int) -> DataFram
     return spark.createDataFrame(at, "corner int, x double, y double").select("corner", ra.alias("ra"), dec.alias("dec"))
 
 
+_BOX = "ty int, tx int, y0 int, y1 int, x0 int, x1 int, pixels bigint"
+
+
+def _box(tile: pa.Table) -> tuple[dict, np.ndarray]:
+    """A tile's box and its samples [y, x, channel] as 32-bit floats; pixels that it hasn't got and null samples are NaN."""
+    y, x = tile["y"].to_numpy(), tile["x"].to_numpy()
+    spectra = tile["spectrum"].combine_chunks()
+    spectra = spectra.chunk(0) if isinstance(spectra, pa.ChunkedArray) else spectra
+    flat = spectra.flatten().to_numpy(zero_copy_only=False).astype(np.float32)
+    if len(flat) % len(tile) or set(np.diff(spectra.offsets.to_numpy())) != {len(flat) // len(tile)}:
+        raise BadParameter("spectra of different lengths")
+    box = {"ty": tile["ty"][0].as_py(), "tx": tile["tx"][0].as_py(), "y0": int(y.min()), "y1": int(y.max()) + 1, "x0": int(x.min()), "x1": int(x.max()) + 1, "pixels": len(tile)}
+    cube = np.full((box["y1"] - box["y0"], box["x1"] - box["x0"], len(flat) // len(tile)), np.nan, np.float32)
+    cube[y - box["y0"], x - box["x0"]] = flat.reshape(len(tile), -1)
+    return box, cube
+
+
+def tile_objects(tiles: DataFrame) -> DataFrame:
+    """ty, tx, y0, y1, x0, x1, pixels, key, content: every tile as the bytes of one array [y, x, channel] of 32-bit floats."""
+
+    def run(tile: pa.Table) -> pa.Table:
+        box, cube = _box(tile)
+        held = io.BytesIO()
+        np.save(held, cube.astype("<f4"), allow_pickle=False)
+        return pa.table({**{k: [v] for k, v in box.items()}, "content": [held.getvalue()]}, schema=schema)
+
+    schema = pa.schema([*[(c.split()[0], pa.int64() if "bigint" in c else pa.int32()) for c in _BOX.split(", ")], ("content", pa.binary())])
+    made = tiles.select("ty", "tx", "y", "x", "spectrum").groupBy("ty", "tx").applyInArrow(run, f"{_BOX}, content binary")
+    return made.withColumn("key", F.format_string("tiles/y%03d_x%03d", F.col("ty"), F.col("tx")))
+
+
 def manifest(tiles: DataFrame) -> DataFrame:
-    """ty, tx, key, y0, y1, x0, x1, pixels, bytes and sha256 (of the pixels' samples in order) of every tile."""
-    pixel = F.concat_ws(":", F.col("y").cast("string"), F.col("x").cast("string"), F.sha2(F.to_json(F.struct("spectrum")), 256))
-    key = F.format_string("tiles/y%03d_x%03d", F.col("ty"), F.col("tx"))
-    return tiles.groupBy("ty", "tx").agg(
-        F.min("y").alias("y0"), (F.max("y") + 1).alias("y1"), F.min("x").alias("x0"), (F.max("x") + 1).alias("x1"), F.count(F.lit(1)).alias("pixels"),
-        F.sum(F.size("spectrum") * 4).cast("long").alias("bytes"), F.sha2(F.array_join(F.array_sort(F.collect_list(pixel)), ","), 256).alias("sha256"),
-    ).withColumn("key", key)
+    """ty, tx, key, y0, y1, x0, x1, pixels, bytes and sha256 of every tile, as ``tile_objects`` writes it."""
+    return tile_objects(tiles).withColumns({"bytes": F.length("content").cast("long"), "sha256": F.sha2("content", 256)}).drop("content")
+
+
+def write_store(cube: DataFrame, path: str, size: int = SIZE) -> None:
+    """Both layouts of a cube: ``path``/tiles by place and ``path``/planes by channel, the second made of the first's tiles.
+
+    A row of planes is one channel's samples in one tile, in rows of the tile's box; channels are partitions on disk, so a plane reads one
+    channel's bytes. Places without a pixel are null, samples that aren't finite NaN.
+    """
+    write_tiles(cube, f"{path}/tiles", size)
+    spark = reachable(cube.sparkSession)
+
+    def run(tile: pa.Table) -> pa.Table:
+        box, samples = _box(tile)
+        missing = np.ones(samples.shape[:2], bool)
+        missing[tile["y"].to_numpy() - box["y0"], tile["x"].to_numpy() - box["x0"]] = False
+        missing = missing.ravel()
+        samples = np.where(np.isfinite(samples), samples, np.float32(np.nan))
+        n = samples.shape[2]
+        values = pa.array([pa.array(np.ascontiguousarray(samples[:, :, c]).ravel(), mask=missing) for c in range(n)], pa.list_(pa.float32()))
+        whole = {k: pa.array([v] * n, schema.field(k).type) for k, v in box.items() if k in names}
+        return pa.table({**whole, "channel": pa.array(range(1, n + 1), pa.int32()), "samples": values}, schema=schema)
+
+    names = ("ty", "tx", "y0", "x0", "x1")
+    schema = pa.schema([*[(k, pa.int32()) for k in names], ("channel", pa.int32()), ("samples", pa.list_(pa.float32()))])
+    made = read_tiles(spark, f"{path}/tiles").groupBy("ty", "tx").applyInArrow(run, "ty int, tx int, y0 int, x0 int, x1 int, channel int, samples array<float>")
+    # a few rows of tiles of one channel make a file: neither one file a tile nor one task a channel
+    dealt = made.repartition("channel", F.floor(F.col("ty") / 16)).sortWithinPartitions("channel", "ty", "tx")
+    dealt.write.partitionBy("channel").mode("overwrite").parquet(f"{path}/planes")
+
+
+def read_plane(spark: SparkSession, path: str, channel: int) -> DataFrame:
+    """y, x, value of one channel of a store that ``write_store`` left: only that channel's files are listed and read."""
+    planes = reachable(spark).read.schema("ty int, tx int, y0 int, x0 int, x1 int, samples array<float>, channel int").parquet(f"{path}/planes")
+    found = planes.where(F.col("channel") == channel)
+    if found.isEmpty():
+        raise BadParameter(f"no channel {channel}")
+    each = found.select("y0", "x0", (F.col("x1") - F.col("x0")).alias("w"), F.posexplode("samples").alias("at", "v")).where(F.col("v").isNotNull())
+    y, x = F.col("y0") + F.floor(F.col("at") / F.col("w")), F.col("x0") + F.col("at") % F.col("w")
+    return each.select(y.cast("int").alias("y"), x.cast("int").alias("x"), F.when(~F.isnan("v"), F.col("v").cast("double")).alias("value"))
 
 
 def upload_plan(planned: DataFrame, held: DataFrame, checks: DataFrame) -> DataFrame:
     """Objects (key, bytes, sha256) that the store doesn't hold alike; none at all while a check fails."""
-    failed = checks.where("not ok").limit(1)
-    return planned.join(held, ["key", "bytes", "sha256"], "left_anti").join(F.broadcast(failed.select(F.lit(1).alias("_f"))), F.lit(True), "left_anti").select("key", "bytes", "sha256")
+    fine = checks.where("not ok").isEmpty()
+    return planned.join(held, ["key", "bytes", "sha256"], "left_anti").where(F.lit(fine)).select("key", "bytes", "sha256")
 
 
 def verified(tiles: DataFrame, planned: DataFrame, planes: DataFrame, channels: DataFrame, listed: DataFrame, wcs: dict, listed_wcs: dict, height: int, width: int, size: int = SIZE) -> DataFrame:

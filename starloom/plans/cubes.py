@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from ..operators import cubes
 from ..session import reachable
+from ..sources import fits, fits_scan, store
+from .scratch import folder
 
 WIDTH, TILE, CHANNELS = 20, 10, 64
 #: A world system of the cube of these queries: 6.2 arcseconds a pixel around (150, 2).
@@ -44,7 +46,49 @@ def spectra_at_sources(spark, d):
 
 
 def channel_plane(spark, d):
-    return cubes.plane(_tiles(spark, d), 17, CHANNELS)
+    """A plane from the store's second layout."""
+    path = folder(spark)
+    cubes.write_store(_tiles(spark, d), path, TILE)
+    return cubes.read_plane(spark, path, 17)
+
+
+def fits_rows(spark, d):
+    """Rows 3 to 9 of every third channel, from one FITS file of each channel that this query writes: only these rows' bytes are read."""
+    t = _planes(_tiles(spark, d))
+    root = folder(spark)
+    files = fits.to_fits(t.withColumn("wave", F.col("channel") / 8), ["channel"], _height(t), WIDTH, WCS, ["channel", "wave"])
+    store.write_objects(files.select(F.format_string("planes/c%03d.fits", "channel").alias("key"), "content"), root)
+    found = fits_scan.read_images(spark, root, "planes/*.fits").where(F.col("y").between(3, 9) & F.col("key").isin([f"planes/c{c:03d}.fits" for c in range(3, CHANNELS + 1, 3)]))
+    return found.select("key", "y", "x", "value")
+
+
+def header_scan(spark, d):
+    """Frames that show a position near the middle of their sky, by the first bytes of their files: one file for each supplier."""
+    s = reachable(spark).read.parquet(f"{d}/supplier.parquet").select(F.col("s_suppkey").alias("id"), F.col("s_acctbal").cast("double").alias("bal"))
+    px = s.withColumns({"y": F.lit(0), "x": F.lit(0), "value": F.lit(1.0), "key": F.format_string("f/%08d.fits", "id")})
+    shift = (F.col("id") % 41 - 20) * 0.0005
+    sky = {"crval1": 150 + shift, "crval2": 2 - shift, "crpix1": F.lit(8.5), "crpix2": F.lit(12.5), "cd1_1": F.lit(-0.001), "cd1_2": F.lit(0.0), "cd2_1": F.lit(0.0), "cd2_2": F.lit(0.001), "mjd-obs": 60000 + F.col("id") * 7 % 400}
+    px = px.withColumns({k: v.cast("double") for k, v in sky.items()})
+    root = folder(spark)
+    store.write_objects(fits.to_fits(px, ["key"], 24, 16, None, list(sky)), root)
+    keys = s.select(F.format_string("f/%08d.fits", "id").alias("key"))
+    scanned = fits_scan.scan_headers(keys.unionByName(keys.where("key like '%1.fits'").withColumn("key", F.concat("key", F.lit(".gone")))), root, None)
+    hits = fits_scan.covering(fits_scan.frames(scanned), 150.002, 2.001, 60182.62)
+    r = lambda c: (F.floor(F.col(c) * 1e6 + 0.5) / 1e6).alias(c)
+    failed = scanned.where("error is not null").select("key", F.lit(None).cast("double").alias("delta_days"), F.lit(None).cast("double").alias("x"), F.lit(None).cast("double").alias("y"))
+    return hits.select("key", r("delta_days"), r("x"), r("y")).unionByName(failed)
+
+
+def bundle_written(spark, d):
+    """Spectra read back from the tiles' objects in the order that the manifest lists, with the tiles' sums compared."""
+    t = _tiles(spark, d)
+    root = folder(spark)
+    store.write_objects(cubes.tile_objects(t).select("key", "content"), root)
+    listed = store.read_manifest(spark, root)
+    back = store.read_objects(listed, root).join(listed, "key").where((F.sha2("content", 256) == F.col("sha256")) & (F.length("content") == F.col("bytes")))
+    place = listed.select("key", F.regexp_extract("key", r"y(\d+)_x", 1).cast("int").alias("ty"), F.regexp_extract("key", r"_x(\d+)", 1).cast("int").alias("tx"))
+    got = cubes.decode_npy(back.select(F.col("key").alias("path"), "content"), TILE, TILE, CHANNELS).join(place.withColumnRenamed("key", "path"), "path")
+    return got.select((F.col("ty") * TILE + F.col("row")).alias("y"), (F.col("tx") * TILE + F.col("col")).alias("x"), F.array_max("spectrum").cast("double").alias("top"), F.get("spectrum", F.lit(16)).cast("double").alias("v17"))
 
 
 def cube_metadata(spark, d):
@@ -107,7 +151,7 @@ def upload_planned(spark, d):
 QUERIES = {
     f.__name__: f
     for f in (
-        spectrum_at, spectra_at_sources, channel_plane, cube_metadata, display_stretches, wavelength_grid, tile_manifest, bundle_verified, bundle_damaged, upload_planned,
+        spectrum_at, spectra_at_sources, channel_plane, cube_metadata, display_stretches, wavelength_grid, fits_rows, header_scan, bundle_written, tile_manifest, bundle_verified, bundle_damaged, upload_planned,
     )
 }
 
@@ -128,6 +172,13 @@ SQL = {
     "spectra_at_sources": f"with {_T}, o as (select o_orderkey as id, 150 + (o_orderkey % 61 - 30) * 0.0015::double as ra, 2 + (o_orderkey % 47 - 23) * 0.0015::double as dec from orders), q as ({_PIX.format(keys='id', src='o')}) "
     "select id, q.x, q.y, len(list_filter(s, lambda v: v > 0))::bigint as n_positive, list_max(s)::double as top from q join t on t.x = q.x and t.y = q.y",
     "channel_plane": f"with {_T} select y, x, s[17]::double as value from t",
+    "fits_rows": f"with {_T} select 'planes/c' || lpad(c::varchar, 3, '0') || '.fits' as key, y, x, s[c]::double as value from t, (select unnest(range(3, 65, 3)) as c) where y between 3 and 9",
+    "header_scan": "with f as (select s_suppkey as id, (s_suppkey % 41 - 20) * 0.0005::double as shift, 60000 + s_suppkey * 7 % 400 as mjd from supplier), "
+    "a as (select *, radians(150.002) - radians(150 + shift) as r, radians(2.001) as d, radians(2 - shift) as d0 from f), b as (select *, sin(d0) * sin(d) + cos(d0) * cos(d) * cos(r) as c from a), "
+    "p as (select *, -degrees(cos(d) * sin(r) / c) / 0.001 + 7.5 as x, degrees((cos(d0) * sin(d) - sin(d0) * cos(d) * cos(r)) / c) / 0.001 + 11.5 as y from b) "
+    "select 'f/' || lpad(id::varchar, 8, '0') || '.fits' as key, floor(abs(mjd - 60182.62::double) * 1e6 + 0.5) / 1e6 as delta_days, floor(x * 1e6 + 0.5) / 1e6 as x, floor(y * 1e6 + 0.5) / 1e6 as y from p "
+    "where x >= -0.5 and x < 15.5 and y >= -0.5 and y < 23.5 union all select 'f/' || lpad(s_suppkey::varchar, 8, '0') || '.fits.gone', null, null, null from supplier where s_suppkey % 10 = 1",
+    "bundle_written": f"with {_T} select y, x, list_max(s)::double as top, s[17]::double as v17 from t",
     "cube_metadata": f"with {_T}, {_CH}, c as (select count(*) as total_channels, count(distinct detector) as detectors, min(wavelength) as low, max(wavelength) as high, max(channel) - min(channel) + 1 = count(*) as contiguous from ch), "
     "m as (select count(*) as pixels, count(distinct ty * 10 + tx) as tiles, min(len(s))::int as shortest, max(len(s))::int as longest, 20::int as width, max(y) + 1 as height from t), "
     "k as (select *, radians(-0.0017222222222222222 * (9.5 + 1 - 10)) as xi, radians(0.0017222222222222222 * ((height - 1) / 2.0::double + 1 - 12)) as eta from m), "
@@ -140,8 +191,8 @@ SQL = {
     "c as (select *, least(2040.0, x) as cx, least(2040.0, y) as cy from o), b as (select c.*, a.k as i, (cx - a.lo) / (a.hi - a.lo) as fx, d.k as j, (cy - d.lo) / (d.hi - d.lo) as fy from c join n a on cx >= a.lo and (cx < a.hi or a.k = 3) join n d on cy >= d.lo and (cy < d.hi or d.k = 3)) "
     "select b.id, case when x <= 2040 and y <= 2040 then floor(((g0.v * (1 - fx) + g1.v * fx) * (1 - fy) + (g2.v * (1 - fx) + g3.v * fx) * fy) * 1e9 + 0.5) / 1e9 end as wavelength from b "
     "join g g0 on g0.j = b.j and g0.i = b.i join g g1 on g1.j = b.j and g1.i = b.i + 1 join g g2 on g2.j = b.j + 1 and g2.i = b.i join g g3 on g3.j = b.j + 1 and g3.i = b.i + 1",
-    "tile_manifest": f"with {_T} select {_KEY} as key, min(y) as y0, max(y) + 1 as y1, min(x) as x0, max(x) + 1 as x1, count(*) as pixels, sum(len(s) * 4)::bigint as bytes from t group by ty, tx",
+    "tile_manifest": f"with {_T} select {_KEY} as key, min(y) as y0, max(y) + 1 as y1, min(x) as x0, max(x) + 1 as x1, count(*) as pixels, (128 + sum(len(s) * 4))::bigint as bytes from t group by ty, tx",
     "bundle_verified": "select unnest([" + ", ".join(f"'{c}'" for c in _CHECKS) + "]) as check, true as ok",
     "bundle_damaged": f"with {_T} select unnest(['channels unchanged', 'every pixel once', 'tile sizes', 'tile sums', 'tile boxes', 'values', 'spot channels, corners and sky']) as check from (select max(ty) as m from t) where m >= 1",
-    "upload_planned": f"with {_T}, k as (select {_KEY} as key, ty * 2 + tx as k, sum(len(s) * 4)::bigint as bytes from t group by ty, tx) select key, bytes from k where k % 3 <> 0 or k % 4 = 0",
+    "upload_planned": f"with {_T}, k as (select {_KEY} as key, ty * 2 + tx as k, (128 + sum(len(s) * 4))::bigint as bytes from t group by ty, tx) select key, bytes from k where k % 3 <> 0 or k % 4 = 0",
 }

@@ -37,10 +37,16 @@ def _remove(spark: SparkSession, path: str) -> None:
         return
 
 
-def rounds(spark: SparkSession):
-    """A function (df, name) -> the table written and reread: cuts the lineage and survives lost executors. Tables go when the driver ends."""
+def folder(spark: SparkSession) -> str:
+    """A new place for tables and files in the shared folder; it goes when the driver ends."""
     base = f"{_root(spark)}/starloom-{uuid.uuid4().hex}"
     atexit.register(_remove, spark, base)
+    return base
+
+
+def rounds(spark: SparkSession):
+    """A function (df, name) -> the table written and reread: cuts the lineage and survives lost executors. Tables go when the driver ends."""
+    base = folder(spark)
 
     def keep(df: DataFrame, name: str) -> DataFrame:
         df.write.parquet(f"{base}/{name}")

@@ -1,4 +1,5 @@
-"""FITS images as tables, from any store that Spark reads: files come as binary rows and are parsed where they lie.
+"""FITS files as tables, from any store that Spark reads: files come as binary rows and are parsed where they lie.
+``fits_scan`` reads images by ranges instead.
 
 Headers are 80-byte cards in blocks of 2880 bytes; data are big-endian with BSCALE and BZERO. Gzip files are expanded
 in the task. Non-finite values become null. A file is one task's work, as its compression allows no other.
@@ -9,6 +10,7 @@ from __future__ import annotations
 import gzip
 import io
 import math
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -110,31 +112,82 @@ def _header(cards: bytes) -> tuple[dict, int]:
     return header, (count * abs(header.get("BITPIX", 8)) // 8 + header.get("PCOUNT", 0)) * header.get("GCOUNT", 1) if count else 0
 
 
-#: Fixed values of the format: column types of binary tables and their bytes.
-COLUMNS = {"L": ("?", 1), "B": ("u1", 1), "I": (">i2", 2), "J": (">i4", 4), "K": (">i8", 8), "E": (">f4", 4), "D": (">f8", 8)}
+#: Fixed values of the format: column types of binary tables and what one element is on disk.
+COLUMNS = {"L": "S1", "B": "u1", "I": ">i2", "J": ">i4", "K": ">i8", "E": ">f4", "D": ">f8", "C": ">c8", "M": ">c16"}
+
+
+def _form(text: str) -> tuple[int, str, str]:
+    """repeat, type and what follows (the type of a variable array's elements) of a TFORM."""
+    form = re.fullmatch(r"\s*(\d*)([A-Z])(\S*).*", text)
+    if not form:
+        raise ValueError(f"column format {text!r}")
+    return int(form[1] or 1), form[2], form[3]
+
+
+def _elements(raw: np.ndarray, kind: str, header: dict, i: int) -> np.ndarray:
+    """The last axis of bytes as values: truth as booleans, scaled numbers as doubles, complex numbers as pairs, bits one by one."""
+    if kind == "X":
+        return np.unpackbits(raw, axis=-1).astype(bool)
+    values = np.ascontiguousarray(raw).view(COLUMNS[kind])
+    if kind == "L":
+        return values == b"T"
+    if kind in "CM":
+        return np.stack([values.real, values.imag], axis=-1)
+    if f"TSCAL{i}" in header or f"TZERO{i}" in header:
+        return values * float(header.get(f"TSCAL{i}", 1)) + header.get(f"TZERO{i}", 0)
+    return values
+
+
+def _text(raw: bytes) -> str:
+    return raw.split(b"\0")[0].decode("ascii").rstrip()
+
+
+def _bytes_of(repeat: int, kind: str) -> int:
+    """What a cell takes in its row; bits fill whole bytes, variable arrays leave two numbers."""
+    sizes = {"A": repeat, "X": -(-repeat // 8), "P": 8 * repeat, "Q": 16 * repeat}
+    return sizes[kind] if kind in sizes else repeat * np.dtype(COLUMNS[kind]).itemsize
+
+
+def _shaped(values: np.ndarray, shape: list[int]) -> list:
+    return values.reshape(len(values), *shape, *values.shape[2:]).tolist()
+
+
+def _variable(cell: np.ndarray, kind: str, element: str, heap: bytes, header: dict, i: int) -> list:
+    """Arrays of the heap that descriptors (number of elements, offset) name."""
+    out = []
+    for count, start in cell.view(">i4" if kind == "P" else ">i8").tolist():
+        size = _bytes_of(count, element)
+        if start < 0 or start + size > len(heap):
+            raise ValueError(f"column {i} leaves the heap")
+        raw = np.frombuffer(heap, np.uint8, size, start)
+        out.append(_text(raw.tobytes()) if element == "A" else _elements(raw, element, header, i)[:count].tolist())
+    return out
 
 
 def binary_table(data: bytes, name: str) -> dict[str, list]:
-    """Columns of the binary table ``name``: lists of numbers, strings or lists."""
-    for header, at, _ in units(data):
+    """Columns of the binary table ``name``: numbers, truth values, strings, or lists: nested as TDIM says, of any length where they lie in the heap."""
+    for header, at, size in units(data):
         if header.get("XTENSION") != "BINTABLE" or header.get("EXTNAME") != name:
             continue
         width, rows = header["NAXIS1"], header["NAXIS2"]
         raw = np.frombuffer(data, np.uint8, width * rows, at).reshape(rows, width)
+        heap = data[at + header.get("THEAP", width * rows) : at + size]
         out, start = {}, 0
         for i in range(1, header["TFIELDS"] + 1):
-            form = header[f"TFORM{i}"].strip()
-            repeat, kind = int(form[:-1] or 1), form[-1]
-            size = repeat * (1 if kind == "A" else COLUMNS[kind][1])
-            cell = np.ascontiguousarray(raw[:, start : start + size])
-            start += size
-            if kind == "A":
-                values = [bytes(c).split(b"\0")[0].decode("ascii").rstrip() for c in cell]
+            repeat, kind, rest = _form(header[f"TFORM{i}"])
+            cell = np.ascontiguousarray(raw[:, start : start + _bytes_of(repeat, kind)])
+            start += cell.shape[1]
+            shape = [int(n) for n in re.findall(r"\d+", str(header.get(f"TDIM{i}", "")))][::-1]
+            if kind in "PQ":
+                values = _variable(cell, kind, rest[:1], heap, header, i) if repeat else [None] * rows
+            elif kind == "A":
+                values = [_text(c.tobytes()) for c in cell] if len(shape) < 2 else [[_text(p.tobytes()) for p in c.reshape(-1, shape[-1])] for c in cell]
             else:
-                numbers = cell.view(COLUMNS[kind][0])
-                scaled = numbers * header.get(f"TSCAL{i}", 1) + header.get(f"TZERO{i}", 0) if f"TSCAL{i}" in header or f"TZERO{i}" in header else numbers
-                values = scaled[:, 0].tolist() if repeat == 1 else scaled.tolist()
-            out[header.get(f"TTYPE{i}", f"col{i}").strip()] = values
+                numbers = _elements(cell, kind, header, i)[:, :repeat]
+                if shape and math.prod(shape) != repeat:
+                    raise ValueError(f"column {i}: {shape} isn't {repeat}")
+                values = _shaped(numbers, shape) if shape else numbers[:, 0].tolist() if repeat == 1 else numbers.tolist()
+            out[str(header.get(f"TTYPE{i}", f"col{i}")).strip()] = values
         return out
     raise ValueError(f"no table {name}")
 
@@ -214,17 +267,50 @@ def read_pixels(spark: SparkSession, path: str, name: str | None = None) -> Data
     return files.mapInArrow(run, "path string, plane int, y int, x int, value double")
 
 
-def to_fits(pixels: DataFrame, keys: list[str], height: int, width: int) -> DataFrame:
-    """keys, content: a FITS file of 32-bit floats for each grid of ``pixels`` (keys, y, x, value); missing pixels are NaN."""
+def card(key: str, value) -> str:
+    """One header card; long strings are cut at the card's end, as the format has no longer ones."""
+    if isinstance(value, bool):
+        text = f"{'T' if value else 'F':>20}"
+    elif isinstance(value, str):
+        quoted = value.replace("'", "''")[:67]
+        text = "'" + (quoted[:-1] if quoted.count("'") % 2 else quoted).ljust(8) + "'"
+    elif isinstance(value, int):
+        text = f"{value:>20}"
+    else:
+        text = f"{float(value):>20.13G}" if math.isfinite(value) else ""
+    return f"{key:8}= {text}".ljust(CARD)
+
+
+#: Names of a world system's numbers and the header keys that hold them.
+WORLD = {"crval1": "CRVAL1", "crval2": "CRVAL2", "crpix1": "CRPIX1", "crpix2": "CRPIX2", "cd11": "CD1_1", "cd12": "CD1_2", "cd21": "CD2_1", "cd22": "CD2_2"}
+
 
-    def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+def _cards(height: int, width: int, wcs: dict | None, more: dict) -> bytes:
+    values = {"SIMPLE": True, "BITPIX": -32, "NAXIS": 2, "NAXIS1": width, "NAXIS2": height}
+    if wcs:
+        values |= {"CTYPE1": "RA---TAN", "CTYPE2": "DEC--TAN", "CUNIT1": "deg", "CUNIT2": "deg"} | {WORLD[k]: float(wcs[k]) for k in WORLD}
+    values |= {k.upper()[:8]: v for k, v in more.items() if v is not None and k.upper()[:8] not in values}
+    head = "".join([*[card(k, v) for k, v in values.items()], "END".ljust(CARD)]).encode("ascii", "replace")
+    return head.ljust(-(-len(head) // BLOCK) * BLOCK)
+
+
+def to_fits(pixels: DataFrame, keys: list[str], height: int, width: int, wcs: dict | None = None, metadata: list[str] | None = None) -> DataFrame:
+    """keys, content: a FITS file of 32-bit floats for each grid of ``pixels`` (keys, y, x, value); missing pixels are NaN.
+
+    The header has the world system ``wcs`` and the grid's values of the ``metadata`` columns. A grid is one file and one task's work: pixels
+    arrive as sorted bands of rows, so the task holds the file and a batch.
+    """
+    named = list(metadata or [])
+
+    def run(key: tuple, frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         values = np.full((height, width), np.nan, ">f4")
-        values[frame.y.to_numpy(), frame.x.to_numpy()] = frame.value.to_numpy(dtype=np.float64, na_value=np.nan)
-        cards = ["SIMPLE  =                    T", "BITPIX  =                  -32", "NAXIS   =                    2", f"NAXIS1  = {width:20d}", f"NAXIS2  = {height:20d}", "END"]
-        head = "".join(c.ljust(CARD) for c in cards).encode()
+        more: dict = {}
+        for frame in frames:
+            values[frame.y.to_numpy(), frame.x.to_numpy()] = frame.value.to_numpy(dtype=np.float64, na_value=np.nan)
+            if not more and len(frame):
+                more = {c: v.item() if hasattr(v, "item") else v for c, v in frame[named].iloc[0].items() if v is not None and v == v}
         body = values.tobytes()
-        content = head.ljust(BLOCK) + body + bytes(-len(body) % BLOCK)
-        return pd.DataFrame([[*key, content]], columns=[*keys, "content"])
+        yield pd.DataFrame([[*key, _cards(height, width, wcs, more) + body + bytes(-len(body) % BLOCK)]], columns=[*keys, "content"])
 
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pixels.select(*keys).schema) + ", content binary"
-    return pixels.select(*keys, "y", "x", F.col("value").cast("double")).groupBy(*keys).applyInPandas(run, schema)
+    return pixels.select(*keys, "y", "x", F.col("value").cast("double"), *named).groupBy(*keys).applyInPandas(run, schema)

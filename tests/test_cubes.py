@@ -2,6 +2,7 @@ import io
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from starloom.operators import cubes
 from starloom.plans import cubes as plans
@@ -57,6 +58,33 @@ def test_planes_and_limits(store):
     assert np.allclose([lim.low, lim.high], np.nanpercentile(cube[:, :, 2].astype(float), [0.5, 99.5]))
 
 
+def test_a_plane_reads_one_channel(spark, store, tmp_path):
+    cube, tiles, _ = store
+    path = str(tmp_path / "store")
+    cubes.write_store(tiles.where("not (y = 24 and x = 17)"), path, 8)
+    plane = cubes.read_plane(spark, path, 3)
+    assert "PartitionFilters: [isnotnull(channel" in plane._jdf.queryExecution().executedPlan().toString()
+    got = {(r.y, r.x): r.value for r in plane.collect()}
+    assert len(got) == 25 * 18 - 1 and got[3, 4] is None and (24, 17) not in got
+    assert all(v == float(cube[y, x, 2]) for (y, x), v in got.items() if (y, x) != (3, 4))
+    sizes = {p.name: sum(f.stat().st_size for f in p.rglob("*.parquet")) for p in (tmp_path / "store/planes").iterdir() if p.is_dir()}
+    assert len(sizes) == 6 and sizes["channel=3"] < 2 * sum(sizes.values()) / 6
+    with pytest.raises(cubes.BadParameter):
+        cubes.read_plane(spark, path, 7)
+
+
+def test_sums_are_of_the_bytes_that_are_written(spark, store):
+    import hashlib
+
+    cube, tiles, _ = store
+    for r in cubes.tile_objects(tiles).collect():
+        held = io.BytesIO()
+        np.save(held, cube[r.y0 : r.y1, r.x0 : r.x1])
+        assert bytes(r.content) == held.getvalue() and r.pixels == (r.y1 - r.y0) * (r.x1 - r.x0)
+        same = cubes.manifest(tiles).where((F.col("ty") == r.ty) & (F.col("tx") == r.tx)).first() if (r.ty, r.tx) == (0, 0) else None
+        assert same is None or (same.bytes, same.sha256) == (len(r.content), hashlib.sha256(r.content).hexdigest())
+
+
 def test_another_store_is_refused(spark, tmp_path):
     spark.createDataFrame([(1, 2)], "y int, x int").write.parquet(str(tmp_path / "t"))
     with pytest.raises(cubes.BadParameter):
