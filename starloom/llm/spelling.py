@@ -81,21 +81,23 @@ def _long_paths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     release()
 
 
-def _paths(words: DataFrame) -> DataFrame:
-    """The nodes on the second half of each word's path in either trie: depth, the word's size, its next letter (null at its end) and n."""
+def _paths(words: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The nodes on the second half of each short word's path in either trie, and those of long words (without their letters).
+
+    Rows have the depth, the word's size, its next letter (null at its end) and n.
+    """
     short = words.where(F.length("word") <= LONG).withColumn("size", F.length("word"))
     both = short.select("word", "n", "size", F.explode(F.array(F.struct(F.lit(FORWARD).alias("side"), F.col("word").alias("letters")), F.struct(F.lit(BACKWARD).alias("side"), F.reverse("word").alias("letters")))).alias("t"))
     at = both.select("word", "n", "size", "t.side", "t.letters", F.explode(F.sequence(((F.col("size") - 1) / 2).cast("int"), F.col("size"))).alias("i"))
     nxt = F.when(F.col("i") < F.col("size"), F.substring("letters", F.col("i") + 1, F.lit(1)))
-    plain = at.select(F.concat("side", F.substring("letters", F.lit(1), F.col("i"))).alias("node"), "i", "size", nxt.alias("nxt"), F.col("word").alias("wid"), "n", "letters")
-    return plain.unionByName(words.where(F.length("word") > LONG).select("word", "n").mapInArrow(_long_paths, _PATHS))
+    near = at.select(F.concat("side", F.substring("letters", F.lit(1), F.col("i"))).alias("node"), "i", "size", nxt.alias("nxt"), F.col("word").alias("wid"), "n", "letters")
+    return near, words.where(F.length("word") > LONG).select("word", "n").mapInArrow(_long_paths, _PATHS)
 
 
 def _lettered(rows: DataFrame, named: DataFrame) -> DataFrame:
     """Fills in the letters of long words, in the direction of the row's trie."""
-    far = rows.where(F.col("letters").isNull()).drop("letters").join(named, "wid")
     turned = F.when(F.substring("node", 1, 1) == BACKWARD, F.reverse("word")).otherwise(F.col("word"))
-    return rows.where(F.col("letters").isNotNull()).unionByName(far.withColumn("letters", turned).drop("word"))
+    return rows.drop("letters").join(named, "wid").withColumn("letters", turned).drop("word")
 
 
 def _tail(text: Column, start: Column | int) -> Column:
@@ -106,44 +108,53 @@ def near_words(words: DataFrame, scratch: Scratch) -> DataFrame:
     """word, near, near_n: each pair of ``words`` (word, n) that differ by one inserted, deleted or replaced letter, both ways round."""
     digest = F.concat(F.lit("#"), F.sha2(F.encode("word", "UTF-8"), 256))
     named = scratch.keep(words.where(F.length("word") > LONG).select(digest.alias("wid"), "word"), "named")
-    paths = _paths(words)
+    short, long = _paths(words)
     ends = F.max(F.when(F.col("nxt").isNull(), F.struct("wid", "n"))).alias("end")
-    kept = paths.groupBy("node").agg(F.min("nxt").alias("lo"), F.max("nxt").alias("hi"), ends).where(F.col("end").isNotNull() | (F.col("lo") != F.col("hi"))).select("node", "end")
-    kept = scratch.keep(kept, "nodes")
-    own = scratch.keep(_lettered(paths.join(kept, "node"), named), "own")
+    nodes = short.unionByName(long).groupBy("node").agg(F.min("nxt").alias("lo"), F.max("nxt").alias("hi"), ends)
+    kept = scratch.keep(nodes.where(F.col("end").isNotNull() | (F.col("lo") != F.col("hi"))).select("node", "end"), "nodes")
+    own = scratch.keep(short.join(kept, "node").unionByName(_lettered(long.join(kept, "node"), named)), "own")
 
     along = W.partitionBy("wid", F.substring("node", 1, 1)).orderBy("i")
     steps = own.withColumn("child", F.lead("node").over(along)).withColumn("upto", F.lead("i").over(along)).where(F.col("child").isNotNull())
     label = F.substring("letters", F.col("i") + 1, F.col("upto") - F.col("i"))
-    edges = steps.groupBy("node", F.col("nxt").alias("c")).agg(F.first(label).alias("label"), F.first("child").alias("child"))
-    edges = edges.join(kept.select(F.col("node").alias("child"), "end"), "child")
-    edges = scratch.keep(edges.select("node", "c", "label", "child", "end"), "edges")
+    edges = scratch.keep(steps.groupBy("node", F.col("nxt").alias("c")).agg(F.first(label).alias("label"), F.first("child").alias("child")), "steps")
+    after = edges.groupBy(F.col("node").alias("child")).agg(F.array_join(F.collect_list("c"), "").alias("after"))  # a letter an edge
+    edges = edges.join(kept.select(F.col("node").alias("child"), "end"), "child").join(after, "child", "left")
+    edges = scratch.keep(edges.select("node", "c", "label", "child", "end", F.coalesce("after", F.lit("")).alias("after")), "edges")
 
-    found, states = _seeds(own, edges)
-    states = scratch.keep(states, "states0")
-    found = [found]
+    cut, states = _seeds(own, edges)
+    found = [cut]
     level = 0
     while True:
-        found.append(states.where((F.col("rest") == "") & F.col("end").isNotNull()).select("wid", "end"))
+        states = scratch.keep(_alive(states), f"states{level}")
+        found.append(states.where("rest = ''").select("wid", "end"))
         going = states.where("rest <> ''").select("wid", "rest", "node", F.substring("rest", 1, 1).alias("c"))
         if going.isEmpty():
             break
         level += 1
         moved = going.join(edges, ["node", "c"]).where(F.col("rest").startswith(F.col("label")))
-        states = scratch.keep(moved.select("wid", _tail(F.col("rest"), F.length("label") + 1).alias("rest"), F.col("child").alias("node"), "end"), f"states{level}")
+        states = moved.select("wid", _tail(F.col("rest"), F.length("label") + 1).alias("rest"), F.col("child").alias("node"), "end", "after")
     pairs = found[0]
     for more in found[1:]:
         pairs = pairs.unionByName(more)
     # an edit in the middle may be found in both tries
     pairs = pairs.select("wid", F.col("end.wid").alias("near"), F.col("end.n").alias("near_n")).dropDuplicates(["wid", "near"])
-    return _unnamed(_unnamed(pairs, named, "wid", "word"), named, "near", "near")
+    if named.isEmpty():
+        return pairs.withColumnRenamed("wid", "word")
+    return _unnamed(_unnamed(scratch.keep(pairs, "pairs"), named, "wid", "word"), named, "near", "near")
+
+
+def _alive(states: DataFrame) -> DataFrame:
+    """States at the end of a word, and those whose node goes on with the next letter of the rest."""
+    done = (F.col("rest") == "") & F.col("end").isNotNull()
+    return states.where(done | ((F.col("rest") != "") & F.col("after").contains(F.substring("rest", 1, 1)))).drop("after")
 
 
 def _seeds(own: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Words without their last letter, and the states after one edit where another edge leaves a word's path in its second half."""
     here = own.where(F.col("i") >= F.floor(F.col("size") / 2))
     cut = here.where((F.col("i") == F.col("size") - 1) & F.col("end").isNotNull()).select("wid", "end")
-    fans = edges.groupBy("node").agg(F.collect_list(F.struct("c", "label", "child", "end")).alias("fan"))  # an edge for each letter at most
+    fans = edges.groupBy("node").agg(F.collect_list(F.struct("c", "label", "child", "end", "after")).alias("fan"))  # an edge for each letter at most
     out = here.select("node", "i", "nxt", "wid", "letters").join(fans, "node")
     out = out.select("i", "nxt", "wid", "letters", F.explode("fan").alias("e")).where(F.col("nxt").isNull() | (F.col("e.c") != F.col("nxt")))
     left, tail = _tail(F.col("letters"), F.col("i") + 1), _tail(F.col("e.label"), 2)
@@ -154,8 +165,8 @@ def _seeds(own: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
         F.struct(left.alias("rest"), tail.alias("need")),  # inserted
         F.when(inside, F.struct(behind.alias("rest"), F.col("e.label").alias("need"))),  # deleted
     )
-    out = out.select("wid", "e.child", "e.end", F.explode(edits).alias("x")).where(F.col("x").isNotNull() & F.col("x.rest").startswith(F.col("x.need")))
-    return cut, out.select("wid", _tail(F.col("x.rest"), F.length("x.need") + 1).alias("rest"), F.col("child").alias("node"), "end")
+    out = out.select("wid", "e.child", "e.end", "e.after", F.explode(edits).alias("x")).where(F.col("x").isNotNull() & F.col("x.rest").startswith(F.col("x.need")))
+    return cut, out.select("wid", _tail(F.col("x.rest"), F.length("x.need") + 1).alias("rest"), F.col("child").alias("node"), "end", "after")
 
 
 def _unnamed(rows: DataFrame, named: DataFrame, name: str, word: str) -> DataFrame:
