@@ -41,9 +41,9 @@ def box_background(spark, d):
 
 
 def channel_percentiles(spark, d):
-    p = F.percentile("v", F.array(F.lit(0.005), F.lit(0.5), F.lit(0.995)))
-    out = _grid(spark, d).groupBy((F.col("y") % 8).cast("int").alias("band")).agg(p.alias("p"))
-    return out.select("band", *[(F.floor(F.col("p")[i] * 1e6 + 0.5) / 1e6).alias(n) for i, n in enumerate(("p_low", "p_mid", "p_high"))])
+    g = _grid(spark, d).select((F.col("y") % 8).cast("int").alias("band"), "v")
+    out = robust.quantiles(g, ["band"], "v", {"p_low": 0.005, "p_mid": 0.5, "p_high": 0.995})
+    return out.select("band", *[(F.floor(F.col(n) * 1e6 + 0.5) / 1e6).alias(n) for n in ("p_low", "p_mid", "p_high")])
 
 
 def coverage(spark, d):
@@ -112,11 +112,23 @@ def bilinear(spark, d):
 def nearest_box_fill(spark, d):
     """Boxes without a value take that of the nearest box; ties: the first row, then column."""
     coarse = grid.boxes(_grid(spark, d), 16).groupBy("j", "i").agg(F.median("v").alias("v")).withColumn("v", F.when((F.col("j") + 2 * F.col("i")) % 3 != 0, F.col("v")))
-    have = coarse.where("v is not null").select(F.col("j").alias("hj"), F.col("i").alias("hi"), F.col("v").alias("hv"))
-    asks = coarse.where("v is null").select("j", "i")
-    dist = (F.col("j") - F.col("hj")) * (F.col("j") - F.col("hj")) + (F.col("i") - F.col("hi")) * (F.col("i") - F.col("hi"))
-    filled = asks.join(F.broadcast(have)).groupBy("j", "i").agg(F.min_by("hv", F.struct(dist, "hj", "hi")).alias("v"))
-    return coarse.where("v is not null").unionByName(filled)
+    filled = grid.nearest_filled(coarse.select(F.col("j").alias("y"), F.col("i").alias("x"), "v"), SIZE // 16, SIZE // 16)
+    return filled.select(F.col("y").alias("j"), F.col("x").alias("i"), "v")
+
+
+def wide_fill(spark, d):
+    """Gaps of the growing image (dim pixels, and those without an order) filled from the nearest bright pixel, and how far that is."""
+    g = _wide(spark, d).withColumn("bright", F.col("v") >= 250000)
+    height = (g.agg(F.max("y")).first()[0] or 0) + 1
+    return grid.nearest_site(g, "bright", height, WIDE).select("y", "x", F.round(F.col("d") * F.col("d")).cast("long").alias("d2"), "ny", "nx")
+
+
+def exact_aperture(spark, d):
+    """Light of the growing image within an exact circle around every 29th order's place, off the pixels' centres."""
+    g = _wide(spark, d)
+    at = g.where("(y * 256 + x) % 29 = 0").select((F.col("y") * WIDE + F.col("x")).cast("long").alias("id"), (F.col("y") + (F.col("x") % 5 - 2) * 0.2).alias("y"), (F.col("x") + (F.col("y") % 7 - 3) * 0.125).alias("x"))
+    r = lambda c: (F.floor(F.col(c) * 1e3 + 0.5) / 1e3).alias(c)
+    return grid.aperture(g, at, 2.4).select("id", r("area"), r("flux"))
 
 
 def components(spark, d):
@@ -152,7 +164,7 @@ def top100_changes(spark, d):
 
 def stretch(spark, d):
     g = _grid(spark, d)
-    lim = g.agg(F.percentile("v", 0.01).alias("lo"), F.percentile("v", 0.997).alias("hi"))
+    lim = robust.quantiles(g, [], "v", {"lo": 0.01, "hi": 0.997})
     x = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.col("v") - F.col("lo")) / (F.col("hi") - F.col("lo"))))
     return g.join(F.broadcast(lim)).select("y", "x", F.floor(x * 255 + 0.5).cast("int").alias("level"))
 
@@ -224,7 +236,7 @@ QUERIES = {
     for f in (
         difference_grid, flag_filter, box_background, channel_percentiles, coverage, coverage_once, local_maxima, convolve, psf_match, dilate, median3, forced_presence, signed_extreme,
         any_neighbour_flagged, edge_distance, bilinear, nearest_box_fill, components, flood_fill, largest_rectangle, cutout, crop, top100_changes, stretch, downsample, reprojection,
-        running_heights, robust_change, wide_components, wide_convolve, wide_local_maxima,
+        running_heights, robust_change, wide_fill, exact_aperture, wide_components, wide_convolve, wide_local_maxima,
     )
 }
 
@@ -256,7 +268,18 @@ def _clip(n: int) -> str:
 
 
 _WIDE = "wide as (select cast(o_orderkey // 256 as int) as y, cast(o_orderkey % 256 as int) as x, o_totalprice::double as v from orders)"
+#: The area of the unit circle's like of radius 2.4 left of u and below v, as SQL; half(t) is the upper half disc's left of t.
+_HALF = lambda t: f"(({t}) * sqrt(greatest(0.0::double, 5.76 - ({t}) * ({t}))) + 5.76 * asin(greatest(-1.0::double, least(1.0::double, ({t}) / 2.4))) + 5.76 * pi() / 2) / 2"
+_CORNER = f"case when v >= 0 then 2 * ({_HALF('least(u, -h)')} + greatest(0.0::double, {_HALF('greatest(u, h)')} - {_HALF('h')})) else 0 end + v * (greatest(-h, least(h, u)) + h) + {_HALF('greatest(-h, least(h, u))')} - {_HALF('-h')}"
 SQL = {
+    "wide_fill": f"""with {_WIDE}, b as (select y as ny, x as nx from wide where v >= 250000),
+      k as (select w.y, w.x, b.ny, b.nx, (w.y - b.ny) * (w.y - b.ny) + (w.x - b.nx) * (w.x - b.nx) as d2 from wide w join b on b.ny between w.y - 60 and w.y + 60),
+      o as (select *, row_number() over (partition by y, x order by d2, ny, nx) as r from k) select y, x, d2::bigint as d2, ny, nx from o where r = 1""",
+    "exact_aperture": f"""with {_WIDE}, at as (select (y * 256 + x)::bigint as id, y + (x % 5 - 2) * 0.2::double as cy, x + (y % 7 - 3) * 0.125::double as cx from wide where (y * 256 + x) % 29 = 0),
+      m as (select id, w.y - cy as dy, w.x - cx as dx, w.v as value from at join wide w on w.y between floor(cy - 3) and ceil(cy + 3) and w.x between floor(cx - 3) and ceil(cx + 3)),
+      c as (select id, value, dy, dx, k.a, k.b, greatest(-2.4::double, least(2.4::double, dx + k.a * 0.5)) as u, greatest(-2.4::double, least(2.4::double, dy + k.b * 0.5)) as v from m cross join (values (1, 1), (1, -1), (-1, 1), (-1, -1)) k(a, b)),
+      h as (select *, sqrt(greatest(0.0::double, 5.76 - v * v)) as h from c), w as (select id, value, dy, dx, greatest(0.0::double, sum(a * b * ({_CORNER}))) as w from h group by id, value, dy, dx)
+      select id, floor(sum(w) * 1e3 + 0.5) / 1e3 as area, floor(sum(w * value) * 1e3 + 0.5) / 1e3 as flux from w where w > 1e-12 group by id""",
     "wide_components": f"""with recursive {_WIDE}, p as (select y, x, v, cast(y as bigint) * 1048576 + x as code from wide where v >= 150000), e as (select a.code as a, b.code as b from p a join p b on (b.y = a.y and b.x between a.x - 1 and a.x + 1) or (b.x = a.x and b.y between a.y - 1 and a.y + 1)),
       r as (select code as n, code as c from p union select e.b, r.c from r join e on e.a = r.n), l as (select n, min(c) as comp from r group by n) select comp, count(*) as n, min(y) as y0, max(y) as y1, min(x) as x0, max(x) as x1, max(v) as peak from l join p on n = code group by comp having count(*) >= 2""",
     "wide_convolve": f"with {_WIDE} select ay as y, ax as x, floor(sum(v * w) * 1e2 + 0.5) / 1e2 as v from ({_near('wide', *_K15)}) group by ay, ax",
