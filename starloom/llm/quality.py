@@ -5,10 +5,10 @@ buckets of 8 leading bits (relative error below 1 %), so sketches of parts add u
 order, and nothing depends on how rows were dealt. A (language, source) group's quantiles are drawn towards those of its
 language, and these towards those of all documents, in proportion to the feature's prior number of documents; a
 document outside q50 - reach .. q50 + reach, with reach = fence * spread, is rejected. The spread is a distance of two
-quantiles of the sketch: of the lower quartile and the median where junk is to be told from the body (junk lies high, so these
-fences hold while less than half of a group is junk), of the median and the 99th percentile, with a strong
-prior, where clean documents have a long tail (repeated words and lines). Only a group whose sketch has no spread at all, as
-where hardly a document has any symbol, is credited with LEAST.
+quantiles of the sketch: of the lower quartile and the median where every document has some of the feature (junk lies high, so these fences
+hold while less than half of a group is junk). Repeats are zero for most documents; their sketches are of the documents that
+have any, and the spread is from the median of these to their 90th percentile, which junk reaches only if it is a tenth of
+them. A feature that no document has rejects none; one that has no spread in any sketch, all values being alike, is credited with LEAST.
 
 Sketches hold only documents that pass the base rule, so that stubs don't bend the thresholds.
 
@@ -33,28 +33,32 @@ from .hashing import pieces
 
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _SYMBOLS = re.compile(r"[#*$%&|<>]")
+#: Signs: ASCII punctuation of all kinds, symbols among it. Clean text has some, so their number has a spread.
+SIGNS = r"[\x21-\x2F\x3A-\x40\x5B-\x60\x7B-\x7E]"
+_SIGNS = re.compile(SIGNS)
 
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
-#: The least spread (per thousand), for groups without any.
+#: The least spread (per thousand), where all values are alike.
 LEAST = 4
 #: Features per thousand words (dup_lines: thousand lines): quantiles (percent) whose distance is the spread, how many spreads
-#: from the median are inside, documents that the wider group counts for, and whether values below the fence are rejected too.
+#: from the median are inside, documents that the wider group counts for, whether values below the fence are rejected too, and
+#: whether only documents that have any of the feature are sketched.
 FEATURES = {
-    "word_length": {"spread": (25, 50), "fence": 14, "prior": 50, "low": True},
-    "symbols": {"spread": (25, 50), "fence": 14, "prior": 50, "low": False},
-    "repeats": {"spread": (50, 99), "fence": 4, "prior": 1000, "low": False},
-    "dup_lines": {"spread": (50, 99), "fence": 4, "prior": 1000, "low": False},
+    "word_length": {"spread": (25, 50), "fence": 16, "prior": 50, "low": True, "some": False},
+    "signs": {"spread": (25, 50), "fence": 20, "prior": 1000, "low": False, "some": False},
+    "repeats": {"spread": (50, 90), "fence": 5, "prior": 1000, "low": False, "some": True},
+    "dup_lines": {"spread": (50, 90), "fence": 2, "prior": 1000, "low": False, "some": True},
 }
-QUANTILES = (25, 50, 99)
+QUANTILES = (25, 50, 90)
 
-BASE = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long"
+BASE = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long, n_signs long"
 
 
-def base_features(text: str | None) -> tuple[int, int, int, int, int, int]:
+def base_features(text: str | None) -> tuple[int, int, int, int, int, int, int]:
     """The counts named in BASE for one whole text."""
     if not text:
-        return 0, 0, 0, 0, 0, 0
+        return 0, 0, 0, 0, 0, 0, 0
     words = _WORD.findall(text)
     n = len(words)
     windows = list(zip(words, words[1:], words[2:], strict=False))
@@ -67,7 +71,7 @@ def base_features(text: str | None) -> tuple[int, int, int, int, int, int]:
                 repeated += i + 3 - max(i, upto)
                 upto = i + 3
     lines = [x for x in text.split("\n") if _WORD.search(x)]
-    return n, sum(map(len, words)), len(_SYMBOLS.findall(text)), len(lines) - len(set(lines)), repeated, len(lines)
+    return n, sum(map(len, words)), len(_SYMBOLS.findall(text)), len(lines) - len(set(lines)), repeated, len(lines), len(_SIGNS.findall(text))
 
 
 def with_features(docs: DataFrame, columns: list[str]) -> DataFrame:
@@ -96,7 +100,7 @@ def feature_columns(f: Column) -> dict[str, Column]:
     per = lambda part, whole: F.when(whole > 0, F.floor(1000 * part / whole)).otherwise(0).cast("long")
     return {
         "word_length": per(f["word_chars"], f["n_words"]),
-        "symbols": per(f["n_symbols"], f["n_words"]),
+        "signs": per(f["n_signs"], f["n_words"]),
         "repeats": per(f["n_repeat_words"], f["n_words"]),
         "dup_lines": per(f["n_dup_lines"], f["n_lines"]),
     }
@@ -109,13 +113,14 @@ def bucket(value: Column) -> Column:
 
 
 def sketch(featured: DataFrame, names: list[str]) -> DataFrame:
-    """lang, source, feature, bucket, n: mergeable by adding ``n``."""
+    """lang, source, feature, bucket, n: mergeable by adding ``n``; zeros of features that most documents haven't are left out."""
     cells = F.explode(F.array(*[F.struct(F.lit(n).alias("feature"), bucket(F.col(n)).alias("bucket")) for n in names]))
-    return featured.select("lang", "source", cells.alias("c")).groupBy("lang", "source", "c.feature", "c.bucket").agg(F.count(F.lit(1)).alias("n"))
+    told = featured.select("lang", "source", cells.alias("c")).where((F.col("c.bucket") > 0) | ~F.col("c.feature").isin([k for k, v in FEATURES.items() if v["some"]]))
+    return told.groupBy("lang", "source", "c.feature", "c.bucket").agg(F.count(F.lit(1)).alias("n"))
 
 
 def quantiles(cells: DataFrame, by: list[str]) -> DataFrame:
-    """by, feature, n, q25, q50, q99 of merged sketches: the least bucket that holds the rank."""
+    """by, feature, n, q25, q50, q90 of merged sketches: the least bucket that holds the rank."""
     merged = cells.groupBy(*by, "feature", "bucket").agg(F.sum("n").alias("n"))
     group = W.partitionBy(*by, "feature")
     upto = F.sum("n").over(group.orderBy("bucket").rowsBetween(W.unboundedPreceding, 0))
@@ -208,7 +213,7 @@ def op3_quality(spark, sf_dir) -> DataFrame:
 
 def _oracle() -> str:
     feats = "union all ".join(
-        f"select lang, source, '{k}' as feature, {k} as v from f where not base_failed " for k in FEATURES
+        f"select lang, source, '{k}' as feature, {k} as v from f where not base_failed {f'and {k} > 0 ' if v['some'] else ''}" for k, v in FEATURES.items()
     )
     case = lambda value: "case feature " + " ".join(f"when '{k}' then {value(v)}" for k, v in FEATURES.items()) + " end"
     prior = case(lambda v: v["prior"]) + "::double"
@@ -242,11 +247,12 @@ hit as (select doc_id, count(distinct p) as n_repeat from (select doc_id, unnest
 b as (
   select g.doc_id, lang, source, n_words::bigint as n_words, coalesce(list_sum(list_transform(words, lambda x: length(x))), 0)::bigint as word_chars,
     len(regexp_extract_all(coalesce(text, ''), '[#*$%&|<>]'))::bigint as n_symbols,
-    (len(lines) - len(list_distinct(lines)))::bigint as n_dup_lines, coalesce(n_repeat, 0)::bigint as n_repeat_words, len(lines)::bigint as n_lines
+    (len(lines) - len(list_distinct(lines)))::bigint as n_dup_lines, coalesce(n_repeat, 0)::bigint as n_repeat_words, len(lines)::bigint as n_lines,
+    len(regexp_extract_all(coalesce(text, ''), '{SIGNS}'))::bigint as n_signs
   from g left join hit using (doc_id)),
 f as (
   select *, (n_words < {MIN_WORDS} or 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words) as base_failed,
-    coalesce(1000 * word_chars // nullif(n_words, 0), 0) as word_length, coalesce(1000 * n_symbols // nullif(n_words, 0), 0) as symbols,
+    coalesce(1000 * word_chars // nullif(n_words, 0), 0) as word_length, coalesce(1000 * n_signs // nullif(n_words, 0), 0) as signs,
     coalesce(1000 * n_repeat_words // nullif(n_words, 0), 0) as repeats, coalesce(1000 * n_dup_lines // nullif(n_lines, 0), 0) as dup_lines
   from b),
 v as ({feats}),

@@ -35,10 +35,10 @@ def fixture():
 def quality_by_hand(rows):
     feats, base = {}, {}
     for d, t, lang, source in rows:
-        n, chars, symbols, dup, repeats, lines = quality.base_features(t)
+        n, chars, _, dup, repeats, lines, signs = quality.base_features(t)
         base[d] = n < 50 or 100 * repeats > 50 * n
         per = lambda a, b: 1000 * a // b if b else 0
-        feats[d] = {"word_length": per(chars, n), "symbols": per(symbols, n), "repeats": per(repeats, n), "dup_lines": per(dup, lines)}
+        feats[d] = {"word_length": per(chars, n), "signs": per(signs, n), "repeats": per(repeats, n), "dup_lines": per(dup, lines)}
 
     def bucket(v):
         k = max(0, v.bit_length() - 8)
@@ -46,25 +46,28 @@ def quality_by_hand(rows):
 
     def quantiles(values):
         v = sorted(map(bucket, values))
-        return len(v), *[next(x for i, x in enumerate(v) if 100 * (i + 1) >= k * len(v)) for k in (25, 50, 99)]
+        return len(v), *[next(x for i, x in enumerate(v) if 100 * (i + 1) >= k * len(v)) for k in (25, 50, 90)]
 
     groups = {k: defaultdict(list) for k in ("all", "lang", "own")}
     for d, _, lang, source in rows:
         if not base[d]:
             for name, key in (("all", ()), ("lang", lang), ("own", (lang, source))):
                 for f, v in feats[d].items():
-                    groups[name][key, f].append(v)
+                    if v or not quality.FEATURES[f]["some"]:
+                        groups[name][key, f].append(v)
     kept = []
     for d, t, lang, source in rows:
         if base[d]:
             continue
         ok = True
         for f, rule in quality.FEATURES.items():
+            if not groups["own"][(lang, source), f]:
+                continue  # no document of the group has any of the feature
             _, *q = quantiles(groups["all"][(), f])
             for name, key in (("lang", lang), ("own", (lang, source))):
                 n, *own = quantiles(groups[name][key, f])
                 q = [(n * a + rule["prior"] * b) / (n + rule["prior"]) for a, b in zip(own, q, strict=True)]
-            at = dict(zip((25, 50, 99), q, strict=True))
+            at = dict(zip((25, 50, 90), q, strict=True))
             reach = rule["fence"] * (at[rule["spread"][1]] - at[rule["spread"][0]] or quality.LEAST)
             ok &= feats[d][f] <= q[1] + reach and not (rule["low"] and feats[d][f] < q[1] - reach)
         if ok:
