@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import sky
+from . import robust
 
 #: Kinds in the order of documents, with their labels.
 KINDS = {"matched_pair": "Matched pair", "shifted_match": "Shifted match", "seen_only_earlier": "Seen only earlier", "seen_only_later": "Seen only later"}
@@ -28,17 +29,26 @@ def _round(c: Column, digits: int) -> Column:
     return F.floor(c * 10**digits + 0.5) / 10**digits
 
 
-def documented(found: DataFrame, wcs: dict, gap_days: float, prefix: str = "SX6M") -> DataFrame:
-    """candidate_id, kind, kind_label, earlier, later, displacement (arcsec), rate (a day), angle, flux_ratio: ordered by kind, then signal.
+def documented(found: DataFrame, wcs: dict, gap_days: float, prefix: str = "SX6M", by: list[str] | None = None) -> DataFrame:
+    """by, candidate_id, kind, kind_label, earlier, later, displacement (arcsec), rate (a day), angle, flux_ratio: numbered by kind, then signal.
 
-    Measures come from unrounded values and are rounded last; those of one epoch only are null.
+    Measures come from unrounded values and are rounded last; those of one epoch only are null. Each group of ``by`` (a pair of images) has
+    its own numbers; they come from ranks that are taken in parts, not from one sorted list.
     """
+    by = by or []
     place = list(KINDS)
     order = F.coalesce(*[F.when(F.col("kind") == k, F.lit(i)) for i, k in enumerate(place)], F.lit(len(place)))
     sky_of = {e: sky.tan_to_sky(F.col(f"{e}_x"), F.col(f"{e}_y"), wcs) for e in "ab"}
     at = found.withColumns({f"{e}_{n}": c for e, both in sky_of.items() for n, c in zip(("ra", "dec"), both, strict=True)})
-    at = at.withColumns({"_o": order, "_top": F.greatest("a_snr", "b_snr"), "displacement": sky.separation("a_ra", "a_dec", "b_ra", "b_dec"), "angle": sky.position_angle("a_ra", "a_dec", "b_ra", "b_dec")})
-    n = F.row_number().over(W.partitionBy(F.lit(0)).orderBy("_o", F.desc("_top"), F.asc_nulls_last("a_id"), F.asc_nulls_last("b_id")))  # as many as candidates
+    at = at.withColumns({
+        "_o": order, "_low": F.coalesce(-F.greatest("a_snr", "b_snr"), F.lit(float("inf"))), "_a0": F.col("a_id").isNull(), "_b0": F.col("b_id").isNull(),
+        "displacement": sky.separation("a_ra", "a_dec", "b_ra", "b_dec"), "angle": sky.position_angle("a_ra", "a_dec", "b_ra", "b_dec"),
+    })
+    each = at.groupBy(*by, "_o").agg(F.count(F.lit(1)).alias("_n"))  # a row a kind
+    before = F.coalesce(F.sum("_n").over(W.partitionBy(*by, F.lit(0)).orderBy("_o").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    at = robust.ranked(at, [*by, "_o"], ["_low", "_a0", "a_id", "_b0", "b_id"])
+    at = at.join(F.broadcast(each.select(*by, "_o", before.alias("_before"))) if not by else each.select(*by, "_o", before.alias("_before")), [*by, "_o"])
+    n = (F.col("_before") + F.col("rank") + 1).cast("int")
 
     def side(e: str) -> Column:
         digits = {"ra": 6, "dec": 6, "x": 2, "y": 2, "snr": 1, "flux": 4}
@@ -46,7 +56,7 @@ def documented(found: DataFrame, wcs: dict, gap_days: float, prefix: str = "SX6M
 
     label = F.coalesce(F.element_at(F.create_map(*[F.lit(v) for kv in KINDS.items() for v in kv]), F.col("kind")), F.col("kind"))
     return at.select(
-        F.format_string(f"{prefix}-%03d", n).alias("candidate_id"), "kind", label.alias("kind_label"), side("a").alias("earlier"), side("b").alias("later"),
+        *by, F.format_string(f"{prefix}-%03d", n).alias("candidate_id"), "kind", label.alias("kind_label"), side("a").alias("earlier"), side("b").alias("later"),
         _round(F.col("displacement"), 2).alias("displacement"), _round(F.col("displacement") / gap_days, 4).alias("rate"), _round(F.col("angle"), 1).alias("angle"),
         F.when(F.col("a_flux") > 0, _round(F.try_divide("b_flux", "a_flux"), 3)).alias("flux_ratio"),
     )

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -124,27 +124,66 @@ def calibration(df: DataFrame, order: list[str], inv: str, offsets: list[str], k
     )
 
 
-def rayleigh_likelihood(df: DataFrame, sep: str, radius: float, sigmas: list[float], shares: list[float]) -> DataFrame:
-    """The (sigma, share) of a parameter grid with the highest likelihood of a Rayleigh core on a uniform background.
+def rayleigh_likelihood(df: DataFrame, sep: str, radius: float, sigmas: list[float], shares: list[float], keys: list[str] | None = None) -> DataFrame:
+    """keys and the (sigma, share) of a parameter grid with the highest likelihood of a Rayleigh core on a uniform background, and loglike.
 
-    Each task goes over its rows once and keeps one sum for each parameter; only these sums are shuffled. Ties: the
-    first parameter in grid order.
+    Each task goes over its rows once and keeps one sum for each parameter and group (groups are few); only these sums are shuffled. Ties:
+    the first parameter in grid order.
     """
-    s, f = (a.ravel() for a in np.meshgrid(np.array(sigmas), np.array(shares), indexing="ij"))
+    keys = keys or []
+    s, f = np.array(sigmas), np.array(shares)
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, any_ = np.zeros(len(s)), False
+        total: dict[int, np.ndarray] = {}
         for batch in batches:
-            r = np.asarray(batch.column(0).to_numpy(zero_copy_only=False), np.float64)
-            for k in range(0, len(r), 64):
-                part = r[k : k + 64, None]
-                total += np.log(f * (part / (s * s) * np.exp(-part * part / (2 * s * s))) + (1 - f) * 2 * part / (radius * radius) + 1e-300).sum(axis=0)
-                any_ = True
-        if any_:
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(s), dtype=np.int32)), pa.array(s), pa.array(f), pa.array(total)], names=["k", "sigma", "share", "part"])
-
-    parts = df.select(F.col(sep).cast("double")).where(F.col(sep).isNotNull()).mapInArrow(sums, "k int, sigma double, share double, part double")
-    return parts.groupBy("k", "sigma", "share").agg(F.sum("part").alias("loglike")).orderBy(F.desc("loglike"), "k").limit(1)
+            group = batch.column(0).to_numpy(zero_copy_only=False)
+            every = np.asarray(batch.column(1).to_numpy(zero_copy_only=False), np.float64)
+            for g in np.unique(group).tolist():
+                r = every[group == g]
+                held = total.setdefault(g, np.zeros((len(s), len(f))))
+                for k in range(0, len(r), 64):
+                    part = r[k : k + 64, None]
+                    core = part / (s * s) * np.exp(-part * part / (2 * s * s))
+                    flat = (1 - f) * 2 * part / (radius * radius)
+                    held += np.log(core[:, :, None] * f + flat[:, None, :] + 1e-300).sum(axis=0)
+        for g, held in total.items():
+            n = held.size
+            at = [np.full(n, g, np.int64), np.arange(n, dtype=np.int32), np.repeat(s, len(f)), np.tile(f, len(s)), held.ravel()]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in at], names=["g", "k", "sigma", "share", "part"])
+
+    # a group goes by the hash of its keys, whose values come back by a join
+    named = df.where(F.col(sep).isNotNull()).withColumn("g", F.xxhash64(*keys) if keys else F.lit(0).cast("long"))
+    parts = named.select("g", F.col(sep).cast("double")).mapInArrow(sums, "g bigint, k int, sigma double, share double, part double")
+    each = parts.groupBy("g", "k", "sigma", "share").agg(F.sum("part").alias("loglike"))
+    best = each.groupBy("g").agg(F.max_by(F.struct("sigma", "share", "loglike"), F.struct("loglike", -F.col("k"))).alias("b"))
+    names = named.groupBy("g", *keys).agg(F.count(F.lit(1)).alias("n"))
+    return best.join(names, "g").select(*keys, "b.sigma", "b.share", "b.loglike", "n")
+
+
+def clipped_lines(df: DataFrame, keys: list[str], x: str, y: str, keep: Callable[[DataFrame, str], DataFrame], rounds: int = 3, sigma: float = 3.0) -> DataFrame:
+    """keys, a, b, n, scatter of y = a * x + b for each group, after rounds of keeping residuals below ``sigma`` MAD scatters.
+
+    A round is joins of the rows with their groups' fits and medians; nothing passes through the driver, and medians are taken in parts.
+    ``keep(df, name)`` writes and rereads the rows between the steps of a round.
+    """
+    rows = df.select(*keys, F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y")).where("_x is not null and _y is not null")
+
+    def fitted(cur: DataFrame) -> DataFrame:
+        fit = cur.groupBy(*keys).agg(F.regr_slope("_y", "_x").alias("a"), F.regr_intercept("_y", "_x").alias("b"), F.count(F.lit(1)).alias("n"))
+        return fit
+
+    def scatter(cur: DataFrame, name: str) -> DataFrame:
+        off = cur.join(quantiles(cur, keys, "_r", {"_m": 0.5}), keys).select(*keys, F.abs(F.col("_r") - F.col("_m")).alias("_d"))
+        return keep(quantiles(keep(off, f"off{name}"), keys, "_d", {"_s": 0.5}).select(*keys, (MAD * F.col("_s")).alias("scatter")), f"scatter{name}")
+
+    residual = (F.col("_y") - (F.col("a") * F.col("_x") + F.col("b"))).alias("_r")
+    for k in range(rounds + 1):
+        fit = fitted(rows)
+        left = keep(rows.join(fit, keys).select(*keys, "_x", "_y", residual), f"left{k}")
+        spread = scatter(left, str(k))
+        if k == rounds:
+            return fit.join(spread, keys).select(*keys, "a", "b", "n", "scatter")
+        rows = left.join(spread, keys).where(F.abs("_r") < sigma * F.col("scatter")).select(*keys, "_x", "_y")
 
 
 def clipped_line(df: DataFrame, x: str, y: str, rounds: int = 3, sigma: float = 3.0) -> DataFrame:

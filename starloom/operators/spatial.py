@@ -48,8 +48,8 @@ def pairs(left: DataFrame, right: DataFrame, radius: float, *, how: str = "inner
     return (out.withColumn("sep", sep) if how == "inner" else out).drop(*names)
 
 
-def sky_pairs(left: DataFrame, right: DataFrame, most: float, least: float = 0.0) -> DataFrame:
-    """All pairs of sky positions (ra, dec in degrees) with ``least`` <= sep <= ``most`` arcseconds.
+def sky_pairs(left: DataFrame, right: DataFrame, most: float, least: float = 0.0, *, keys: list[str] | None = None) -> DataFrame:
+    """All pairs of sky positions (ra, dec in degrees) with ``least`` <= sep <= ``most`` arcseconds and equal ``keys``.
 
     Cells are cubes around the unit vectors with the chord of ``most`` as edge: poles and the wrap of ra need no care.
     """
@@ -59,7 +59,12 @@ def sky_pairs(left: DataFrame, right: DataFrame, most: float, least: float = 0.0
     names = ["_cx", "_cy", "_cz"]
     a = _cells(a, list(sky.unit_vector("a_ra", "a_dec")), chord, False, names)
     b = _cells(b, list(sky.unit_vector("b_ra", "b_dec")), chord, True, names)
-    out = a.join(b, names).drop(*names).withColumn("sep", sky.separation("a_ra", "a_dec", "b_ra", "b_dec"))
+    cond = F.lit(True)
+    for n in names:
+        cond = cond & (a[n] == b[n])
+    for k in keys or []:
+        cond = cond & (a[f"a_{k}"] == b[f"b_{k}"])
+    out = a.join(b, cond).drop(*names).withColumn("sep", sky.separation("a_ra", "a_dec", "b_ra", "b_dec"))
     return out.where(F.col("sep").between(float(least), float(most)))
 
 

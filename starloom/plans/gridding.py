@@ -118,7 +118,7 @@ def nearest_box_fill(spark, d):
 
 def wide_fill(spark, d):
     """Gaps of the growing image (dim pixels, and those without an order) filled from the nearest bright pixel, and how far that is."""
-    g = _wide(spark, d).withColumn("bright", F.col("v") >= 250000)
+    g = _wide(spark, d).withColumn("bright", F.col("v") >= 200000)
     height = (g.agg(F.max("y")).first()[0] or 0) + 1
     return grid.nearest_site(g, "bright", height, WIDE).select("y", "x", F.round(F.col("d") * F.col("d")).cast("long").alias("d2"), "ny", "nx")
 
@@ -192,16 +192,6 @@ def running_heights(spark, d):
     return runs.select("y", "x", F.row_number().over(W.partitionBy("x", "g").orderBy("y")).alias("height"))
 
 
-def robust_change(spark, d):
-    """Significance of the difference against the scatter of its box, at 6 sigma."""
-    g = grid.boxes(difference_grid(spark, d), 32)
-    med = g.groupBy("j", "i").agg(F.median("diff").alias("m"))
-    g = g.join(med, ["j", "i"])
-    s = g.groupBy("j", "i").agg((robust.MAD * F.median(F.abs(F.col("diff") - F.col("m")))).alias("s"))
-    sig = F.try_divide(F.col("diff") - F.col("m"), F.col("s"))
-    return g.join(s, ["j", "i"]).select("y", "x", sig.alias("sig")).where("abs(sig) >= 1.5")
-
-
 WIDE = 256
 
 
@@ -213,6 +203,32 @@ def _wide(spark, d):
     return o.select(F.floor(F.col("o_orderkey") / WIDE).cast("int").alias("y"), (F.col("o_orderkey") % WIDE).cast("int").alias("x"), F.col("o_totalprice").cast("double").alias("v"))
 
 
+def _change(spark, d):
+    """Differences of two epochs of the growing image: a little everywhere, and all of a pixel's light at two neighbours in 997."""
+    k = F.col("y").cast("long") * WIDE + F.col("x")
+    planted = F.when((k % 997).isin(0, 1), F.col("v")).otherwise(0.0)
+    return _wide(spark, d).select("y", "x", (F.col("v") * (k % 7 - 3) / 100 + planted).alias("diff"))
+
+
+def robust_change(spark, d):
+    """Significance of the difference against the scatter of its box, from six sigma on."""
+    g = grid.boxes(_change(spark, d), 32)
+    med = g.groupBy("j", "i").agg(F.median("diff").alias("m"))  # a box's pixels
+    g = g.join(med, ["j", "i"])
+    s = g.groupBy("j", "i").agg((robust.MAD * F.median(F.abs(F.col("diff") - F.col("m")))).alias("s"))
+    sig = F.try_divide(F.col("diff") - F.col("m"), F.col("s"))
+    return g.join(s, ["j", "i"]).select("y", "x", sig.alias("sig")).where("abs(sig) >= 6")
+
+
+def change_components(spark, d):
+    """Connected pixels of significant change: pixels, box and the strongest significance of each."""
+    keep = rounds(spark)
+    hot = keep(robust_change(spark, d), "hot")
+    c = grid.components(hot.select("y", "x"), grid.SQUARE, keep).join(hot, ["y", "x"])
+    peak = F.max_by("sig", F.struct(F.abs("sig"), -F.col("y"), -F.col("x")))
+    return c.groupBy("comp").agg(F.count(F.lit(1)).alias("n"), F.min("y").alias("y0"), F.max("y").alias("y1"), F.min("x").alias("x0"), F.max("x").alias("x1"), (F.floor(peak * 1e6 + 0.5) / 1e6).alias("peak"))
+
+
 def wide_components(spark, d):
     """Connected bright pixels of the growing image: number of pixels, box and peak of each component of two at least."""
     g = _wide(spark, d).where("v >= 150000")
@@ -236,7 +252,7 @@ QUERIES = {
     for f in (
         difference_grid, flag_filter, box_background, channel_percentiles, coverage, coverage_once, local_maxima, convolve, psf_match, dilate, median3, forced_presence, signed_extreme,
         any_neighbour_flagged, edge_distance, bilinear, nearest_box_fill, components, flood_fill, largest_rectangle, cutout, crop, top100_changes, stretch, downsample, reprojection,
-        running_heights, robust_change, wide_fill, exact_aperture, wide_components, wide_convolve, wide_local_maxima,
+        running_heights, robust_change, change_components, wide_fill, exact_aperture, wide_components, wide_convolve, wide_local_maxima,
     )
 }
 
@@ -268,15 +284,18 @@ def _clip(n: int) -> str:
 
 
 _WIDE = "wide as (select cast(o_orderkey // 256 as int) as y, cast(o_orderkey % 256 as int) as x, o_totalprice::double as v from orders)"
+_CHANGE = f"""{_WIDE}, diff as (select y, x, y // 32 as j, x // 32 as i, v * ((y * 256 + x) % 7 - 3) / 100 + case when (y * 256 + x) % 997 in (0, 1) then v else 0 end as diff from wide),
+  md as (select j, i, median(diff) as m from diff group by j, i), sc as (select d.j, d.i, m, 1.4826::double * median(abs(diff - m)) as s from diff d join md on d.j = md.j and d.i = md.i group by d.j, d.i, m),
+  hot as (select y, x, (diff - m) / s as sig from diff d join sc on d.j = sc.j and d.i = sc.i where s <> 0 and abs((diff - m) / s) >= 6)"""
 #: The area of the unit circle's like of radius 2.4 left of u and below v, as SQL; half(t) is the upper half disc's left of t.
 _HALF = lambda t: f"(({t}) * sqrt(greatest(0.0::double, 5.76 - ({t}) * ({t}))) + 5.76 * asin(greatest(-1.0::double, least(1.0::double, ({t}) / 2.4))) + 5.76 * pi() / 2) / 2"
 _CORNER = f"case when v >= 0 then 2 * ({_HALF('least(u, -h)')} + greatest(0.0::double, {_HALF('greatest(u, h)')} - {_HALF('h')})) else 0 end + v * (greatest(-h, least(h, u)) + h) + {_HALF('greatest(-h, least(h, u))')} - {_HALF('-h')}"
 SQL = {
-    "wide_fill": f"""with {_WIDE}, b as (select y as ny, x as nx from wide where v >= 250000),
-      k as (select w.y, w.x, b.ny, b.nx, (w.y - b.ny) * (w.y - b.ny) + (w.x - b.nx) * (w.x - b.nx) as d2 from wide w join b on b.ny between w.y - 60 and w.y + 60),
+    "wide_fill": f"""with {_WIDE}, b as (select y as ny, x as nx from wide where v >= 200000),
+      k as (select w.y, w.x, b.ny, b.nx, (w.y - b.ny) * (w.y - b.ny) + (w.x - b.nx) * (w.x - b.nx) as d2 from wide w join b on b.ny between w.y - 12 and w.y + 12 and b.nx between w.x - 12 and w.x + 12),
       o as (select *, row_number() over (partition by y, x order by d2, ny, nx) as r from k) select y, x, d2::bigint as d2, ny, nx from o where r = 1""",
-    "exact_aperture": f"""with {_WIDE}, at as (select (y * 256 + x)::bigint as id, y + (x % 5 - 2) * 0.2::double as cy, x + (y % 7 - 3) * 0.125::double as cx from wide where (y * 256 + x) % 29 = 0),
-      m as (select id, w.y - cy as dy, w.x - cx as dx, w.v as value from at join wide w on w.y between floor(cy - 3) and ceil(cy + 3) and w.x between floor(cx - 3) and ceil(cx + 3)),
+    "exact_aperture": f"""with {_WIDE}, pos as (select (y * 256 + x)::bigint as id, y + (x % 5 - 2) * 0.2::double as cy, x + (y % 7 - 3) * 0.125::double as cx from wide where (y * 256 + x) % 29 = 0),
+      m as (select id, w.y - cy as dy, w.x - cx as dx, w.v as value from pos join wide w on w.y between floor(cy - 3) and ceil(cy + 3) and w.x between floor(cx - 3) and ceil(cx + 3)),
       c as (select id, value, dy, dx, k.a, k.b, greatest(-2.4::double, least(2.4::double, dx + k.a * 0.5)) as u, greatest(-2.4::double, least(2.4::double, dy + k.b * 0.5)) as v from m cross join (values (1, 1), (1, -1), (-1, 1), (-1, -1)) k(a, b)),
       h as (select *, sqrt(greatest(0.0::double, 5.76 - v * v)) as h from c), w as (select id, value, dy, dx, greatest(0.0::double, sum(a * b * ({_CORNER}))) as w from h group by id, value, dy, dx)
       select id, floor(sum(w) * 1e3 + 0.5) / 1e3 as area, floor(sum(w * value) * 1e3 + 0.5) / 1e3 as flux from w where w > 1e-12 group by id""",
@@ -310,6 +329,9 @@ SQL = {
     "downsample": f"{_G} select cast(y // 4 as int) as j, cast(x // 4 as int) as i, max(v) as v, count(*) as n from grid group by 1, 2",
     "reprojection": f"{_G} select a.y, a.x, floor(sum(b.v * case when o.dy = 0 then 0.75::double else 0.25::double end * 0.5::double) * 1e6 + 0.5) / 1e6 as v from grid a cross join {_values([(0, 0), (0, 1), (1, 0), (1, 1)])} join grid b on b.y = a.y + o.dy and b.x = a.x + o.dx group by a.y, a.x having count(*) = 4",
     "running_heights": f"{_G}, p as (select y, x, y - row_number() over (partition by x order by y) as g from grid where v < {HIGH}) select y, x, row_number() over (partition by x, g order by y) as height from p",
-    "robust_change": f"{_GB}, b as (select *, y // 32 as j, x // 32 as i from diff), m as (select j, i, median(diff) as m from b group by j, i), s as (select b.j, b.i, m, 1.4826::double * median(abs(diff - m)) as s from b join m on b.j = m.j and b.i = m.i group by b.j, b.i, m) select y, x, (diff - m) / s as sig from b join s on b.j = s.j and b.i = s.i where s <> 0 and abs((diff - m) / s) >= 1.5",
+    "robust_change": f"with {_CHANGE} select y, x, sig from hot",
+    "change_components": f"""with recursive {_CHANGE}, e as (select a.y::bigint * 1048576 + a.x as a, b.y::bigint * 1048576 + b.x as b from hot a join hot b on b.y between a.y - 1 and a.y + 1 and b.x between a.x - 1 and a.x + 1),
+      r as (select a as n, a as c from e where a = b union select e.b, r.c from r join e on e.a = r.n), l as (select n, min(c) as comp from r group by n)
+      select comp, count(*) as n, min(y) as y0, max(y) as y1, min(x) as x0, max(x) as x1, floor((array_agg(sig order by abs(sig) desc, y, x))[1] * 1e6 + 0.5) / 1e6 as peak from l join hot on n = y::bigint * 1048576 + x group by comp""",
     "largest_rectangle": f"{_G}, p as (select y, x, y - row_number() over (partition by x order by y) as g from grid where v < 97000), h as (select y, x, row_number() over (partition by x, g order by y) as h from p), s as (select *, x - row_number() over (partition by y order by x) as seg from h), c as (select a.y, a.x as x0, b.x as x1, min(m.h) as m from s a join s b on a.y = b.y and a.seg = b.seg and b.x >= a.x join s m on m.y = a.y and m.seg = a.seg and m.x between a.x and b.x group by a.y, a.x, b.x) select cast(y - m + 1 as int) as y0, x0, y as y1, x1, cast((x1 - x0 + 1) * m as bigint) as area from c order by area desc, y0, x0, y1, x1 limit 1",
 }

@@ -11,8 +11,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import imaging, robust, spatial
+from ..operators import documents, imaging, robust, spatial
 from ..session import reachable
+from .cubes import WCS
 from .scratch import rounds
 
 DETECT, FORCED, MIN_SHIFT = 5.0, 3.0, 10.0
@@ -68,7 +69,7 @@ def detections(pixels: DataFrame, height: int, width: int, *, fwhm: float | None
 
 
 def find_candidates(pixels: DataFrame, height: int, width: int, *, fwhm: float | None = None) -> tuple[DataFrame, DataFrame]:
-    """(candidates, rejections): field, kind, a_id, b_id, significance, alternatives; and counts per field and reason."""
+    """(candidates, rejections): field, kind, significance, alternatives, id, x, y, snr, flux at either epoch; and counts per field and reason."""
     spark = pixels.sparkSession
     keep = rounds(spark)
     found = keep(detections(pixels, height, width, fwhm=fwhm), "detections")
@@ -85,11 +86,11 @@ def find_candidates(pixels: DataFrame, height: int, width: int, *, fwhm: float |
     matched = matched.withColumn("inv", 1 / (F.col("a_snr") * F.col("a_snr")) + 1 / (F.col("b_snr") * F.col("b_snr")))
     # the instrument's error model is measured from the matches of all fields together
     model = robust.calibration(matched, ["a_id"], "inv", ["ox", "oy"], rounds(spark)).select("sigma_sys", "k")
-    limits = matched.agg(
-        F.when(F.count_if((F.col("a_snr") >= 10) & F.col("a_sharpness").isNotNull()) >= 20, F.percentile(F.when(F.col("a_snr") >= 10, F.col("a_sharpness")), 0.99)).otherwise(0.9).alias("sharp_a"),
-        F.when(F.count_if((F.col("b_snr") >= 10) & F.col("b_sharpness").isNotNull()) >= 20, F.percentile(F.when(F.col("b_snr") >= 10, F.col("b_sharpness")), 0.99)).otherwise(0.9).alias("sharp_b"),
-        F.when(F.count_if(F.least("a_snr", "b_snr") >= 10) >= 20, F.percentile(F.when(F.least("a_snr", "b_snr") >= 10, F.abs(F.col("a_sharpness") - F.col("b_sharpness"))), 0.99)).otherwise(0.2).alias("shape"),
-    )
+    # the 99th percentiles of shapes of all fields, if twenty matches are bright enough, else fixed ones
+    lists = {"sharp_a": (F.col("a_snr"), F.col("a_sharpness"), 0.9), "sharp_b": (F.col("b_snr"), F.col("b_sharpness"), 0.9), "shape": (F.least("a_snr", "b_snr"), F.abs(F.col("a_sharpness") - F.col("b_sharpness")), 0.2)}
+    shapes = matched.select(F.explode(F.array(*[F.struct(F.lit(n).alias("name"), F.when(snr >= 10, v).alias("v")) for n, (snr, v, _) in lists.items()])).alias("t")).select("t.*").where("v is not null")
+    enough = shapes.groupBy("name").agg(F.count(F.lit(1)).alias("n")).join(robust.quantiles(shapes, ["name"], "v", {"top": 0.99}), "name").where("n >= 20")
+    limits = enough.agg(*[F.coalesce(F.max(F.when(F.col("name") == n, F.col("top"))), F.lit(d)).alias(n) for n, (_, _, d) in lists.items()])
     one = keep(model.join(F.broadcast(limits)), "model")
     partner = matched.select(F.col("a_id").alias("id"), F.col("b_id").alias("partner")).unionByName(matched.select(F.col("b_id").alias("id"), F.col("a_id").alias("partner")))
 
@@ -139,6 +140,9 @@ def find_candidates(pixels: DataFrame, height: int, width: int, *, fwhm: float |
     out = out.unionByName(cols(moved.where("reason is null"), "shifted_match", a_id=F.col("a_id"), b_id=F.col("b_id"), significance=F.col("significance")))
     out = out.unionByName(cols(alone.where("epoch = 'A'"), "seen_only_earlier", a_id=F.col("id"), significance=F.col("diff_snr")))
     out = out.unionByName(cols(alone.where("epoch = 'B'"), "seen_only_later", b_id=F.col("id"), significance=F.col("diff_snr")))
+    # what documents say of a candidate: its places, signals and light
+    for e in "ab":
+        out = out.join(points.select(F.col("id").alias(f"{e}_id"), *[F.col(c).alias(f"{e}_{c}") for c in ("x", "y", "snr", "flux")]), f"{e}_id", "left")
     rejected = moved.select("field", "reason").unionByName(singles.select("field", "reason")).where("reason is not null")
     return out, rejected.groupBy("field", "reason").agg(F.count(F.lit(1)).alias("n"))
 
@@ -179,5 +183,12 @@ def two_epoch_candidates(spark, d) -> DataFrame:
     return kinds.unionByName(rejected.select("field", F.concat(F.lit("rejected: "), "reason").alias("outcome"), "n"))
 
 
-QUERIES = {"two_epoch_candidates": two_epoch_candidates}
+def two_epoch_documents(spark, d) -> DataFrame:
+    """Documents of the candidates that two images of each field give, numbered by field: from pixels to positions, motions and rates."""
+    found, _ = find_candidates(supplier_sky(spark, d), SIDE, SIDE, fwhm=2.4)
+    docs = documents.documented(found, WCS, 182.0, by=["field"])
+    return docs.select("field", "candidate_id", "kind", F.col("earlier.x").alias("x"), F.col("earlier.y").alias("y"), F.col("later.x").alias("x2"), F.col("later.y").alias("y2"), "displacement", "rate", "angle")
+
+
+QUERIES = {"two_epoch_candidates": two_epoch_candidates, "two_epoch_documents": two_epoch_documents}
 SQL: dict[str, str] = {}

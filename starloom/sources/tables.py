@@ -42,8 +42,10 @@ def ecsv_schema(lines: list[str]) -> str:
 
 
 def read_ecsv(spark: SparkSession, path: str) -> DataFrame:
-    """A typed table; empty fields are null and big ids stay whole numbers."""
-    lines = head(spark, path)
+    """A typed table; empty fields are null and big ids stay whole numbers. The header may have any number of lines; of several files the first one's counts."""
+    marked = spark.read.text(path).select("value", F.input_file_name().alias("file")).where(F.col("value").startswith("#")).collect()
+    first = min((r.file for r in marked), default=None)
+    lines = [r.value for r in marked if r.file == first]
     return spark.read.csv(path, header=True, schema=ecsv_schema(lines), sep=" ", comment="#", nullValue='""')
 
 
