@@ -4,8 +4,9 @@ Words stand in two tries, one by their letters and one by their letters reversed
 A trie is a table of edges: only nodes where words end or part are kept, so an edge carries all letters up to the next such node. States are
 (word, rest, node): the rest is the part of the word behind its position. An edit in the second half of a word is found in the
 forward trie, one in the first half in the other, so all states begin with an edge that leaves a word's own path in its second half.
-There one letter is replaced, inserted or deleted (a letter that equals its neighbour only at the last of its like); then states
-join the edges by node and next letter until the rest is used up. Where that is at the end of another word, it is near.
+There one letter is deleted (of equal neighbours the last) or replaced by a greater one; an insertion is the other word's deletion. Then
+states join the edges by node and next letter until the rest is used up. Where that is at the end of another word, the two are near. An edge
+has bits of hashes of all that follows it, and edits after which no word goes on so are dropped before they are states.
 
 A form is the near word of largest n, if that is RATIO times the word's n; roots follow forms by doubling.
 
@@ -18,7 +19,8 @@ whatever their names; an empty table gives an empty result.
 from __future__ import annotations
 
 import hashlib
-import string
+import re
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -27,27 +29,56 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import Scratch, table
-from .hashing import release
+from .hashing import pieces, release
 
-RUN = r"[A-Za-zÀ-ÿ]"
 LEAST_LETTERS, LEAST_COUNT, RATIO, DELETED = 7, 2, 10, 31
+#: Runs of letters, A-Z being lower-cased. A shorter run can't become a word; a run is matched whole, as it is taken from its first letter on.
+_RUNS = re.compile(f"[a-zÀ-ÿ]{{{LEAST_LETTERS},}}")
 #: Letters up to which words and nodes are named by themselves.
 LONG = 32
 FORWARD, BACKWARD = ">", "<"
-_PATHS = "node string, i int, size int, nxt string, wid string, n bigint, letters string"
+#: Bits of the sets of hashes that an edge has of what follows it.
+PLACES = 124
+SETS = [f"{c}{k}" for c in ("here", "after") for k in range(2)]
+_PATHS = "node string, i int, size int, nxt string, wid string, n bigint"
+
+
+def _words_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """word, n of the runs of some documents, added up before they are sent."""
+    found: dict[str, int] = {}
+
+    def batch() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())], names=["word", "n"])
+
+    for b in batches:
+        ids = b.column(0).to_pylist()
+        for start, texts in pieces(b.column(1)):
+            for i, text in enumerate(texts, start):
+                if not text:
+                    continue
+                doc_id = ids[i]
+                crc = zlib.crc32(f"{'' if doc_id is None else doc_id}:".encode())
+                for run in _RUNS.findall(text.lower().decode()):  # of bytes, so only A-Z
+                    h = zlib.crc32(run.encode(), crc)
+                    if h % DELETED == 0:
+                        at = h % len(run)
+                        run = run[:at] + run[at + 1 :]
+                        if len(run) < LEAST_LETTERS:
+                            continue
+                    found[run] = found.get(run, 0) + 1
+            if len(found) >= 100_000:
+                yield batch()
+                found = {}
+    if found:
+        yield batch()
+    found = {}
+    release()
 
 
 def counted_words(docs: DataFrame) -> DataFrame:
     """word, n: runs of letters, one in DELETED with a letter deleted, of at least LEAST_LETTERS letters and LEAST_COUNT occurrences."""
-    # a shorter run can't become a word; a run is matched whole, as it is taken from its first letter on
-    runs = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(f"({RUN}{{{LEAST_LETTERS},}})"), F.lit(1))
-    run = docs.select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("id"), F.explode(runs).alias("run"))
-    run = run.select("id", F.translate("run", string.ascii_uppercase, string.ascii_lowercase).alias("run"))
-    h = F.crc32(F.encode(F.concat("id", F.lit(":"), "run"), "UTF-8"))
-    at = F.pmod(F.col("h"), F.length("run").cast("long")).cast("int")
-    cut = F.concat(F.substring("run", 1, at), F.substring("run", at + 2, F.length("run")))
-    word = run.select("run", h.alias("h")).select(F.when(F.pmod("h", F.lit(DELETED)) == 0, cut).otherwise(F.col("run")).alias("word"))
-    return word.where(F.length("word") >= LEAST_LETTERS).groupBy("word").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= LEAST_COUNT)
+    parts = docs.select("doc_id", "text").mapInArrow(_words_of, "word string, n bigint")
+    return parts.groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST_COUNT)
 
 
 def _digest(h) -> str:
@@ -70,7 +101,7 @@ def _long_paths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 for i in range(size + 1):
                     if i >= (size - 1) // 2:
                         node = letters[:i] if i <= LONG else _digest(h)
-                        rows.append((side + node, i, size, letters[i] if i < size else None, name, n, None))
+                        rows.append((side + node, i, size, letters[i] if i < size else None, name, n))
                         if len(rows) >= 10_000:
                             yield batch()
                             rows = []
@@ -81,6 +112,23 @@ def _long_paths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     release()
 
 
+def _place(rest: Column) -> Column:
+    """A place among PLACES for a string."""
+    return F.pmod(F.xxhash64(rest), F.lit(PLACES)).cast("int")
+
+
+def _bits(place: Column) -> list[Column]:
+    """PLACES bits in two numbers, the one of ``place`` set."""
+    half = PLACES // 2
+    bit = lambda k: F.pow(F.lit(2.0), k).cast("long")
+    return [F.when(place < half, bit(place)).otherwise(0), F.when(place >= half, bit(place - half)).otherwise(0)]
+
+
+def _meet(bits: list[Column], held: str) -> Column:
+    """Whether the sets ``held`` (two columns of that name) have one of the bits."""
+    return (bits[0].bitwiseAND(F.col(f"{held}0")) != 0) | (bits[1].bitwiseAND(F.col(f"{held}1")) != 0)
+
+
 def _paths(words: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The nodes on the second half of each short word's path in either trie, and those of long words (without their letters).
 
@@ -90,14 +138,24 @@ def _paths(words: DataFrame) -> tuple[DataFrame, DataFrame]:
     both = short.select("word", "n", "size", F.explode(F.array(F.struct(F.lit(FORWARD).alias("side"), F.col("word").alias("letters")), F.struct(F.lit(BACKWARD).alias("side"), F.reverse("word").alias("letters")))).alias("t"))
     at = both.select("word", "n", "size", "t.side", "t.letters", F.explode(F.sequence(((F.col("size") - 1) / 2).cast("int"), F.col("size"))).alias("i"))
     nxt = F.when(F.col("i") < F.col("size"), F.substring("letters", F.col("i") + 1, F.lit(1)))
-    near = at.select(F.concat("side", F.substring("letters", F.lit(1), F.col("i"))).alias("node"), "i", "size", nxt.alias("nxt"), F.col("word").alias("wid"), "n", "letters")
+    near = at.select(F.concat("side", F.substring("letters", F.lit(1), F.col("i"))).alias("node"), "i", "size", nxt.alias("nxt"), F.col("word").alias("wid"), "n")
     return near, words.where(F.length("word") > LONG).select("word", "n").mapInArrow(_long_paths, _PATHS)
 
 
-def _lettered(rows: DataFrame, named: DataFrame) -> DataFrame:
-    """Fills in the letters of long words, in the direction of the row's trie."""
-    turned = F.when(F.substring("node", 1, 1) == BACKWARD, F.reverse("word")).otherwise(F.col("word"))
-    return rows.drop("letters").join(named, "wid").withColumn("letters", turned).drop("word")
+def _turned(word: str) -> Column:
+    """A word in the direction of the row's trie."""
+    return F.when(F.substring("node", 1, 1) == BACKWARD, F.reverse(word)).otherwise(F.col(word))
+
+
+def _spelt(own: DataFrame) -> DataFrame:
+    """``own`` with the letters of every word, and its next one: short words are their names, so that only long ones carry them."""
+    letters = F.coalesce("letters", _turned("wid"))
+    return own.withColumn("letters", letters).withColumn("nxt", F.when(F.col("i") < F.col("size"), F.substring("letters", F.col("i") + 1, F.lit(1))))
+
+
+def _hashed(unique: DataFrame) -> DataFrame:
+    """A side of a join with one row a key, spread evenly: its partitions are hashed, so that the other side needn't be sorted."""
+    return unique.hint("shuffle_hash")
 
 
 def _tail(text: Column, start: Column | int) -> Column:
@@ -112,61 +170,67 @@ def near_words(words: DataFrame, scratch: Scratch) -> DataFrame:
     ends = F.max(F.when(F.col("nxt").isNull(), F.struct("wid", "n"))).alias("end")
     nodes = short.unionByName(long).groupBy("node").agg(F.min("nxt").alias("lo"), F.max("nxt").alias("hi"), ends)
     kept = scratch.keep(nodes.where(F.col("end").isNotNull() | (F.col("lo") != F.col("hi"))).select("node", "end"), "nodes")
-    own = scratch.keep(short.join(kept, "node").unionByName(_lettered(long.join(kept, "node"), named)), "own")
+    slim = ("node", "i", "size", "wid", "n")
+    own = short.select(*slim).join(_hashed(kept), "node").withColumn("letters", F.lit(None).cast("string"))
+    far = long.select(*slim).join(_hashed(kept), "node").join(named, "wid")
+    own = scratch.keep(own.unionByName(far.withColumn("letters", _turned("word")).drop("word")), "own")
 
     along = W.partitionBy("wid", F.substring("node", 1, 1)).orderBy("i")
-    steps = own.withColumn("child", F.lead("node").over(along)).withColumn("upto", F.lead("i").over(along)).where(F.col("child").isNotNull())
+    steps = own.select("node", "i", "size", "wid", "letters").withColumn("child", F.lead("node").over(along)).withColumn("upto", F.lead("i").over(along))
+    steps = _spelt(steps.where(F.col("child").isNotNull()))
     label = F.substring("letters", F.col("i") + 1, F.col("upto") - F.col("i"))
-    edges = scratch.keep(steps.groupBy("node", F.col("nxt").alias("c")).agg(F.first(label).alias("label"), F.first("child").alias("child")), "steps")
-    after = edges.groupBy(F.col("node").alias("child")).agg(F.array_join(F.collect_list("c"), "").alias("after"))  # a letter an edge
-    edges = edges.join(kept.select(F.col("node").alias("child"), "end"), "child").join(after, "child", "left")
-    edges = scratch.keep(edges.select("node", "c", "label", "child", "end", F.coalesce("after", F.lit("")).alias("after")), "edges")
+    # what follows an edge's node in some word, with its first letter and without it
+    steps = steps.withColumns({"here": _place(_tail(F.col("letters"), F.col("i") + 1)), "after": _place(_tail(F.col("letters"), F.col("i") + 2))})
+    sets = [F.bit_or(v).alias(f"{c}{k}") for c in ("here", "after") for k, v in enumerate(_bits(F.col(c)))]
+    edges = steps.groupBy("node", F.col("nxt").alias("c")).agg(F.first(label).alias("label"), F.first("child").alias("child"), *sets)
+    edges = edges.join(_hashed(kept.withColumnRenamed("node", "child")), "child")
+    edges = scratch.keep(edges.select("node", "c", "label", "child", "end", *SETS), "edges")
 
     cut, states = _seeds(own, edges)
-    found = [cut]
+    found = [scratch.keep(cut, "cut")]
     level = 0
     while True:
-        states = scratch.keep(_alive(states), f"states{level}")
-        found.append(states.where("rest = ''").select("wid", "end"))
-        going = states.where("rest <> ''").select("wid", "rest", "node", F.substring("rest", 1, 1).alias("c"))
+        states = scratch.keep(states.where((F.col("rest") != "") | F.col("end").isNotNull()), f"states{level}")
+        scratch.drop(*(["own", "nodes"] if not level else [f"states{level - 1}"]))
+        found.append(scratch.keep(states.where("rest = ''").select("wid", "n", "end"), f"found{level}"))
+        going = states.where("rest <> ''").select("wid", "n", "rest", "node", F.substring("rest", 1, 1).alias("c"))
         if going.isEmpty():
             break
         level += 1
-        moved = going.join(edges, ["node", "c"]).where(F.col("rest").startswith(F.col("label")))
-        states = moved.select("wid", _tail(F.col("rest"), F.length("label") + 1).alias("rest"), F.col("child").alias("node"), "end", "after")
+        moved = going.join(_hashed(edges), ["node", "c"]).where(F.col("rest").startswith(F.col("label")) & _meet(_bits(_place(_tail(F.col("rest"), 2))), "after"))
+        states = moved.select("wid", "n", _tail(F.col("rest"), F.length("label") + 1).alias("rest"), F.col("child").alias("node"), "end")
+    scratch.drop("edges", f"states{level}")
     pairs = found[0]
     for more in found[1:]:
         pairs = pairs.unionByName(more)
     # an edit in the middle may be found in both tries
-    pairs = pairs.select("wid", F.col("end.wid").alias("near"), F.col("end.n").alias("near_n")).dropDuplicates(["wid", "near"])
+    pairs = pairs.select("wid", "n", F.col("end.wid").alias("near"), F.col("end.n").alias("near_n")).dropDuplicates(["wid", "near"])
+    way = lambda *names: F.struct(*[F.col(c).alias(n) for c, n in zip(names, ("wid", "near", "near_n"), strict=True)])
+    pairs = pairs.select(F.explode(F.array(way("wid", "near", "near_n"), way("near", "wid", "n"))).alias("p")).select("p.*")
     if named.isEmpty():
         return pairs.withColumnRenamed("wid", "word")
     return _unnamed(_unnamed(scratch.keep(pairs, "pairs"), named, "wid", "word"), named, "near", "near")
 
 
-def _alive(states: DataFrame) -> DataFrame:
-    """States at the end of a word, and those whose node goes on with the next letter of the rest."""
-    done = (F.col("rest") == "") & F.col("end").isNotNull()
-    return states.where(done | ((F.col("rest") != "") & F.col("after").contains(F.substring("rest", 1, 1)))).drop("after")
-
-
 def _seeds(own: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Words without their last letter, and the states after one edit where another edge leaves a word's path in its second half."""
-    here = own.where(F.col("i") >= F.floor(F.col("size") / 2))
-    cut = here.where((F.col("i") == F.col("size") - 1) & F.col("end").isNotNull()).select("wid", "end")
-    fans = edges.groupBy("node").agg(F.collect_list(F.struct("c", "label", "child", "end", "after")).alias("fan"))  # an edge for each letter at most
-    out = here.select("node", "i", "nxt", "wid", "letters").join(fans, "node")
-    out = out.select("i", "nxt", "wid", "letters", F.explode("fan").alias("e")).where(F.col("nxt").isNull() | (F.col("e.c") != F.col("nxt")))
-    left, tail = _tail(F.col("letters"), F.col("i") + 1), _tail(F.col("e.label"), 2)
-    behind = _tail(F.col("letters"), F.col("i") + 2)
-    inside = F.col("nxt").isNotNull()
-    edits = F.array(
-        F.when(inside, F.struct(behind.alias("rest"), tail.alias("need"))),  # replaced
-        F.struct(left.alias("rest"), tail.alias("need")),  # inserted
-        F.when(inside, F.struct(behind.alias("rest"), F.col("e.label").alias("need"))),  # deleted
-    )
-    out = out.select("wid", "e.child", "e.end", "e.after", F.explode(edits).alias("x")).where(F.col("x").isNotNull() & F.col("x.rest").startswith(F.col("x.need")))
-    return cut, out.select("wid", _tail(F.col("x.rest"), F.length("x.need") + 1).alias("rest"), F.col("child").alias("node"), "end", "after")
+    """Words without their last letter, and the states after one edit where another edge leaves a word's path in its second half.
+
+    A pair is found from one of its words: from the longer one, by a deletion, or from the one with the lesser letter where they differ.
+    """
+    here = own.where((F.col("i") >= F.floor(F.col("size") / 2)) & (F.col("i") < F.col("size")))
+    cut = here.where((F.col("i") == F.col("size") - 1) & F.col("end").isNotNull()).select("wid", "n", "end")
+    fans = edges.groupBy("node").agg(F.collect_list(F.struct("c", "label", "child", "end", *SETS)).alias("fan"))  # an edge for each letter at most
+    out = _spelt(here.select("node", "i", "size", "wid", "n", "letters").join(_hashed(fans), "node"))
+    out = out.withColumn("after", _place(_tail(F.col("letters"), F.col("i") + 2)))
+    out = out.select("i", "nxt", "wid", "n", "letters", *[v.alias(f"_after{k}") for k, v in enumerate(_bits(F.col("after")))], F.explode("fan").alias("e"))
+    out = out.where(F.col("e.c") != F.col("nxt")).select("i", "nxt", "wid", "n", "letters", "_after0", "_after1", "e.*")
+    bits = [F.col("_after0"), F.col("_after1")]
+    # an edit is gone into only if some word goes on so behind the edge
+    replaced, deleted = (F.col("c") > F.col("nxt")) & _meet(bits, "after"), _meet(bits, "here")
+    behind, tail = _tail(F.col("letters"), F.col("i") + 2), _tail(F.col("label"), 2)
+    edits = F.array(*[F.when(ok, need) for ok, need in ((replaced, tail), (deleted, F.col("label")))])
+    out = out.where(replaced | deleted).select("wid", "n", "child", "end", behind.alias("rest"), F.explode(edits).alias("need")).where(F.col("need").isNotNull() & F.col("rest").startswith(F.col("need")))
+    return cut, out.select("wid", "n", _tail(F.col("rest"), F.length("need") + 1).alias("rest"), F.col("child").alias("node"), "end")
 
 
 def _unnamed(rows: DataFrame, named: DataFrame, name: str, word: str) -> DataFrame:
