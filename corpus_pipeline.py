@@ -57,7 +57,8 @@ STAGES = [
     ("sharding", sharding),
 ]
 
-#: The Hilbert order and the seeded selection have no SQL form; tests hold run() against a brute-force version.
+#: The Hilbert order and the seeded selection have no SQL form; tests hold the first three stages against a brute-force version, and the
+#: mixing and the sharding of their result against the laws that these must keep.
 ORACLE_SQL = None
 
 
