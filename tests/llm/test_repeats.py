@@ -49,6 +49,14 @@ def test_divided_anchors_give_the_same(spark, monkeypatch, chunk):
     check(spark, corpus(3))
 
 
+def test_divided_anchors_tell_first_bytes_from_places(spark, monkeypatch):
+    """In a text of period d windows meet an anchor d bytes apart; first bytes that differ by d must not make up for that."""
+    monkeypatch.setattr(repeats, "CHUNK", 1)
+    r = random.Random(10)
+    wave = noise(r, 25, "bcdefghijklmnopqrst") * 40
+    check(spark, [(i, noise(r, 500) + c + wave + noise(r, 500)) for i, c in enumerate("az")])
+
+
 def test_large_groups_level_by_level(spark, monkeypatch):
     monkeypatch.setattr(repeats, "PAIRED", 2)
     check(spark, corpus(4))
