@@ -107,3 +107,34 @@ def test_very_long_texts(spark):
     r = random.Random(8)
     a, b = noise(r, 700_000), noise(r, 300_000)
     check(spark, [(1, a), (2, b + a[1000:2000]), (3, "q" * 50_000)])
+
+
+def test_contexts_of_a_frequent_anchor_are_divided(spark, tmp_path):
+    """An anchor with half of all contexts doesn't go to one task: AQE finds its join skewed and divides it."""
+    from pyspark.sql import functions as F
+
+    from starloom.llm.common import Scratch
+
+    held = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.shuffle.partitions": "16", "spark.sql.adaptive.coalescePartitions.enabled": "false",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "16k", "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "16k", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5",
+    }
+    before = {k: spark.conf.get(k, None) for k in held}
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        i = F.col("id")
+        place = lambda x: F.struct(x.alias("tk"), F.lit(0).alias("pos"))
+        made = spark.range(0, 20_000, 1, 16).select(
+            F.when(i < 10_000, -1).otherwise(i).alias("fp"), F.md5(i.cast("string")).cast("binary").alias("ctx"),
+            place(i).alias("lo"), place(i + F.when(i % 1000 == 0, 1).otherwise(0)).alias("hi"),
+        )
+        made.repartition(16).write.parquet(f"{tmp_path}/contexts")
+        found = repeats._repeated(spark.read.parquet(f"{tmp_path}/contexts"), Scratch(spark))
+        rows = found.collect()
+        assert "skew=true" in found._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    want = [(-1, i, i % 1000 == 0, True, 10_000) for i in range(10_000)] + [(i, i, True, False, None) for i in range(10_000, 20_000, 1000)]
+    assert sorted((r.fp, r.rep.tk, r.whole, r.several, r.k) for r in rows) == sorted(want)
