@@ -83,11 +83,13 @@ def bundle_written(spark, d):
     """Spectra read back from the tiles' objects in the order that the manifest lists, with the tiles' sums compared."""
     t = _tiles(spark, d)
     root = folder(spark)
-    store.write_objects(cubes.tile_objects(t).select("key", "content"), root)
+    store.write_objects(cubes.bundle_objects(t, TILE), root)
     listed = store.read_manifest(spark, root)
     back = store.read_objects(listed, root).join(listed, "key").where((F.sha2("content", 256) == F.col("sha256")) & (F.length("content") == F.col("bytes")))
+    files = back.where("key like 'tiles/%'").select(F.col("key").alias("path"), "content")
+    places = back.where("key like 'places/%'").select(F.regexp_replace("key", "^places/", "tiles/").alias("path"), F.col("content").alias("places"))
     place = listed.select("key", F.regexp_extract("key", r"y(\d+)_x", 1).cast("int").alias("ty"), F.regexp_extract("key", r"_x(\d+)", 1).cast("int").alias("tx"))
-    got = cubes.decode_npy(back.select(F.col("key").alias("path"), "content"), TILE, TILE, CHANNELS).join(place.withColumnRenamed("key", "path"), "path")
+    got = cubes.decode_npy(files.join(places, "path", "left"), TILE, TILE, CHANNELS).join(place.withColumnRenamed("key", "path"), "path")
     return got.select((F.col("ty") * TILE + F.col("row")).alias("y"), (F.col("tx") * TILE + F.col("col")).alias("x"), F.array_max("spectrum").cast("double").alias("top"), F.get("spectrum", F.lit(16)).cast("double").alias("v17"))
 
 
