@@ -90,12 +90,12 @@ def tile_checksums(spark, d):
 
 
 def manifest_missing(spark, d):
-    """Planned objects that the store doesn't hold with the same size and digest."""
+    """Planned objects that the store doesn't hold with the same size and digest. They are known by their number: a name shows six digits only."""
     base = reachable(spark).read.parquet(f"{d}/part.parquet")
-    name = F.concat(F.lit("tiles/"), F.lpad(F.col("p_partkey").cast("string"), 6, "0"), F.lit(".bin"))
-    planned = base.select(name.alias("key"), (F.col("p_size") * 100).alias("size"), F.sha2("p_name", 256).alias("sha256"))
-    held = base.where("p_partkey % 3 <> 0").select(name.alias("key"), (F.col("p_size") * 100 + (F.col("p_partkey") % 7 == 0).cast("int")).alias("size"), F.sha2("p_name", 256).alias("sha256"))
-    return planned.join(held, ["key", "size", "sha256"], "left_anti").select("key", "size")
+    name = F.concat(F.lit("tiles/"), F.lpad(F.col("object").cast("string"), 6, "0"), F.lit(".bin"))
+    planned = base.select(F.col("p_partkey").alias("object"), (F.col("p_size") * 100).alias("size"), F.sha2("p_name", 256).alias("sha256"))
+    held = base.where("p_partkey % 3 <> 0").select(F.col("p_partkey").alias("object"), (F.col("p_size") * 100 + (F.col("p_partkey") % 7 == 0).cast("int")).alias("size"), F.sha2("p_name", 256).alias("sha256"))
+    return planned.join(held, ["object", "size", "sha256"], "left_anti").select(name.alias("key"), "size")
 
 
 def bundle_checks(spark, d):
