@@ -12,7 +12,7 @@ from starloom.operators import spatial, tiled
 from starloom.plans import candidates, evidence, matching
 
 DATA = Path("/root/testdata/sf0.01")
-POSITIONS = "mutual_match best_chi2_match binned_scatter".split()
+POSITIONS = "mutual_match best_chi2_match binned_scatter candidate_detail".split()
 
 
 def parts(plan, what):
