@@ -12,7 +12,7 @@ from starloom.operators import spatial, tiled
 from starloom.plans import candidates, evidence, matching
 
 DATA = Path("/root/testdata/sf0.01")
-POSITIONS = "mutual_match best_chi2_match binned_scatter candidate_detail candidate_documents candidate_markers candidate_summary linker_tracks marker_semi_join mle_rayleigh motion_pairs nearest_sky position_calibration registration_shift sharpness_limit".split()
+POSITIONS = "mutual_match best_chi2_match binned_scatter candidate_detail candidate_documents candidate_markers candidate_summary linker_tracks marker_semi_join mle_rayleigh motion_pairs nearest_sky position_calibration registration_shift sharpness_limit sky_band_join".split()
 
 
 def parts(plan, what):
