@@ -66,3 +66,14 @@ def test_nearest_on_the_sky_equals_all_pairs(spark, small_pieces):
     ids = lambda df: sorted((x.a_id, x.b_id) for x in df.collect())
     assert ids(spatial.sky_nearest(a, b, 60.0)) == ids(spatial.nearest(everything)) != []
     assert ids(spatial.sky_mutual(a, b, 60.0)) == ids(spatial.mutual(everything)) != []
+
+
+def test_counts_send_neither_arrays_nor_pairs(spark):
+    """Each position goes to its tile and to those that its reach enters: arrays of neighbours aren't sent from cell to cell."""
+    df = spark.range(4000).selectExpr("id", "150 + id % 61 / 500.0D as ra", "id % 67 / 500.0D as dec", "if(id % 2 = 0, 'A', 'B') as epoch")
+    kept = []
+    out = spatial.sky_counts(df, 120.0, "epoch", lambda t, name: (kept.append(t), t)[1])
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and not any(kind.startswith("array") for t in kept for _, kind in t.dtypes)
+    met = [p for p in parts(plan, "Exchange") if "hashpartitioning" in p]
+    assert len(met) == 1 and out.count() == 8 * 500
